@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontam, exact, simhash
-from corpusloom.llm.common import table
+import public_tokenizers
+
+from corpusloom.llm import decontam, exact, lm, simhash, tokenbin
+from corpusloom.llm.common import remainder, table, text_bytes
+
+
+def op3_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    split = remainder("doc_id", 7)
+    model = lm.train(docs.where(split != 2))
+    return lm.score(docs.select("doc_id", (split == 2).alias("held_out"), text_bytes().alias("body")), model)
 
 
 def op4_simhash(spark, sf_dir):
@@ -19,10 +28,16 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark, sf_dir):
+    return tokenbin.export(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
+    "op3_lm_score": op3_lm_score,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
