@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from corpusloom.llm import decontam, exact, lm, simhash, tokenbin
+from corpusloom.llm import decontam, exact, langid, lm, simhash, tokenbin
 from corpusloom.llm.common import remainder, table, text_bytes
 
 
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    split = remainder("doc_id", 4)
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    langs, probs = langid.fit(docs.where(split != 2), pieces)
+    return langid.predict(docs.withColumn("held_out", split == 2), pieces, langs, probs, ["doc_id", "held_out"])
+
+
 def op3_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     split = remainder("doc_id", 7)
@@ -33,6 +41,7 @@ def op10_token_files(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_lm_score": op3_lm_score,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
