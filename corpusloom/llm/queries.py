@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact, langid, lm, simhash, tokenbin
+from corpusloom.llm import decontam, exact, langid, lm, simhash, tokenbin, toxicity
 from corpusloom.llm.common import remainder, table, text_bytes
 
 
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    split = remainder("doc_id", 3)
+    model = toxicity.fit(docs.where(split != 1), labels.where(split != 1))
+    scored = toxicity.score(docs.withColumn("held_out", split == 1), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     split = remainder("doc_id", 4)
@@ -41,6 +50,7 @@ def op10_token_files(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_lm_score": op3_lm_score,
     "op4_simhash": op4_simhash,
