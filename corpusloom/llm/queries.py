@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact, langid, lm, simhash, tokenbin, toxicity
+from corpusloom.llm import decontam, exact, html, langid, lm, simhash, tokenbin, toxicity
 from corpusloom.llm.common import remainder, table, text_bytes
 
 
@@ -45,6 +45,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark, sf_dir):
     return tokenbin.export(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
 }
 
