@@ -29,9 +29,13 @@ result; a text of any length is encoded whole.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +49,15 @@ from corpusloom.llm.common import input_partitions, new_path, small_batches
 MAGIC = b"CLTOKEF1"
 HEAD = struct.Struct("<8sIIQQQ")
 NULL_ID = -(1 << 63)
-CACHE_PIECES = 400_000
+CACHE_PIECES = 320_000
+TEXTS_AT_ONCE = 128
+JOINED_PIECES = 4096
 #: Fixed value: the byte-level pre-token pattern that the tokenizer file's "use_regex" stands for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same pattern where all characters are ASCII.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+
 
 # ------------------------------------------------------------ encoding
 class Encoder:
@@ -73,23 +82,51 @@ class Encoder:
             and not spec["model"].get("end_of_word_suffix")
         )
         self.pattern = regex.compile(PIECES)
+        self.ascii_pattern = re.compile(ASCII_PIECES, re.A)
+        self.plain = regex.compile(r" \p{L}+")
         self.known: dict = {}
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list) -> list:
+        """The ids of each text."""
         if not self.piecewise:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        pieces = self.pattern.findall(text)
+            return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        split = [(self.ascii_pattern if t.isascii() else self.pattern).findall(t) for t in texts]
         known = self.known
-        try:
-            packed = b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > CACHE_PIECES:
-                known.clear()
-            new = list({p for p in pieces if p not in known})
-            for piece, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-            packed = b"".join([known[p] for p in pieces])
-        return np.frombuffer(packed, dtype="<u4")
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(new)
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") for pieces in split]
+
+    def _learn(self, new: set) -> None:
+        """Ask the library: words after a space many at a time, as they stay apart in one text; the rest one by one."""
+        words = list(filter(self.plain.fullmatch, new))
+        for k in range(0, len(words), JOINED_PIECES):
+            part = words[k : k + JOINED_PIECES]
+            found = self.library.encode("".join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
+            cuts = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(ids)] * 4
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the pre-tokenizer joined two words")
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
+        rest = list(new.difference(words))
+        for k in range(0, len(rest), JOINED_PIECES):
+            part = rest[k : k + JOINED_PIECES]
+            for piece, found in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
+                self.known[piece] = array("I", found.ids).tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker; its own threads would only fight for the task's core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 # ------------------------------------------------------------ Elias-Fano
@@ -142,14 +179,16 @@ class Boundaries:
         return (spots - np.arange(self.n)) << self.low_bits | low
 
 
-def pack(ids: list, doc_ids: list, width: int) -> bytes:
+def pack(ids: list, doc_ids: list, width: int):
+    """The bytes of a file, piece by piece."""
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     low_bits, low, high = elias_fano(ends, total)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    names = np.array([NULL_ID if x is None else x for x in doc_ids], dtype="<i8")
-    return HEAD.pack(MAGIC, width, low_bits, len(ids), total, len(high)) + low + high + names.tobytes() + flat.astype(f"<u{width}").tobytes()
+    yield HEAD.pack(MAGIC, width, low_bits, len(ids), total, len(high)) + low + high
+    yield np.array([NULL_ID if x is None else x for x in doc_ids], dtype="<i8").tobytes()
+    for x in ids:
+        yield x.astype(f"<u{width}").tobytes()
 
 
 class TokenFile:
@@ -191,17 +230,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int
 
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
-        end = np.array([end_id], dtype=np.uint32)
+        end = np.array([end_id], dtype=f"<u{width}")
         part = TaskContext.get().partitionId()
         ids, names = [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.concatenate([encoder.encode(text or ""), end])
-                if width == 2 and int(found.max()) > 65535:
-                    raise ValueError("an id needs more than two bytes: use width=4")
-                ids.append(found.astype(f"<u{width}"))
-                names.append(doc_id)
+            names += batch.column(0).to_pylist()
+            texts = batch.column(1)
+            for k in range(0, len(texts), TEXTS_AT_ONCE):
+                for found in encoder(tokenizer).encode_all(texts.slice(k, TEXTS_AT_ONCE).to_pylist()):
+                    if width == 2 and len(found) and int(found.max()) > 65535:
+                        raise ValueError("an id needs more than two bytes: use width=4")
+                    ids.append(np.append(found.astype(f"<u{width}"), end))
         if not ids:
             return
         store, base = filesystem(folder)
@@ -209,7 +248,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int
         name = f"part-{part:06d}.ids"
         attempt = f"{base}/.{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(attempt) as out:
-            out.write(pack(ids, names, width))
+            for piece in pack(ids, names, width):
+                out.write(piece)
         store.move(attempt, f"{base}/{name}")
         yield pa.RecordBatch.from_pylist([{"file": part, "name": name, "n_docs": len(ids), "n_ids": sum(map(len, ids))}])
 
