@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact, html, langid, lm, simhash, tokenbin, toxicity
+from corpusloom.llm import decontam, exact, html, langid, lm, sentpiece, simhash, tokenbin, toxicity
 from corpusloom.llm.common import remainder, table, text_bytes
 
 
@@ -45,6 +45,16 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    vocab = sentpiece.load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = sentpiece.encode(docs, vocab, ["doc_id", "text"]).withColumnRenamed("text", "source")
+    decoded = sentpiece.decode(encoded, vocab, ["doc_id", "source"])
+    n_tokens = F.expr("cast(length(ids) div 4 AS bigint)")
+    same = F.col("text") == F.translate("source", sentpiece.MARK, " ")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op9_html_text(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -60,6 +70,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
 }

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-A text is cut into units, maximal runs of the space mark followed by other
-characters; no piece crosses a unit's end (checked when the vocabulary is
-loaded).  The distinct units of all texts go through the lattice once:
+A text is cut into units: runs of the space mark followed by other characters,
+cut again between letters and ASCII signs.  No piece crosses a unit's end, which
+is checked when the vocabulary is loaded.  The distinct units of all texts go through the lattice once:
 
 1. explode the substrings of bounded length of every unit,
 2. equi-join them to the piece table,
@@ -38,6 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +46,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize, small_batches
 
 MARK = "▁"
-MAX_UNITS = 8_000_000
+MAX_UNITS = 6_000_000
 FOLD_LIMIT = 48
 NO_SCORE = -1e30
+SIGN = "!-/:-@\\[-`{-~"
 UNITS = r"▁*[^▁]+|▁+"  # for a marked text
 
 
@@ -59,6 +61,7 @@ class Vocabulary:
     longest: int
     bpe: bool
     prefix: bool
+    split_signs: bool  # no piece has a letter beside an ASCII sign, so units may be cut there
 
     def fallback(self, char: str) -> list:
         return [self.bytes_from + b for b in char.encode()] if self.bytes_from >= 0 else [self.unknown]
@@ -81,7 +84,9 @@ def load(path: str, kind: str | None = None, prefix: bool = True) -> Vocabulary:
     if kind is None:
         multi = [s for p, (_, s) in pieces.items() if s > -1e8]
         kind = "bpe" if multi and all(s == int(s) for s in multi) else "unigram"
-    return Vocabulary(pieces, first, model.unk_id(), max(map(len, pieces)), kind == "bpe", prefix)
+    beside = regex.compile(rf"\p{{L}}[{SIGN}]|[{SIGN}]\p{{L}}")
+    split = not any(beside.search(p) for p in pieces)
+    return Vocabulary(pieces, first, model.unk_id(), max(map(len, pieces)), kind == "bpe", prefix, split)
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
@@ -158,14 +163,14 @@ def ids_of(unit: str, ends: list, vocab: Vocabulary) -> list:
 
 
 # ------------------------------------------------------------ folding units in Spark
-def distinct_units(docs: DataFrame, prefix: bool) -> DataFrame:
+def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """(unit): the distinct units of column text; each task sends a unit once per block of texts."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         held = None
         for batch in batches:
-            found = pc.unique(units_of(batch.column(0), prefix)[0])
+            found = pc.unique(units_of(batch.column(0), vocab)[0])
             held = found if held is None else pc.unique(pa.concat_arrays([held, found]))
             if len(held) > 200_000:
                 yield pa.RecordBatch.from_arrays([held], names=["unit"])
@@ -176,23 +181,24 @@ def distinct_units(docs: DataFrame, prefix: bool) -> DataFrame:
     return docs.select("text").mapInArrow(run, "unit string").distinct()
 
 
-def units_of(texts: pa.Array, prefix: bool) -> tuple:
+def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
     """(units, offsets) of an array of texts: units of text i are units[offsets[i]:offsets[i + 1]].
 
-    A separator no text can hold apart from an escape is put before every unit:
-    0x01 and 0x02 in texts are set aside by doubling first.
+    The separator 0x01 is put before every unit; texts that hold one are cut in Python.
     """
     texts = pc.fill_null(texts, "")
     flat = pc.replace_substring(texts, " ", MARK)
-    if prefix:
+    if vocab.prefix:
         flat = pc.if_else(pc.equal(flat, ""), "", pc.binary_join_element_wise(MARK, flat, ""))
     if pc.any(pc.match_substring(flat, "\x01")).as_py():
-        import re
-
-        cut = re.compile(UNITS, re.S)
-        lists = [cut.findall(t) for t in flat.to_pylist()]
+        cut = regex.compile(UNITS, regex.S)
+        again = regex.compile(rf"(?<=\p{{L}})(?=[{SIGN}])|(?<=[{SIGN}])(?=\p{{L}})", regex.V1)
+        lists = [[v for u in cut.findall(t) for v in (again.split(u) if vocab.split_signs else (u,))] for t in flat.to_pylist()]
         return pa.array([u for x in lists for u in x], pa.string()), np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
     split = pc.replace_substring_regex(flat, "([^▁\x01])▁", "\\1\x01▁")
+    if vocab.split_signs:
+        split = pc.replace_substring_regex(split, rf"(\p{{L}})([{SIGN}])", "\\1\x01\\2")
+        split = pc.replace_substring_regex(split, rf"([{SIGN}])(\p{{L}})", "\\1\x01\\2")
     lists = pc.split_pattern(split, "\x01")
     empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
     sizes = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -279,17 +285,23 @@ class Packed:
 
 
 def pack(coded: DataFrame) -> Packed:
-    hashes, ids = [], []
+    """From (unit, ids); works on Arrow buffers, so the driver holds numbers and no row objects."""
+    hashes, sizes, data = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u2")]
     for batch in arrow_batches(coded):
-        hashes.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        ids += batch.column(1).to_pylist()
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        hashes.append(batch.column(0).to_numpy().view(np.uint64))
+        column = batch.column(1)
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        sizes.append(np.diff(offsets) // 2)
+        data.append(np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u2"))
+    hashes, sizes, data = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(data)
     order = np.argsort(hashes)
     hashes = hashes[order]
-    if len(hashes) and (hashes[1:] == hashes[:-1]).any():
+    if (hashes[1:] == hashes[:-1]).any():
         raise ValueError("two units share a hash")
-    sizes = np.array([len(x) // 2 for x in ids], dtype=np.int64)[order]
-    return Packed(hashes, np.r_[0, np.cumsum(sizes)].astype(np.uint32), np.frombuffer(b"".join([ids[k] for k in order]), dtype="<u2"))
+    first, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    starts = np.r_[0, np.cumsum(sizes)]
+    spot = np.repeat(first - starts[:-1], sizes) + np.arange(int(starts[-1]))
+    return Packed(hashes, starts.astype(np.uint32), data[spot])
 
 
 def arrow_batches(df: DataFrame):
@@ -310,7 +322,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list, max_units: int = MAX_
     spark = docs.sparkSession
     small_batches(spark)
     named = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    coded = materialize(encode_units(distinct_units(named, vocab.prefix), vocab, fold_limit), "sp-units")
+    coded = materialize(encode_units(distinct_units(named, vocab), vocab, fold_limit), "sp-units")
     small = max((i for i, _ in vocab.pieces.values()), default=0) < 65536
     if small and coded.count() <= max_units:
         with_ids = _encode_broadcast(named, coded, vocab, keep)
@@ -330,7 +342,7 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
     def run(batches):
         table = sent.value
         for batch in batches:
-            units, offsets = units_of(batch.column(len(keep)), vocab.prefix)
+            units, offsets = units_of(batch.column(len(keep)), vocab)
             coded = units.dictionary_encode() if not isinstance(units, pa.ChunkedArray) else units.combine_chunks().dictionary_encode()
             at = coded.indices.to_numpy().astype(np.int64)
             first, last = table.spans(coded.dictionary.to_pylist())
@@ -349,7 +361,10 @@ def _encode_joined(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep:
     """Texts as rows of units: AQE splits the shuffled side of frequent units; documents regroup by a row key."""
     rows = materialize(named.withColumn("_row", F.monotonically_increasing_id()), "sp-rows")
     marked_text = F.concat(F.lit(MARK if vocab.prefix else ""), F.translate("text", " ", MARK))
-    units = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked_text, F.lit("(?s)" + UNITS), F.lit(0)))
+    units = F.regexp_extract_all(marked_text, F.lit("(?s)" + UNITS), F.lit(0))
+    if vocab.split_signs:
+        units = F.flatten(F.transform(units, lambda u: F.split(u, rf"(?<=\p{{L}})(?=[{SIGN}])|(?<=[{SIGN}])(?=\p{{L}})")))
+    units = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(units)
     parts = rows.select("_row", F.posexplode(units).alias("_at", "unit")).join(coded, "unit")
     joined = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("parts"))
     joined = joined.select("_row", F.expr("aggregate(parts, cast('' AS binary), (a, x) -> concat(a, x.ids))").alias("ids"))
