@@ -321,8 +321,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list, max_units: int = MAX_
     """The columns ``keep`` of docs (which has text), with ids binary (little-endian u32), n_tokens, decoded text."""
     spark = docs.sparkSession
     small_batches(spark)
-    named = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    coded = materialize(encode_units(distinct_units(named, vocab), vocab, fold_limit), "sp-units")
+    named = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_sp_text"))
+    coded = materialize(encode_units(distinct_units(named.select(F.col("_sp_text").alias("text")), vocab), vocab, fold_limit), "sp-units")
     small = max((i for i, _ in vocab.pieces.values()), default=0) < 65536
     if small and coded.count() <= max_units:
         with_ids = _encode_broadcast(named, coded, vocab, keep)
@@ -360,11 +360,11 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
 def _encode_joined(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep: list) -> DataFrame:
     """Texts as rows of units: AQE splits the shuffled side of frequent units; documents regroup by a row key."""
     rows = materialize(named.withColumn("_row", F.monotonically_increasing_id()), "sp-rows")
-    marked_text = F.concat(F.lit(MARK if vocab.prefix else ""), F.translate("text", " ", MARK))
+    marked_text = F.concat(F.lit(MARK if vocab.prefix else ""), F.translate("_sp_text", " ", MARK))
     units = F.regexp_extract_all(marked_text, F.lit("(?s)" + UNITS), F.lit(0))
     if vocab.split_signs:
         units = F.flatten(F.transform(units, lambda u: F.split(u, rf"(?<=\p{{L}})(?=[{SIGN}])|(?<=[{SIGN}])(?=\p{{L}})")))
-    units = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(units)
+    units = F.when(F.col("_sp_text") == "", F.array().cast("array<string>")).otherwise(units)
     parts = rows.select("_row", F.posexplode(units).alias("_at", "unit")).join(coded, "unit")
     joined = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("parts"))
     joined = joined.select("_row", F.expr("aggregate(parts, cast('' AS binary), (a, x) -> concat(a, x.ids))").alias("ids"))

@@ -290,3 +290,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.lpad(F.lower(F.hex("component_fp")), 16, "0").alias("component_fp")
     )
+
+
+def deduplicate(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """One document of each component stays, with all its columns: the smallest doc_id, then the smallest text digest.
+
+    Null ids come last; rows that repeat both id and text count as one.  Only
+    keys and fingerprints travel until the final join.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            prints = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["near_key", "fp"])
+
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) + F.lit(str(2**63)).cast("decimal(20,0)")
+    key = F.concat_ws(":", F.lpad(place.cast("string"), 20, "0"), digest)  # sorts as the id does
+    prints = materialize(docs.select(key.alias("near_key"), text_bytes().alias("body")).mapInArrow(run, "near_key string, fp long"), "prints")
+    rooted = components(links(prints, radius))
+    least = prints.groupBy("fp").agg(F.min("near_key").alias("near_key"))
+    least = least.join(rooted, least.fp == rooted.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("near_key").alias("_near_key"))
+    return docs.withColumn("_near_key", key).join(least.select("_near_key"), "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(*docs.columns)
