@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact, html, langid, lm, sentpiece, simhash, tokenbin, toxicity
+from corpusloom.llm import decontam, exact, html, langid, lm, sentpiece, simhash, substring, tokenbin, toxicity
 from corpusloom.llm.common import remainder, table, text_bytes
 
 
@@ -41,6 +41,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontam.digest(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op6_substrings(spark, sf_dir):
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_lm_score": op3_lm_score,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substrings": op6_substrings,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
