@@ -48,6 +48,8 @@ from corpusloom.llm.common import materialize, small_batches
 MARK = "▁"
 MAX_UNITS = 6_000_000
 FOLD_LIMIT = 48
+TEXTS_AT_ONCE = 128
+GROUPS_IN_MEMORY = 50_000
 NO_SCORE = -1e30
 SIGN = "!-/:-@\\[-`{-~"
 UNITS = r"▁*[^▁]+|▁+"  # for a marked text
@@ -90,7 +92,8 @@ def load(path: str, kind: str | None = None, prefix: bool = True) -> Vocabulary:
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
-    rows = pa.table({"piece": list(vocab.pieces), "id": pa.array([i for i, _ in vocab.pieces.values()], pa.int32()), "score": pa.array([float(s) for _, s in vocab.pieces.values()], pa.float64())})
+    ids, scores = zip(*vocab.pieces.values())
+    rows = pa.table({"piece": [*vocab.pieces, ""], "id": pa.array([*ids, -1], pa.int32()), "score": pa.array([*map(float, scores), 0.0], pa.float64())})
     return spark.createDataFrame(rows)
 
 
@@ -170,11 +173,12 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
-            found = pc.unique(units_of(batch.column(0), vocab)[0])
-            held = found if held is None else pc.unique(pa.concat_arrays([held, found]))
-            if len(held) > 200_000:
-                yield pa.RecordBatch.from_arrays([held], names=["unit"])
-                held = None
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                found = pc.unique(units_of(batch.column(0).slice(k, TEXTS_AT_ONCE), vocab)[0])
+                held = found if held is None else pc.unique(pa.concat_arrays([held, found]))
+                if len(held) > 100_000:
+                    yield pa.RecordBatch.from_arrays([held], names=["unit"])
+                    held = None
         if held is not None:
             yield pa.RecordBatch.from_arrays([held], names=["unit"])
 
@@ -208,11 +212,18 @@ def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
     return units, np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): edges is an array of (first, last, id, score) sorted by first, last; ends are exclusive, starts from 0."""
-    spread = units.select("unit", F.posexplode(F.expr(f"flatten(transform(sequence(1, length(unit)), i -> transform(sequence(1, least({longest}, length(unit) - i + 1)), n -> struct(i - 1 AS first, i - 1 + n AS last, substring(unit, i, n) AS piece))))")).alias("_", "s"))
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1, fold_limit: int = 1 << 30) -> DataFrame:
+    """(unit, edges): edges is an array of (first, last, id, score) sorted by first, last; ends are exclusive, starts from 0.
+
+    Units without edges, or above fold_limit, have an empty array: each unit also
+    sends the empty string, which the piece table answers with id -1.  Grouping
+    by unit reuses the exchange that made the units distinct.
+    """
+    spans = f"flatten(transform(sequence(1, length(unit)), i -> transform(filter(sequence({shortest}, {longest}), n -> n <= length(unit) - i + 1), n -> struct(i - 1 AS first, i - 1 + n AS last, substring(unit, i, n) AS piece))))"
+    none = "array(struct(0 AS first, 0 AS last, '' AS piece))"
+    spread = units.select("unit", F.explode(F.expr(f"if(length(unit) > {fold_limit}, {none}, concat({none}, {spans}))")).alias("s"))
     edges = spread.select("unit", "s.first", "s.last", "s.piece").join(F.broadcast(pieces), "piece")
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("first", "last", "id", "score"))).alias("edges"))
+    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.struct("first", "last", "id", "score")))).alias("edges"))
 
 
 #: One merging step: among the cuts c[k] whose removal joins two neighbours to a piece, remove the best-scored, leftmost one.
@@ -248,16 +259,13 @@ def encode_units(units: DataFrame, vocab: Vocabulary, fold_limit: int = FOLD_LIM
     """(unit, ids binary): little-endian u32 ids of every unit."""
     spark = units.sparkSession
     small_batches(spark)
-    short = units.where(F.length("unit") <= fold_limit)
-    none = F.expr("cast(array() AS array<struct<first:int,last:int,id:int,score:double>>)")
-    edges = lattice(short, piece_table(spark, vocab), vocab.longest).select("unit", "edges")
-    folded = short.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", none))
+    edges = lattice(units, piece_table(spark, vocab), vocab.longest, 2 if vocab.bpe else 1, fold_limit)
     if vocab.bpe:
-        folded = folded.withColumn("ends", F.expr(BPE_FOLD))
+        fold = BPE_FOLD
     else:
         floor = min((s for _, s in vocab.pieces.values() if s > -1e8), default=0.0) - 10.0
-        folded = folded.withColumn("ends", F.expr(VITERBI_FOLD.format(edges=PATCHED.format(floor=floor))))
-    done = folded.select("unit", "ends").unionByName(units.where(F.length("unit") > fold_limit).select("unit", F.lit(None).cast("array<int>").alias("ends")))
+        fold = VITERBI_FOLD.format(edges=PATCHED.format(floor=floor))
+    done = edges.select("unit", F.when(F.length("unit") <= fold_limit, F.expr(fold)).alias("ends"))
 
     def run(batches):
         cuts = bpe_cuts if vocab.bpe else viterbi_cuts
@@ -322,7 +330,15 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list, max_units: int = MAX_
     spark = docs.sparkSession
     small_batches(spark)
     named = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_sp_text"))
-    coded = materialize(encode_units(distinct_units(named.select(F.col("_sp_text").alias("text")), vocab), vocab, fold_limit), "sp-units")
+    coded = encode_units(distinct_units(named.select(F.col("_sp_text").alias("text")), vocab), vocab, fold_limit)
+    # Groups of edges are small and come one after the other: aggregate them in memory, sorting only beyond many units.
+    option = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(option)
+    spark.conf.set(option, str(GROUPS_IN_MEMORY))
+    try:
+        coded = materialize(coded, "sp-units")
+    finally:
+        spark.conf.set(option, before)
     small = max((i for i, _ in vocab.pieces.values()), default=0) < 65536
     if small and coded.count() <= max_units:
         with_ids = _encode_broadcast(named, coded, vocab, keep)
@@ -341,18 +357,20 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
 
     def run(batches):
         table = sent.value
-        for batch in batches:
-            units, offsets = units_of(batch.column(len(keep)), vocab)
-            coded = units.dictionary_encode() if not isinstance(units, pa.ChunkedArray) else units.combine_chunks().dictionary_encode()
-            at = coded.indices.to_numpy().astype(np.int64)
-            first, last = table.spans(coded.dictionary.to_pylist())
-            sizes = (last - first).astype(np.int64)[at]
-            ends = np.r_[0, np.cumsum(sizes)]
-            spot = np.repeat(first.astype(np.int64)[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))
-            ids = table.data[spot].astype("<u4")
-            cuts = ends[offsets]
-            out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=[*keep, "ids"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(k, TEXTS_AT_ONCE)
+                units, offsets = units_of(batch.column(len(keep)), vocab)
+                coded = units.dictionary_encode()
+                at = coded.indices.to_numpy().astype(np.int64)
+                first, last = table.spans(coded.dictionary.to_pylist())
+                sizes = (last - first).astype(np.int64)[at]
+                ends = np.r_[0, np.cumsum(sizes)]
+                spot = np.repeat(first.astype(np.int64)[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))
+                ids = table.data[spot].astype("<u4")
+                cuts = ends[offsets]
+                out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=[*keep, "ids"])
 
     return named.mapInArrow(run, _schema(named, keep))
 

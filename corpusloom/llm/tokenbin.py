@@ -49,7 +49,7 @@ from corpusloom.llm.common import input_partitions, new_path, small_batches
 MAGIC = b"CLTOKEF1"
 HEAD = struct.Struct("<8sIIQQQ")
 NULL_ID = -(1 << 63)
-CACHE_PIECES = 320_000
+CACHE_PIECES = 700_000
 TEXTS_AT_ONCE = 128
 JOINED_PIECES = 4096
 #: Fixed value: the byte-level pre-token pattern that the tokenizer file's "use_regex" stands for.
@@ -58,6 +58,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The same pattern where all characters are ASCII.
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
+#: And where all characters are ASCII or Latin letters.
+LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+"
+
 
 # ------------------------------------------------------------ encoding
 class Encoder:
@@ -83,6 +86,8 @@ class Encoder:
         )
         self.pattern = regex.compile(PIECES)
         self.ascii_pattern = re.compile(ASCII_PIECES, re.A)
+        self.latin_pattern = re.compile(LATIN_PIECES)
+        self.other = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
         self.plain = regex.compile(r" \p{L}+")
         self.known: dict = {}
 
@@ -93,7 +98,7 @@ class Encoder:
         """The ids of each text."""
         if not self.piecewise:
             return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        split = [(self.ascii_pattern if t.isascii() else self.pattern).findall(t) for t in texts]
+        split = [(self.ascii_pattern if t.isascii() else self.pattern if self.other.search(t) else self.latin_pattern).findall(t) for t in texts]
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
