@@ -49,7 +49,7 @@ MARK = "▁"
 MAX_UNITS = 6_000_000
 FOLD_LIMIT = 48
 TEXTS_AT_ONCE = 128
-GROUPS_IN_MEMORY = 50_000
+GROUPS_IN_MEMORY = 10_000
 NO_SCORE = -1e30
 SIGN = "!-/:-@\\[-`{-~"
 UNITS = r"▁*[^▁]+|▁+"  # for a marked text
@@ -219,10 +219,12 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1
     sends the empty string, which the piece table answers with id -1.  Grouping
     by unit reuses the exchange that made the units distinct.
     """
-    spans = f"flatten(transform(sequence(1, length(unit)), i -> transform(filter(sequence({shortest}, {longest}), n -> n <= length(unit) - i + 1), n -> struct(i - 1 AS first, i - 1 + n AS last, substring(unit, i, n) AS piece))))"
-    none = "array(struct(0 AS first, 0 AS last, '' AS piece))"
-    spread = units.select("unit", F.explode(F.expr(f"if(length(unit) > {fold_limit}, {none}, concat({none}, {spans}))")).alias("s"))
-    edges = spread.select("unit", "s.first", "s.last", "s.piece").join(F.broadcast(pieces), "piece")
+    # Two plain explodes: unlike array functions, they run in generated code.
+    starts = f"if(length(unit) > {fold_limit}, array(0), sequence(0, length(unit) - {shortest - 1}))"
+    sizes = f"if(i = 0, array(0), sequence({shortest}, least({longest}, length(unit) - i + 1)))"
+    spread = units.select("unit", F.explode(F.expr(starts)).alias("i")).select("unit", "i", F.explode(F.expr(sizes)).alias("n"))
+    spread = spread.select("unit", (F.col("i") - 1).alias("first"), (F.col("i") + F.col("n") - 1).alias("last"), F.expr("substring(unit, i, n)").alias("piece"))
+    edges = spread.join(F.broadcast(pieces), "piece")
     return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.struct("first", "last", "id", "score")))).alias("edges"))
 
 
@@ -326,7 +328,8 @@ def arrow_batches(df: DataFrame):
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, keep: list, max_units: int = MAX_UNITS, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """The columns ``keep`` of docs (which has text), with ids binary (little-endian u32), n_tokens, decoded text."""
+    """The columns ``keep`` of docs (which has text), with ids binary (little-endian u32) and round_trip: whether the
+    ids decode to the text again (decoded beside the encoding, so that texts cross to Python once)."""
     spark = docs.sparkSession
     small_batches(spark)
     named = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_sp_text"))
@@ -349,14 +352,14 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list, max_units: int = MAX_
 
 def _schema(named: DataFrame, keep: list) -> str:
     kinds = dict(named.dtypes)
-    return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary"])
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary", "round_trip boolean"])
 
 
 def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep: list) -> DataFrame:
     sent = named.sparkSession.sparkContext.broadcast(pack(coded))
 
     def run(batches):
-        table = sent.value
+        table, back = sent.value, Decoder(vocab)
         for whole in batches:
             for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(k, TEXTS_AT_ONCE)
@@ -370,7 +373,8 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
                 ids = table.data[spot].astype("<u4")
                 cuts = ends[offsets]
                 out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=[*keep, "ids"])
+                same = [back.text(x) == t.replace(MARK, " ") for x, t in zip(out, batch.column(len(keep)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary()), pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"])
 
     return named.mapInArrow(run, _schema(named, keep))
 
@@ -386,31 +390,44 @@ def _encode_joined(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep:
     parts = rows.select("_row", F.posexplode(units).alias("_at", "unit")).join(coded, "unit")
     joined = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("parts"))
     joined = joined.select("_row", F.expr("aggregate(parts, cast('' AS binary), (a, x) -> concat(a, x.ids))").alias("ids"))
-    return rows.join(joined, "_row", "left").select(*keep, F.coalesce("ids", F.lit(b"").cast("binary")).alias("ids"))
+    found = rows.join(joined, "_row", "left").select(*keep, F.coalesce("ids", F.lit(b"").cast("binary")).alias("ids"), "_sp_text")
+
+    def check(batches):
+        back, n = Decoder(vocab), len(keep)
+        for batch in batches:
+            same = [back.text(x) == t.replace(MARK, " ") for x, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"])
+
+    return found.mapInArrow(check, _schema(named, keep))
+
+
+class Decoder:
+    """Ids to text; the space that the prefix added goes."""
+
+    def __init__(self, vocab: Vocabulary):
+        names = {i: p for p, (i, _) in vocab.pieces.items()}
+        table = [names.get(i, "").encode() for i in range(max([vocab.bytes_from + 256, *names]) + 1)]
+        if vocab.bytes_from >= 0:
+            for b in range(256):
+                table[vocab.bytes_from + b] = bytes([b])
+        table[vocab.unknown] = " \u2047 ".encode()
+        self.get, self.prefix, self.mark = table.__getitem__, vocab.prefix, MARK.encode()
+
+    def text(self, ids: bytes) -> str:
+        text = b"".join(map(self.get, np.frombuffer(ids, dtype="<u4").tolist())).replace(self.mark, b" ").decode("utf-8", "replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, keep: list) -> DataFrame:
     """The columns ``keep`` and ids of encoded, with text decoded from the ids."""
     small_batches(encoded.sparkSession)
-    names = {i: p for p, (i, _) in vocab.pieces.items()}
-    top = max(names, default=0) + 1
-    table = [names.get(i, "").encode() for i in range(max(top, vocab.bytes_from + 256))]
-    if vocab.bytes_from >= 0:
-        for b in range(256):
-            table[vocab.bytes_from + b] = bytes([b])
-    table[vocab.unknown] = " \u2047 ".encode()
     kinds = dict(encoded.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary, text string"])
-    mark = MARK.encode()
-    sent = encoded.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        get = sent.value.__getitem__
+        back = Decoder(vocab)
         for batch in batches:
-            out = []
-            for ids in batch.column(len(keep)).to_pylist():
-                text = b"".join(map(get, np.frombuffer(ids, dtype="<u4").tolist())).replace(mark, b" ").decode("utf-8", "replace")
-                out.append(text[1:] if vocab.prefix and text[:1] == " " else text)
+            out = [back.text(ids) for ids in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep) + 1)), pa.array(out, pa.string())], names=[*keep, "ids", "text"])
 
     return encoded.select(*keep, "ids").mapInArrow(run, schema)
