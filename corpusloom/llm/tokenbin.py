@@ -32,7 +32,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -55,11 +54,8 @@ JOINED_PIECES = 4096
 #: Fixed value: the byte-level pre-token pattern that the tokenizer file's "use_regex" stands for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: The same pattern where all characters are ASCII.
-ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-
-#: And where all characters are ASCII or Latin letters.
-LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+"
+#: White space other than the space and the line feed.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 # ------------------------------------------------------------ encoding
@@ -85,46 +81,70 @@ class Encoder:
             and not spec["model"].get("end_of_word_suffix")
         )
         self.pattern = regex.compile(PIECES)
-        self.ascii_pattern = re.compile(ASCII_PIECES, re.A)
-        self.latin_pattern = re.compile(LATIN_PIECES)
-        self.other = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
-        self.plain = regex.compile(r" \p{L}+")
-        self.known: dict = {}
+        self.known: dict = {}  # what follows a space
+        self.bare: dict = {}  # pieces as they are
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list) -> list:
-        """The ids of each text."""
+        """The ids of each text.
+
+        Texts are cut before every space.  That is where a pre-token begins, unless white space stands on the
+        other side too; texts with such places, or with other white space, are cut by the pattern itself.
+        """
         if not self.piecewise:
             return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        split = [(self.ascii_pattern if t.isascii() else self.pattern if self.other.search(t) else self.latin_pattern).findall(t) for t in texts]
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
-        new = set().union(*split).difference(known)
+        if len(self.bare) > CACHE_PIECES // 8:
+            self.bare.clear()
+        split = [t.split(" ") if self._simple(t) else None for t in texts]
+        new = set().union(*(parts[1:] for parts in split if parts)).difference(known)
         if new:
             self._learn(new)
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), dtype="<u4") for pieces in split]
+        out = []
+        for text, parts in zip(texts, split):
+            if parts is None:
+                packed = b"".join(map(self._piece, self.pattern.findall(text)))
+            else:
+                packed = b"".join([self._piece(parts[0]), *map(get, parts[1:])])
+            out.append(np.frombuffer(packed, dtype="<u4"))
+        return out
+
+    def _simple(self, text: str) -> bool:
+        return "  " not in text and "\n " not in text and not any(c in text for c in OTHER_SPACE)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.bare.get(piece)
+        if found is None:
+            found = self.bare[piece] = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        return found
 
     def _learn(self, new: set) -> None:
-        """Ask the library: words after a space many at a time, as they stay apart in one text; the rest one by one."""
-        words = list(filter(self.plain.fullmatch, new))
+        """Ids of what follows a space up to the next.
+
+        Words of letters are one pre-token each: many go to the library in one text, whose word numbers part them.
+        Anything else is put together from its pre-tokens.
+        """
+        known, findall = self.known, self.pattern.findall
+        words = set(filter(str.isalpha, new))
+        mixed = {w: findall(" " + w) for w in new.difference(words)}
+        inner = {p[1:] for pieces in mixed.values() for p in pieces if p[0] == " " and p[1:].isalpha()}
+        words = list(words.union(inner.difference(known)))
         for k in range(0, len(words), JOINED_PIECES):
             part = words[k : k + JOINED_PIECES]
-            found = self.library.encode("".join(part), add_special_tokens=False)
+            found = self.library.encode(" " + " ".join(part), add_special_tokens=False)
             ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
             cuts = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(ids)] * 4
             if len(cuts) != len(part) + 1:
-                raise ValueError("the pre-tokenizer joined two words")
-            raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
-        rest = list(new.difference(words))
-        for k in range(0, len(rest), JOINED_PIECES):
-            part = rest[k : k + JOINED_PIECES]
-            for piece, found in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.known[piece] = array("I", found.ids).tobytes()
+                raise ValueError("the pre-tokenizer cuts elsewhere than its pattern")
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            known.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+        for w, pieces in mixed.items():
+            known[w] = b"".join([known[p[1:]] if p[0] == " " and p[1:].isalpha() else self._piece(p) for p in pieces])
 
 
 @functools.lru_cache(maxsize=1)
