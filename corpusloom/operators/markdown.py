@@ -49,6 +49,10 @@ def look_up(entries: Column, key: str) -> Column:
     return F.coalesce(e["value"], F.to_json(e["items"]))
 
 
+def _header(sign: str):
+    return lambda x: x.startswith(sign + " ") | (x == sign)
+
+
 def structure(df: DataFrame, column: str = "text", stem: Column | None = None) -> DataFrame:
     """Adds S8 to S14: has_frontmatter, title, author, creation_date, tags, description, categories, h1 to h6, first_h1,
     code_blocks, list_items, link_count, line_count.  Counts cover front matter and code as well; missing is null or zero."""
@@ -56,7 +60,7 @@ def structure(df: DataFrame, column: str = "text", stem: Column | None = None) -
     out = out.withColumn("_m_bare", F.transform("_m_lines", T.strip))
     for n in range(1, 7):
         sign = "#" * n
-        out = out.withColumn(f"h{n}", F.size(F.filter("_m_bare", lambda x, s=sign: x.startswith(s + " ") | (x == s))))
+        out = out.withColumn(f"h{n}", F.size(F.filter("_m_bare", _header(sign))))
     first = F.try_element_at(F.filter("_m_bare", lambda x: x.startswith("# ")), F.lit(1))
     out = out.withColumn("first_h1", T.strip(F.substring(first, 3, 1 << 30)))
     # A first header without text is no title.
