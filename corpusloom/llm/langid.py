@@ -32,7 +32,8 @@ from corpusloom.llm.common import materialize, small_batches
 
 FLOOR = 1e-7
 PRIOR = 0.01
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+TEXTS_AT_ONCE = 256
 HASH_BASE = 0x9E3779B97F4A7C15
 GROUP_LETTERS = 400_000
 MARK = "▁"
@@ -206,7 +207,8 @@ def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep:
         n = len(langs)
         known: dict = {}
         table = np.zeros((1024, n))
-        for batch in batches:
+        for whole, k in ((b, k) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
+            batch = whole.slice(k, TEXTS_AT_ONCE)
             names, scores = [], []
             texts = batch.column(len(keep)).to_pylist()
             found = [LETTERS.findall(t.lower()) if t else () for t in texts]

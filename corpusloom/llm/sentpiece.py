@@ -49,7 +49,7 @@ MARK = "▁"
 MAX_UNITS = 6_000_000
 FOLD_LIMIT = 48
 TEXTS_AT_ONCE = 128
-GROUPS_IN_MEMORY = 10_000
+GROUPS_IN_MEMORY = 4_096
 NO_SCORE = -1e30
 SIGN = "!-/:-@\\[-`{-~"
 UNITS = r"▁*[^▁]+|▁+"  # for a marked text
@@ -182,7 +182,9 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_arrays([held], names=["unit"])
 
-    return docs.select("text").mapInArrow(run, "unit string").distinct()
+    # Tasks have removed repeats already: deal out first, so that no task aggregates its own rows once more.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("text").mapInArrow(run, "unit string").repartition(parts, "unit").distinct()
 
 
 def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
