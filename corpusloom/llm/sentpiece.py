@@ -201,15 +201,20 @@ def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
         again = regex.compile(rf"(?<=\p{{L}})(?=[{SIGN}])|(?<=[{SIGN}])(?=\p{{L}})", regex.V1)
         lists = [[v for u in cut.findall(t) for v in (again.split(u) if vocab.split_signs else (u,))] for t in flat.to_pylist()]
         return pa.array([u for x in lists for u in x], pa.string()), np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
-    split = pc.replace_substring_regex(flat, "([^▁\x01])▁", "\\1\x01▁")
+    if pc.any(pc.match_substring(flat, MARK + MARK)).as_py():
+        split = pc.replace_substring_regex(flat, "([^▁\x01])▁", "\\1\x01▁")
+        led = 0
+    else:  # the quick way leaves an empty unit before a leading mark
+        split = pc.replace_substring(flat, MARK, "\x01" + MARK)
+        led = pc.starts_with(flat, MARK).to_numpy(zero_copy_only=False).astype(np.int64)
     if vocab.split_signs:
         split = pc.replace_substring_regex(split, rf"(\p{{L}})([{SIGN}])", "\\1\x01\\2")
         split = pc.replace_substring_regex(split, rf"([{SIGN}])(\p{{L}})", "\\1\x01\\2")
     lists = pc.split_pattern(split, "\x01")
     empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
-    sizes = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    sizes = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False) - led)
     units = pc.list_flatten(lists)
-    if empty.any():
+    if empty.any() or np.any(led):
         units = units.filter(pc.not_equal(units, ""))
     return units, np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
@@ -291,11 +296,21 @@ class Packed:
     starts: np.ndarray
     data: np.ndarray
 
-    def spans(self, units: list) -> tuple:
-        found = np.searchsorted(self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, units), dtype=np.uint64, count=len(units)))
+    def spans(self, units: pa.Array) -> tuple:
+        found = np.searchsorted(self.hashes, hashes_of(units))
         return self.starts[found], self.starts[found + 1]
 
 
+def hashes_of(units: pa.Array) -> np.ndarray:
+    """XXH64 of every string, read from the array's buffers."""
+    n = len(units)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.frombuffer(units.buffers()[1], dtype=np.int32)[units.offset : units.offset + n + 1].tolist()
+    data, digest = units.buffers()[2].to_pybytes(), xxhash.xxh64_intdigest
+    return np.array([digest(data[a:b]) for a, b in zip(ends[:-1], ends[1:])], dtype=np.uint64)
+
+
 def pack(coded: DataFrame) -> Packed:
     """From (unit, ids); works on Arrow buffers, so the driver holds numbers and no row objects."""
     hashes, sizes, data = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u2")]
@@ -321,8 +336,7 @@ def arrow_batches(df: DataFrame):
 
     def run(batches):
         for batch in batches:
-            units = batch.column(0).to_pylist()
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, units), dtype=np.uint64, count=len(units)).view(np.int64)
+            hashes = hashes_of(batch.column(0)).view(np.int64)
             ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids, pa.binary())], names=["h", "ids"])
 
@@ -368,7 +382,7 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
                 units, offsets = units_of(batch.column(len(keep)), vocab)
                 coded = units.dictionary_encode()
                 at = coded.indices.to_numpy().astype(np.int64)
-                first, last = table.spans(coded.dictionary.to_pylist())
+                first, last = table.spans(coded.dictionary)
                 sizes = (last - first).astype(np.int64)[at]
                 ends = np.r_[0, np.cumsum(sizes)]
                 spot = np.repeat(first.astype(np.int64)[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))

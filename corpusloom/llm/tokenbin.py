@@ -54,6 +54,8 @@ JOINED_PIECES = 4096
 #: Fixed value: the byte-level pre-token pattern that the tokenizer file's "use_regex" stands for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Signs that often end a word.
+ENDS = frozenset(",.;:!?")
 #: White space other than the space and the line feed.
 OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -131,9 +133,12 @@ class Encoder:
         """
         known, findall = self.known, self.pattern.findall
         words = set(filter(str.isalpha, new))
-        mixed = {w: findall(" " + w) for w in new.difference(words)}
-        inner = {p[1:] for pieces in mixed.values() for p in pieces if p[0] == " " and p[1:].isalpha()}
-        words = list(words.union(inner.difference(known)))
+        mixed = new.difference(words)
+        marked = [w for w in mixed if w[-1:] in ENDS and w[:-1].isalpha()]  # a word and one sign
+        mixed = {w: findall(" " + w) for w in mixed.difference(marked)}
+        words.update([w[:-1] for w in marked])
+        words.update([p[1:] for pieces in mixed.values() for p in pieces if p[0] == " " and p[1:].isalpha()])
+        words = list(words.difference(known))
         for k in range(0, len(words), JOINED_PIECES):
             part = words[k : k + JOINED_PIECES]
             found = self.library.encode(" " + " ".join(part), add_special_tokens=False)
@@ -143,6 +148,8 @@ class Encoder:
                 raise ValueError("the pre-tokenizer cuts elsewhere than its pattern")
             raw, cuts = ids.tobytes(), cuts.tolist()
             known.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+        signs = {c: self._piece(c) for c in ENDS}
+        known.update([(w, known[w[:-1]] + signs[w[-1]]) for w in marked])
         for w, pieces in mixed.items():
             known[w] = b"".join([known[p[1:]] if p[0] == " " and p[1:].isalpha() else self._piece(p) for p in pieces])
 
