@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ class Tiktoken:
         self.path, self.pattern = path, pattern
 
     def _run(self, kind: str):
-        import pandas as pd
-
         path, pattern = self.path, self.pattern
 
         def one(batch: pd.Series) -> pd.Series:

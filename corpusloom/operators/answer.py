@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def answer(prompts: DataFrame, make_client, max_tokens: int | None = None, tempe
 
     make_client builds a client once in each Python worker.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ask(questions: pd.Series, systems: pd.Series) -> pd.Series:
         client = make_client()

@@ -58,6 +58,10 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
         manifest = store.read("manifest", state.MANIFEST)
         fresh = state.changed(found, manifest)
         documents, failures = load(files.join(fresh.select("path"), "path", "left_semi"), config.parsers)
+        # Parsed documents and failures are written once, before any table they depend on is replaced.
+        store.write("new_documents", documents)
+        store.write("failures", failures)
+        documents, failures = store.read("new_documents"), store.read("failures")
         if config.fail_fast and (bad := failures.first()):
             raise RuntimeError(f"{bad.source_path}: {bad.error_message}")
         text = documents
@@ -84,7 +88,6 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
         if report["processed"] or report["cleaned_up"]:
             store.write("chunks", all_chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).repartition("bucket"), ["bucket"])
             store.write("manifest", merged)
-        store.write("failures", failures)
         report["duration"] = time.time() - began
         store.write("report", spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} {'double' if k == 'duration' else 'long'}" for k in report)))
         return report

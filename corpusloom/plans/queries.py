@@ -266,13 +266,14 @@ def chunk_rows(spark, sf):
     return rows.select("chunk_id", "doc_id", "chunk_index", "text", "token_estimate", "paragraph_start", "paragraph_end", "chunk_char_count")
 
 
+LAST_HEADER = r"regexp_extract_all(t, '(?m)^(#{1,6})\s+(.+)$', 2)[-1]"
 TURN = "CASE WHEN turn % 2 = 0 THEN '[PAGE:' || (turn + 1) || ']' || chr(10) ELSE '' END || CASE WHEN turn % 3 = 1 THEN '## Part ' || turn || '  ' || chr(10) ELSE '' END || coalesce(text, '')"
 
 
 @query(
     "turn_context",
     rf"""WITH t AS (SELECT conv_id, turn, {TURN} AS t FROM conversations),
-    m AS (SELECT *, nullif(regexp_extract(t, '(?m)^\[PAGE:(\d+)\]$', 1), '')::INT AS own_page, {strip("regexp_extract_all(t, '(?m)^(#{1,6})\s+(.+)$', 2)[-1]")} AS own_section FROM t)
+    m AS (SELECT *, nullif(regexp_extract(t, '(?m)^\[PAGE:(\d+)\]$', 1), '')::INT AS own_page, {strip(LAST_HEADER)} AS own_section FROM t)
     SELECT conv_id, turn, last_value(own_page IGNORE NULLS) OVER w AS page, last_value(own_section IGNORE NULLS) OVER w AS section,
         {strip(r"regexp_replace(regexp_replace(t, '(?m)^\[PAGE:\d+\]$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS text
     FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
