@@ -84,3 +84,28 @@ def text_bytes(col_name: str = "text") -> Column:
 
 def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
+
+
+def tidied(run):
+    """The same batch function; when its task ends, memory it no longer needs goes back to the system.
+
+    Python workers outlive their tasks, and what an allocator keeps would count against the executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library has its own ways
+                pass
+
+    return wrapped

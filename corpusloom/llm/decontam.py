@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches, text_bytes
+from corpusloom.llm.common import small_batches, text_bytes, tidied
 
 #: Lower-cases A-Z, keeps digits, letters and all bytes of other characters, blanks the rest.
 FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -202,7 +202,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))], names=batch.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidied(run), schema)
     return out
 
 
@@ -236,7 +236,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
             arrays = [pa.array(new, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(kept, pa.bool_()))
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(tidied(run), schema)
 
 
 def cut(text: str, spans: list) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import small_batches, tidied
 
 #: Elements of HTML by their role here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -347,4 +347,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(page, tree) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return picked.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

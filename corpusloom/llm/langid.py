@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small_batches
+from corpusloom.llm.common import materialize, small_batches, tidied
 
 FLOOR = 1e-7
 PRIOR = 0.01
-CACHE_WORDS = 400_000
-TEXTS_AT_ONCE = 256
+CACHE_WORDS = 200_000
+TEXTS_AT_ONCE = 128
 HASH_BASE = 0x9E3779B97F4A7C15
-GROUP_LETTERS = 400_000
+GROUP_LETTERS = 100_000
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -168,7 +168,7 @@ def fit(labelled: DataFrame, pieces: list, docs_per_language: int = 400, rounds:
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    words = materialize(picked.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    words = materialize(picked.mapInArrow(tidied(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return [], np.zeros((len(pieces), 0))
@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, pieces: list, docs_per_language: int = 400, rounds:
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.float64())], names=["lang", "piece", "n"])
 
-        sums = words.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        sums = words.mapInArrow(tidied(expect), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         counts = np.full((len(pieces), len(langs)), PRIOR)
         got = sums.toPandas()
         counts[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
@@ -231,4 +231,4 @@ def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep:
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import input_partitions, materialize, small_batches, text_bytes
+from corpusloom.llm.common import input_partitions, materialize, small_batches, text_bytes, tidied
 
 BASE = 1.5
 PROBES = 4
@@ -159,7 +159,7 @@ def count_ngrams(docs: DataFrame, slices: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(text_bytes().alias("body")).mapInArrow(run, COUNTED)
+    return docs.select(text_bytes().alias("body")).mapInArrow(tidied(run), COUNTED)
 
 
 def build_slices(counted: DataFrame, slices: int, max_filter_bytes: int) -> DataFrame:
@@ -322,7 +322,7 @@ def score(docs: DataFrame, model: Model, mu: float = MU, max_slice: int = 6_000_
                     [*(batch.column(i) for i in range(3)), pa.array(sizes), pa.array(known, pa.int64()), pa.array(hits, pa.float64()), pa.array(scores, pa.float64())], names=schema.names
                 )
 
-        out = out.mapInArrow(add, schema)
+        out = out.mapInArrow(tidied(add), schema)
     total = float(np.log10(n + v + 1.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("hits") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score"

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small_batches
+from corpusloom.llm.common import materialize, small_batches, tidied
 
 MARK = "▁"
 MAX_UNITS = 6_000_000
@@ -184,7 +184,7 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     # Tasks have removed repeats already: deal out first, so that no task aggregates its own rows once more.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("text").mapInArrow(run, "unit string").repartition(parts, "unit").distinct()
+    return docs.select("text").mapInArrow(tidied(run), "unit string").repartition(parts, "unit").distinct()
 
 
 def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
@@ -284,7 +284,7 @@ def encode_units(units: DataFrame, vocab: Vocabulary, fold_limit: int = FOLD_LIM
                 out.append(np.array(ids_of(unit, ends if ends is not None else cuts(unit, vocab), vocab), dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["unit", "ids"])
 
-    return done.mapInArrow(run, "unit string, ids binary")
+    return done.mapInArrow(tidied(run), "unit string, ids binary")
 
 
 # ------------------------------------------------------------ texts
@@ -340,7 +340,7 @@ def arrow_batches(df: DataFrame):
             ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids, pa.binary())], names=["h", "ids"])
 
-    return df.mapInArrow(run, "h long, ids binary").toArrow().to_batches()
+    return df.mapInArrow(tidied(run), "h long, ids binary").toArrow().to_batches()
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, keep: list, max_units: int = MAX_UNITS, fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -392,7 +392,7 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
                 same = [back.text(x) == t.replace(MARK, " ") for x, t in zip(out, batch.column(len(keep)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary()), pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"])
 
-    return named.mapInArrow(run, _schema(named, keep))
+    return named.mapInArrow(tidied(run), _schema(named, keep))
 
 
 def _encode_joined(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep: list) -> DataFrame:
@@ -414,7 +414,7 @@ def _encode_joined(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep:
             same = [back.text(x) == t.replace(MARK, " ") for x, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"])
 
-    return found.mapInArrow(check, _schema(named, keep))
+    return found.mapInArrow(tidied(check), _schema(named, keep))
 
 
 class Decoder:
@@ -446,4 +446,4 @@ def decode(encoded: DataFrame, vocab: Vocabulary, keep: list) -> DataFrame:
             out = [back.text(ids) for ids in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep) + 1)), pa.array(out, pa.string())], names=[*keep, "ids", "text"])
 
-    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+    return encoded.select(*keep, "ids").mapInArrow(tidied(run), schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small_batches, text_bytes
+from corpusloom.llm.common import materialize, small_batches, text_bytes, tidied
 
 SEED = 42
 MIDPOINTS_PER_PASS = 4_000_000
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             prints = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("body")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 # ------------------------------------------------------------ shards
@@ -246,10 +246,10 @@ def links(prints: DataFrame, radius: int = 4, blocks: int | None = None, tree_li
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    routed = prints.mapInArrow(route, "family int, key long, fp long")
+    routed = prints.mapInArrow(tidied(route), "family int, key long, fp long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = routed.repartition(parts, "family", "key").sortWithinPartitions("family", "key")
-    return dealt.mapInArrow(shard, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(shard), "a long, b long").distinct()
 
 
 # ------------------------------------------------------------ components
@@ -308,7 +308,7 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) + F.lit(str(2**63)).cast("decimal(20,0)")
     key = F.concat_ws(":", F.lpad(place.cast("string"), 20, "0"), digest)  # sorts as the id does
-    prints = materialize(docs.select(key.alias("near_key"), text_bytes().alias("body")).mapInArrow(run, "near_key string, fp long"), "prints")
+    prints = materialize(docs.select(key.alias("near_key"), text_bytes().alias("body")).mapInArrow(tidied(run), "near_key string, fp long"), "prints")
     rooted = components(links(prints, radius))
     least = prints.groupBy("fp").agg(F.min("near_key").alias("near_key"))
     least = least.join(rooted, least.fp == rooted.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("near_key").alias("_near_key"))

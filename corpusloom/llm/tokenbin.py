@@ -43,7 +43,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import input_partitions, new_path, small_batches
+from corpusloom.llm.common import input_partitions, new_path, small_batches, tidied
 
 MAGIC = b"CLTOKEF1"
 HEAD = struct.Struct("<8sIIQQQ")
@@ -103,16 +103,22 @@ class Encoder:
         if len(self.bare) > CACHE_PIECES // 8:
             self.bare.clear()
         split = [t.split(" ") if self._simple(t) else None for t in texts]
-        new = set().union(*(parts[1:] for parts in split if parts)).difference(known)
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        out = []
+        flat = [w for parts in split if parts for w in parts[1:]]
+        found = list(map(known.get, flat))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = [flat[i] for i in missing]
+            self._learn(set(new))
+            for i, w in zip(missing, new):
+                found[i] = known[w]
+        out, at = [], 0
         for text, parts in zip(texts, split):
             if parts is None:
                 packed = b"".join(map(self._piece, self.pattern.findall(text)))
             else:
-                packed = b"".join([self._piece(parts[0]), *map(get, parts[1:])])
+                n = len(parts) - 1
+                packed = self._piece(parts[0]) + b"".join(found[at : at + n])
+                at += n
             out.append(np.frombuffer(packed, dtype="<u4"))
         return out
 
@@ -287,7 +293,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = picked.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(run, "file long, name string, n_docs long, n_ids long")
+    return dealt.mapInArrow(tidied(run), "file long, name string, n_docs long, n_ids long")
 
 
 def read(spark: SparkSession, folder: str, files: list) -> DataFrame:
@@ -313,7 +319,7 @@ def read(spark: SparkSession, folder: str, files: list) -> DataFrame:
                 names = pa.array([None if x == NULL_ID else x for x in held.doc_ids.tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array(starts + start), pa.array(ends - starts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(run, schema)
+    return listed.mapInArrow(tidied(run), schema)
 
 
 def export(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, folder: str | None = None) -> DataFrame:
