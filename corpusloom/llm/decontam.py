@@ -176,11 +176,11 @@ def shards(benchmark: DataFrame, max_words: int):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS, keep: list | None = None) -> DataFrame:
-    """One row per document: the columns ``keep`` (default doc_id), body, n_words, spans, items."""
+    """One row per document: the columns ``keep`` (default doc_id), _hit_body, _hit_words, _hit_spans, _hit_items."""
     spark = docs.sparkSession
     small_batches(spark)
     keep = keep or ["doc_id"]
-    out = docs.select(*keep, text_bytes().alias("body"), F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
+    out = docs.select(*keep, text_bytes().alias("_hit_body"), F.lit(0).cast("bigint").alias("_hit_words"), F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("_hit_spans"), F.lit(None).cast("array<bigint>").alias("_hit_items"))
     schema = out.schema
     for items in list(shards(benchmark, max_words)) or [[]]:
         sent = spark.sparkContext.broadcast(items)
@@ -188,7 +188,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int
         def run(batches, sent=sent):
             automaton = SuffixAutomaton(sent.value, window)
             for batch in batches:
-                body, old_spans, old_items = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("body", "spans", "items"))
+                body, old_spans, old_items = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_hit_body", "_hit_spans", "_hit_items"))
                 counts, spans, items = [], [], []
                 for text, had, was in zip(body, old_spans, old_items):
                     words = words_of(text)
@@ -208,9 +208,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int
 
 def digest(found: DataFrame) -> DataFrame:
     """The digest columns of hits(); items_sha256 of a document without hits is that of the empty string."""
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    ids = F.array_join(F.array_sort(F.transform("_hit_items", lambda x: x.cast("string"))), ",")
+    n_hit = F.aggregate("_hit_spans", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return found.select("doc_id", F.col("_hit_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_hit_items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
@@ -226,8 +226,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     def run(batches):
         for batch in batches:
             texts = batch.column(columns.index("text")).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            counts = batch.column(batch.schema.get_field_index("n_words")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index("_hit_spans")).to_pylist()
+            counts = batch.column(batch.schema.get_field_index("_hit_words")).to_pylist()
             kept, new = [], []
             for text, found, n in zip(texts, spans, counts):
                 hit = sum(x["last"] - x["first"] + 1 for x in found)

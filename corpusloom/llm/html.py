@@ -122,7 +122,7 @@ def blocks(page: str) -> list:
         if m[1]:
             if name == "a":
                 anchor = max(0, anchor - 1)
-            if name in INLINE:
+            if name in INLINE or name in SKIP:
                 continue
             flush()
             for depth in range(len(stack) - 1, -1, -1):

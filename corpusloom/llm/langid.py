@@ -194,13 +194,13 @@ def fit(labelled: DataFrame, pieces: list, docs_per_language: int = 400, rounds:
 
 
 # ------------------------------------------------------------ prediction
-def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep: list) -> DataFrame:
-    """The columns ``keep`` of docs (which has text), with lang_pred and score, the posterior under equal priors."""
+def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep: list, names: tuple = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of docs (which has text), with the language and its posterior under equal priors, as ``names``."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast((pieces, probs))
     picked = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), f"{names[0]} string", f"{names[1]} double"])
 
     def run(batches):
         lattice = Lattice(*sent.value)
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep:
         table = np.zeros((1024, n))
         for whole, k in ((b, k) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
             batch = whole.slice(k, TEXTS_AT_ONCE)
-            names, scores = [], []
+            best_langs, scores = [], []
             texts = batch.column(len(keep)).to_pylist()
             found = [LETTERS.findall(t.lower()) if t else () for t in texts]
             if len(known) > CACHE_WORDS:
@@ -222,13 +222,13 @@ def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep:
                 known.update(zip(new, range(len(known), len(known) + len(new))))
             for words in found:
                 if not words or not n:
-                    names.append("und")
+                    best_langs.append("und")
                     scores.append(0.0)
                     continue
                 total = table[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
                 best = int(total.argmax())
-                names.append(langs[best])
+                best_langs.append(langs[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(best_langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     return picked.mapInArrow(tidied(run), schema)

@@ -60,10 +60,9 @@ def test_probabilities_sum_to_about_one(spark):
     hashes = lm.Words().hashes(words)
     total = 0.0
     for h in hashes:
-        flat = np.array([hashes[0], h], dtype=np.uint64)
-        distinct, inverse = np.unique(np.r_[flat, np.uint64(__import__("xxhash").xxh64_intdigest(lm.END))], return_inverse=True)
-        total += 10 ** lm.conditional(model.filter, flat, *np.unique(flat, return_inverse=True), 5.0)[1] if lm.END in words and h != hashes[4] else 0
-    assert 0.5 < total < 1.2
+        flat = np.array([hashes[0], h, hashes[4]], dtype=np.uint64)
+        total += 10 ** lm.conditional(model.filter, flat, *np.unique(flat, return_inverse=True), 5.0)[1]
+    assert 0.7 < total < 1.1
 
 
 def test_runs_of_slices_give_the_same(spark, sf):

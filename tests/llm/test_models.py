@@ -57,7 +57,7 @@ def test_language_edges(spark, edge, none):
     train = spark.createDataFrame([(1, "the tea", "en"), (2, "waxa wax", "xx"), (3, None, "en"), (4, "the", None)], "doc_id long, text string, lang string")
     langs, probs = langid.fit(train, pieces)
     assert langs == ["en", "xx"]
-    rows = {r.doc_id: r for r in langid.predict(edge, pieces, langs, probs, ["doc_id", "score"]).select("doc_id", "lang_pred").collect()}
+    rows = {r.doc_id: r for r in langid.predict(edge, pieces, langs, probs, ["doc_id", "body"]).select("doc_id", "lang_pred").collect()}
     assert {rows[i].lang_pred for i in (1, 2, 3)} == {"und"} and rows[12].lang_pred == "en"
     assert langid.predict(none, pieces, langs, probs, ["doc_id"]).count() == 0
     nothing = langid.fit(train.limit(0), pieces)
@@ -149,7 +149,7 @@ ARTICLE = "Some words that make a paragraph long enough to be read as the main t
     "page, text",
     [
         (f"<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>T</h1><p>{ARTICLE}<p>Er.</article><footer>&copy; me</footer>", f"T {ARTICLE} Er."),
-        ("<article><p>a&amp;b &lt;i&gt; &#233;&eacute; wo<b>r</b>d<br>x<script>if (a<b) '</p>'</script>y</p></article>", "a&b <i> éé word xy".replace("word xy", "word xy")),
+        ("<article><p>a&amp;b &lt;i&gt; &#233;&eacute; wo<b>r</b>d<br>x<script>if (a<b) '</p>'</script>y</p></article>", "a&b <i> éé word xy"),
         (f"<article><p>{ARTICLE}</p><aside>see also</aside><div class='ad-box'>buy</div><section id=comments><p>{ARTICLE}</p></section></article>", ARTICLE),
         ("<article><p>cut off here <b>and th", "cut off here and th"),
         ("<article><p>cut inside <a hre", "cut inside"),
