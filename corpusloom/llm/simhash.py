@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, small_batches, text_bytes, tidied
+from corpusloom.llm.lm import scramble
 
 SEED = 42
 MIDPOINTS_PER_PASS = 4_000_000
@@ -292,24 +293,156 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     )
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """One document of each component stays, with all its columns: the smallest doc_id, then the smallest text digest.
+# ------------------------------------------------------------ wide fingerprints for a similarity
+# A radius of 4 in 64 bits means nearly equal texts only: at a Jaccard similarity of 0.8 a seventh of the bits
+# differ.  For a given similarity, fingerprints of WIDE words of 64 bits are used; the radius follows from the angle
+# between two texts' shingle sets.  Shards are then keyed by sampled bits, as many as the table needs to keep random
+# shards small, and as many samples as it takes to bring a pair of just that similarity together with probability
+# ``recall``; closer pairs meet almost surely.  Within a shard the search is exact.
+WIDE = 4
+RECALL = 0.95
+SHARD_TREE = 256  # larger shards compare in blocks of numbers, which is faster than walking a tree
 
-    Null ids come last; rows that repeat both id and text count as one.  Only
-    keys and fingerprints travel until the final join.
+
+def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
+    """WIDE unsigned 64-bit words; the first is fingerprint()."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WIDE, dtype=np.uint64)
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        hashes = np.array([digest(joined, SEED)], dtype="<u8")
+    else:
+        spaces = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+        starts = [0, *(spaces[: len(words) - width] + 1).tolist()]
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, [*spaces[width - 1 :].tolist(), len(joined)])], dtype="<u8")
+    out = np.zeros(WIDE, dtype=np.uint64)
+    for k in range(WIDE):
+        votes = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 65536):
+            part = hashes[at : at + 65536]
+            part = part if not k else scramble(part + np.uint64(k))
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits((votes * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0]
+    return out
+
+
+def radius_for(similarity: float) -> int:
+    """Bits of WIDE words by which texts of that Jaccard similarity differ on average."""
+    return int(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def samples_for(n: int, similarity: float, recall: float = RECALL) -> np.ndarray:
+    """Bit positions, one row for each family of shards; n: fingerprints."""
+    bits = max(12, n.bit_length() - 2)
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
+    families = int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(families)])
+
+
+def wide_shard_links(words: np.ndarray, ids: list, radius: int, forest: Forest) -> None:
+    """words: one row of WIDE numbers for each member of a shard."""
+    n = len(words)
+    if n <= SHARD_TREE:
+        tree, seen = BKTree(), {}
+        for row, name in zip(words.tolist(), ids):
+            word = row[0] | row[1] << 64 | row[2] << 128 | row[3] << 192
+            for other in tree.within(word, radius):
+                forest.union(seen[other], name)
+            seen[word] = name
+            tree.insert(word)
+        return
+    step = max(1, 4_000_000 // n)
+    for at in range(0, n, step):
+        part = words[at : at + step]
+        apart = sum(np.bitwise_count(part[:, None, k] ^ words[None, at:, k]).astype(np.int32) for k in range(WIDE))
+        rows, columns = np.nonzero(apart <= radius)
+        for a, b in zip(rows.tolist(), columns.tolist()):
+            if a < b:
+                forest.union(ids[at + a], ids[at + b])
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) over the ids of prints (id, w0, w1, w2, w3; ids distinct): a spanning forest of each shard."""
+    spark = prints.sparkSession
+    radius, samples = radius_for(similarity), samples_for(prints.count(), similarity)
+    weights = (1 << np.arange(samples.shape[1], dtype=np.int64)).astype(np.int64)
+    names = ["key", "id", *(f"w{k}" for k in range(WIDE))]
+    schema = ", ".join(f"{x} long" for x in names)
+
+    def route(batches):
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(WIDE + 1)]
+            for at in range(0, batch.num_rows, 1024):
+                part = [np.ascontiguousarray(c[at : at + 1024]) for c in columns]
+                words = np.stack([c.view(np.uint64) for c in part[1:]], axis=1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                for n, spots in enumerate(samples):
+                    keys = (bits[:, spots] @ weights) | np.int64(n) << np.int64(48)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, part)], names=names)
+
+    def shard(batches):
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy() for i in range(WIDE + 2)]
+            same = held and held[-1][0][-1] == new[0][0] == new[0][-1]
+            held.append(new)
+            if same:
+                continue
+            part = [np.concatenate(x) for x in zip(*held)]
+            change = np.flatnonzero(part[0][1:] != part[0][:-1]) + 1
+            held = [part]
+            if len(change):
+                yield from solve([x[: change[-1]] for x in part])
+                held = [[x[change[-1] :] for x in part]]
+        if held:
+            yield from solve([np.concatenate(x) for x in zip(*held)])
+
+    def solve(part):
+        key, ids = part[0], part[1]
+        words = np.stack([np.ascontiguousarray(c).view(np.uint64) for c in part[2:]], axis=1)
+        starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        sizes = np.diff(np.r_[starts, len(key)])
+        a, b = [], []
+        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            forest = Forest()
+            wide_shard_links(words[s : s + n], ids[s : s + n].tolist(), radius, forest)
+            for name in list(forest.up):
+                a.append(name)
+                b.append(forest.find(name))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    routed = prints.select("id", *names[2:]).mapInArrow(tidied(route), schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return routed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidied(shard), "a long, b long").distinct()
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar texts stays, with all its columns: the smallest doc_id, then the smallest text digest.
+
+    Groups are components of links between texts whose estimated Jaccard similarity of word shingles is at least
+    ``similarity``.  Null ids come last; rows that repeat both id and text count as one.  Only keys and
+    fingerprints travel until the final join.
     """
     small_batches(docs.sparkSession)
+    names = [f"w{k}" for k in range(WIDE)]
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["near_key", "fp"])
+            prints = np.array([wide_fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(WIDE))], names=["near_key", *names])
 
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) + F.lit(str(2**63)).cast("decimal(20,0)")
     key = F.concat_ws(":", F.lpad(place.cast("string"), 20, "0"), digest)  # sorts as the id does
-    prints = materialize(docs.select(key.alias("near_key"), text_bytes().alias("body")).mapInArrow(tidied(run), "near_key string, fp long"), "prints")
-    rooted = components(links(prints, radius))
-    least = prints.groupBy("fp").agg(F.min("near_key").alias("near_key"))
-    least = least.join(rooted, least.fp == rooted.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("near_key").alias("_near_key"))
-    return docs.withColumn("_near_key", key).join(least.select("_near_key"), "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(*docs.columns)
+    prints = docs.select(key.alias("near_key"), text_bytes().alias("body")).mapInArrow(tidied(run), "near_key string, " + ", ".join(f"{n} long" for n in names))
+    prints = materialize(prints.withColumn("id", F.xxhash64(*names)), "prints")
+    least = materialize(prints.groupBy("id", *names).agg(F.min("near_key").alias("near_key")), "wide-prints")
+    rooted = components(similar_links(least, similarity))
+    best = least.join(rooted, least.id == rooted.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("near_key").alias("_near_key"))
+    return docs.withColumn("_near_key", key).join(best.select("_near_key"), "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(*docs.columns)

