@@ -235,17 +235,26 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1
     return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.struct("first", "last", "id", "score")))).alias("edges"))
 
 
-#: One merging step: among the cuts c[k] whose removal joins two neighbours to a piece, remove the best-scored, leftmost one.
-#: The state carries the edges' codes (first * 4096 + last) and scores, so that they are made once for each unit.
-BPE_FOLD = """
-aggregate(sequence(2, greatest(length(unit), 2)),
-    struct(sequence(0, length(unit)) AS c, map_from_entries(transform(filter(edges, e -> e.last - e.first > 1), e -> struct(e.first * 4096 + e.last, e.score))) AS m, false AS done),
-    (s, step) -> if(s.done OR size(s.c) <= 2, s,
-        aggregate(
-            array(array_max(transform(sequence(1, size(s.c) - 2), k -> struct(coalesce(element_at(s.m, s.c[k - 1] * 4096 + s.c[k + 1]), double('-1e30')) AS score, -k AS k)))),
-            s,
-            (a, best) -> if(best.score = double('-1e30'), struct(a.c AS c, a.m AS m, true AS done), struct(concat(slice(a.c, 1, -best.k), slice(a.c, 2 - best.k, size(a.c))) AS c, a.m AS m, false AS done)))),
-    s -> slice(s.c, 2, size(s.c)))
+#: BPE: the state holds the cuts c of the unit and, for each pair of neighbouring pieces, the score p of joining them.
+#: A step removes the cut inside the best-scored pair, the leftmost of equals, and looks up the two pairs that are new.
+#: m maps the code first * 4096 + last of an edge to its score; the outer aggregate only names it.
+LOOK = "coalesce(element_at(m, {0} * 4096 + {1}), double('-1e30'))"
+BPE_FOLD = f"""
+aggregate(
+    array(map_from_entries(transform(filter(edges, e -> e.last - e.first > 1), e -> struct(e.first * 4096 + e.last, e.score)))),
+    cast(array() AS array<int>),
+    (none, m) -> aggregate(
+        sequence(2, greatest(length(unit), 2)),
+        struct(sequence(0, length(unit)) AS c, if(length(unit) < 2, cast(array() AS array<double>), transform(sequence(0, length(unit) - 2), k -> {LOOK.format("k", "(k + 2)")})) AS p),
+        (s, step) -> if(coalesce(array_max(s.p), double('-1e30')) = double('-1e30'), s,
+            aggregate(array(cast(array_position(s.p, array_max(s.p)) AS int)), s, (a, j) -> struct(
+                concat(slice(a.c, 1, j), slice(a.c, j + 2, size(a.c))) AS c,
+                concat(
+                    slice(a.p, 1, greatest(j - 2, 0)),
+                    if(j > 1, array({LOOK.format("a.c[j - 2]", "a.c[j + 1]")}), cast(array() AS array<double>)),
+                    if(j < size(a.p), array({LOOK.format("a.c[j - 1]", "a.c[j + 2]")}), cast(array() AS array<double>)),
+                    slice(a.p, j + 2, size(a.p))) AS p))),
+        s -> slice(s.c, 2, size(s.c))))
 """
 
 #: Viterbi: the state holds, for each position, the best score and the path of ends that reaches it, and the edges.
