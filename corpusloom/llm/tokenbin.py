@@ -48,7 +48,7 @@ from corpusloom.llm.common import input_partitions, new_path, small_batches, tid
 MAGIC = b"CLTOKEF1"
 HEAD = struct.Struct("<8sIIQQQ")
 NULL_ID = -(1 << 63)
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 TEXTS_AT_ONCE = 128
 JOINED_PIECES = 4096
 #: Fixed value: the byte-level pre-token pattern that the tokenizer file's "use_regex" stands for.
