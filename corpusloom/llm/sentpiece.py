@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
 A text is cut into units: runs of the space mark followed by other characters,
-cut again between letters and ASCII signs.  No piece crosses a unit's end, which
+cut again where an ASCII sign follows a letter.  No piece crosses a unit's end, which
 is checked when the vocabulary is loaded.  The distinct units of all texts go through the lattice once:
 
 1. explode the substrings of bounded length of every unit,
@@ -171,34 +171,38 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        held = None
+        held: list = []
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                found = pc.unique(units_of(batch.column(0).slice(k, TEXTS_AT_ONCE), vocab)[0])
-                held = found if held is None else pc.unique(pa.concat_arrays([held, found]))
-                if len(held) > 100_000:
-                    yield pa.RecordBatch.from_arrays([held], names=["unit"])
-                    held = None
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([held], names=["unit"])
+                held.append(pc.unique(units_of(batch.column(0).slice(k, TEXTS_AT_ONCE), vocab)[0]))
+                if sum(map(len, held)) > 200_000:
+                    held = [pc.unique(pa.concat_arrays(held))]
+                    if len(held[0]) > 80_000:
+                        yield pa.RecordBatch.from_arrays(held, names=["unit"])
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays(held))], names=["unit"])
 
     # Tasks have removed repeats already: deal out first, so that no task aggregates its own rows once more.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return docs.select("text").mapInArrow(tidied(run), "unit string").repartition(parts, "unit").distinct()
 
 
+def marked_texts(texts: pa.Array, vocab: Vocabulary) -> pa.Array:
+    """Texts with marks for spaces, and the leading mark of the vocabulary."""
+    flat = pc.replace_substring(pc.fill_null(texts, ""), " ", MARK)
+    return pc.if_else(pc.equal(flat, ""), "", pc.binary_join_element_wise(MARK, flat, "")) if vocab.prefix else flat
+
+
 def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
     """(units, offsets) of an array of texts: units of text i are units[offsets[i]:offsets[i + 1]].
 
     The separator 0x01 is put before every unit; texts that hold one are cut in Python.
     """
-    texts = pc.fill_null(texts, "")
-    flat = pc.replace_substring(texts, " ", MARK)
-    if vocab.prefix:
-        flat = pc.if_else(pc.equal(flat, ""), "", pc.binary_join_element_wise(MARK, flat, ""))
+    flat = marked_texts(texts, vocab)
     if pc.any(pc.match_substring(flat, "\x01")).as_py():
         cut = regex.compile(UNITS, regex.S)
-        again = regex.compile(rf"(?<=\p{{L}})(?=[{SIGN}])|(?<=[{SIGN}])(?=\p{{L}})", regex.V1)
+        again = regex.compile(rf"(?<=\p{{L}})(?=[{SIGN}])", regex.V1)
         lists = [[v for u in cut.findall(t) for v in (again.split(u) if vocab.split_signs else (u,))] for t in flat.to_pylist()]
         return pa.array([u for x in lists for u in x], pa.string()), np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
     if pc.any(pc.match_substring(flat, MARK + MARK)).as_py():
@@ -209,7 +213,6 @@ def units_of(texts: pa.Array, vocab: Vocabulary) -> tuple:
         led = pc.starts_with(flat, MARK).to_numpy(zero_copy_only=False).astype(np.int64)
     if vocab.split_signs:
         split = pc.replace_substring_regex(split, rf"(\p{{L}})([{SIGN}])", "\\1\x01\\2")
-        split = pc.replace_substring_regex(split, rf"([{SIGN}])(\p{{L}})", "\\1\x01\\2")
     lists = pc.split_pattern(split, "\x01")
     empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
     sizes = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False) - led)
@@ -385,6 +388,7 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
 
     def run(batches):
         table, back = sent.value, Decoder(vocab)
+        longs = lambda a: np.frombuffer(a.buffers()[1], dtype=np.int32)[a.offset : a.offset + len(a) + 1]
         for whole in batches:
             for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(k, TEXTS_AT_ONCE)
@@ -398,7 +402,12 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
                 ids = table.data[spot].astype("<u4")
                 cuts = ends[offsets]
                 out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                same = [back.text(x) == t.replace(MARK, " ") for x, t in zip(out, batch.column(len(keep)).to_pylist())]
+                # Decoded with its marks, a text must be the marked text, byte for byte.
+                flat = marked_texts(batch.column(len(keep)), vocab)
+                source, at = np.frombuffer(flat.buffers()[2] or b"", dtype=np.uint8), longs(flat)
+                decoded, stops = back.raw(ids)
+                stops = stops[cuts]
+                same = [np.array_equal(decoded[a:b], source[c:d]) for a, b, c, d in zip(stops[:-1].tolist(), stops[1:].tolist(), at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary()), pa.array(same, pa.bool_())], names=[*keep, "ids", "round_trip"])
 
     return named.mapInArrow(tidied(run), _schema(named, keep))
@@ -410,7 +419,7 @@ def _encode_joined(named: DataFrame, coded: DataFrame, vocab: Vocabulary, keep:
     marked_text = F.concat(F.lit(MARK if vocab.prefix else ""), F.translate("_sp_text", " ", MARK))
     units = F.regexp_extract_all(marked_text, F.lit("(?s)" + UNITS), F.lit(0))
     if vocab.split_signs:
-        units = F.flatten(F.transform(units, lambda u: F.split(u, rf"(?<=\p{{L}})(?=[{SIGN}])|(?<=[{SIGN}])(?=\p{{L}})")))
+        units = F.flatten(F.transform(units, lambda u: F.split(u, rf"(?<=\p{{L}})(?=[{SIGN}])")))
     units = F.when(F.col("_sp_text") == "", F.array().cast("array<string>")).otherwise(units)
     parts = rows.select("_row", F.posexplode(units).alias("_at", "unit")).join(coded, "unit")
     joined = parts.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("parts"))
@@ -437,6 +446,15 @@ class Decoder:
                 table[vocab.bytes_from + b] = bytes([b])
         table[vocab.unknown] = " \u2047 ".encode()
         self.get, self.prefix, self.mark = table.__getitem__, vocab.prefix, MARK.encode()
+        self.sizes = np.array([len(x) for x in table], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(table), dtype=np.uint8)
+
+    def raw(self, ids: np.ndarray) -> tuple:
+        """(bytes of all ids, marks included; where each id's bytes begin, and the end)."""
+        sizes = self.sizes[ids]
+        ends = np.r_[0, np.cumsum(sizes)]
+        return self.data[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(int(ends[-1]))], ends
 
     def text(self, ids: bytes) -> str:
         text = b"".join(map(self.get, np.frombuffer(ids, dtype="<u4").tolist())).replace(self.mark, b" ").decode("utf-8", "replace")
