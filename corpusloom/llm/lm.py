@@ -8,10 +8,12 @@ a frequent word moves once per block, so no slice is hot.
 Filter.  Each slice inserts its n-grams into its own piece of the Bloom filter:
 an n-gram of count c goes in once for each level 1..q(c), where level l stands
 for counts from ``BASE**(l-1)``.  A count is read back by probing level 1, 2, ...
-until a probe misses.  The pieces together take at most ``max_filter_bytes``,
-whatever the corpus, and are broadcast.  Below that bound a level costs 8 bits
-(false positives about 2 %); above it nothing is left out, but pieces fill up
-and false positives rise.  ``model.bits_per_level`` tells.
+until a probe misses or the piece's highest level is passed.  A level costs 8
+bits at any size of the corpus (false positives about 2 %).  Pieces are broadcast
+in runs of at most ``max_filter_bytes`` (a larger piece runs alone).  With one run
+texts are scored as they are probed; with more, each run is a pass over the
+documents that carries the levels probed so far, and passes end in tables, so that
+a task holds one run at a time.
 
 Score.  p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 1) / (N + V + 1), with
 every c read by probes.  ``score`` is the sum of log10 p over words and end.
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import input_partitions, materialize, small_batches, text_bytes, tidied
+from corpusloom.llm.common import input_partitions, materialize, new_path, remove_path, small_batches, text_bytes, tidied
 
 BASE = 1.5
 PROBES = 4
@@ -162,10 +164,9 @@ def count_ngrams(docs: DataFrame, slices: int) -> DataFrame:
     return docs.select(text_bytes().alias("body")).mapInArrow(tidied(run), COUNTED)
 
 
-def build_slices(counted: DataFrame, slices: int, max_filter_bytes: int) -> DataFrame:
+def build_slices(counted: DataFrame) -> DataFrame:
     """One row per slice: its exact word counts, totals, and its piece of the filter."""
-    most_bits = max(64, max_filter_bytes * 8 // slices)
-    schema = "slice int, keys binary, counts binary, n_words long, n_tokens long, n_levels long, bits long, filter binary"
+    schema = "slice int, keys binary, counts binary, n_words long, n_tokens long, n_levels long, top long, bits long, filter binary"
 
     def build(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = {1: ([], []), 2: ([], [])}
@@ -175,7 +176,7 @@ def build_slices(counted: DataFrame, slices: int, max_filter_bytes: int) -> Data
                 by[n][1].append(np.frombuffer(c, dtype=np.uint32).astype(np.int64))
         grams = [merged(np.concatenate(k), np.concatenate(c)) if k else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k, c in by.values()]
         total = int(sum(levels(c).sum() for _, c in grams))
-        size = int(min(most_bits, max(64, total * BITS_PER_LEVEL)))
+        size = max(64, total * BITS_PER_LEVEL)
         bits = np.zeros(-(-size // 8) * 8, dtype=bool)
         for keys, counts in grams:
             top = levels(counts)
@@ -184,8 +185,8 @@ def build_slices(counted: DataFrame, slices: int, max_filter_bytes: int) -> Data
                     bits[spot] = True
         keys, counts = grams[0]
         yield pa.RecordBatch.from_pylist(
-            [{"slice": key[0].as_py(), "keys": keys.tobytes(), "counts": counts.tobytes(), "n_words": len(keys), "n_tokens": int(counts.sum()), "n_levels": total, "bits": size, "filter": np.packbits(bits, bitorder="little").tobytes()}],
-            schema=pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_levels", pa.int64()), ("bits", pa.int64()), ("filter", pa.binary())]),
+            [{"slice": key[0].as_py(), "keys": keys.tobytes(), "counts": counts.tobytes(), "n_words": len(keys), "n_tokens": int(counts.sum()), "n_levels": total, "top": max(int(levels(c).max(initial=0)) for _, c in grams), "bits": size, "filter": np.packbits(bits, bitorder="little").tobytes()}],
+            schema=pa.schema([("slice", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_levels", pa.int64()), ("top", pa.int64()), ("bits", pa.int64()), ("filter", pa.binary())]),
         )
 
     return counted.groupBy("slice").applyInArrow(build, schema)
@@ -202,10 +203,11 @@ def spots(keys: np.ndarray, level, size):
 # ------------------------------------------------------------ model
 @dataclass
 class Filter:
-    """The pieces of all slices, one after the other, byte-aligned."""
+    """The pieces of slices, one after the other, byte-aligned; slices that are left out have size 0."""
 
     slices: int
     sizes: np.ndarray
+    tops: np.ndarray
     starts: np.ndarray
     data: np.ndarray
     n_tokens: int
@@ -218,13 +220,17 @@ class Filter:
         return float(self.sizes.sum() / max(1, self.n_levels))
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, by probing levels until one misses."""
+        """Quantised counts."""
+        return expected(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels, by probing until one misses; 0 for keys of slices that are left out."""
         owner = (scramble(keys) % np.uint64(self.slices)).astype(np.int64)
-        sizes, starts = self.sizes[owner], self.starts[owner]
+        sizes, starts, tops = self.sizes[owner], self.starts[owner], self.tops[owner]
         level = np.zeros(len(keys), dtype=np.int64)
         alive = np.flatnonzero(sizes > 0)
         at = 1
-        while len(alive):
+        while len(alive := alive[tops[alive] >= at]):
             base = scramble(keys[alive] + salt(at))
             step = scramble(base ^ MIX2) | np.uint64(1)
             for i in range(PROBES):
@@ -235,34 +241,60 @@ class Filter:
                     break
             level[alive] = at
             at += 1
-        return expected(level)
+        return level
 
 
 @dataclass
 class Model:
     table: DataFrame  # one row per slice
-    filter: Filter
-    slice_words: list  # (slice, words) in order
+    slices: int
+    meta: list  # the totals of each slice, in order
+    max_filter_bytes: int
+
+    @property
+    def slice_words(self) -> list:
+        return [(r.slice, r.n_words) for r in self.meta]
+
+    @property
+    def slice_bytes(self) -> list:
+        return [(r.slice, -(-r.bits // 8)) for r in self.meta]
+
+    @property
+    def n_tokens(self) -> int:
+        return sum(r.n_tokens for r in self.meta)
+
+    @property
+    def n_words(self) -> int:
+        return sum(r.n_words for r in self.meta)
+
+    def load(self, run: list) -> Filter:
+        """The filter of some slices."""
+        sizes, tops = np.zeros(self.slices, dtype=np.int64), np.zeros(self.slices, dtype=np.int64)
+        held = [r for r in self.meta if r.slice in set(run)]
+        for r in held:
+            sizes[r.slice], tops[r.slice] = r.bits, r.top
+        starts = np.r_[0, np.cumsum(-(-sizes // 8))]
+        data = np.zeros(int(starts[-1]), dtype=np.uint8)
+        for r in self.table.where(F.col("slice").isin(run)).select("slice", "filter").toLocalIterator():
+            data[starts[r.slice] : starts[r.slice + 1]] = np.frombuffer(bytes(r.filter), dtype=np.uint8)
+        return Filter(self.slices, sizes, tops, starts[:-1], data, self.n_tokens, self.n_words, sum(r.n_levels for r in held))
+
+    @property
+    def filter(self) -> Filter:
+        """All of it; for small models."""
+        return self.load([r.slice for r in self.meta])
 
 
 def train(docs: DataFrame, max_filter_bytes: int = 128 << 20, slices: int | None = None) -> Model:
-    """Count the whole of docs and build the filter; nothing is sampled."""
+    """Count the whole of docs and build the filter; nothing is sampled.  max_filter_bytes bounds what is broadcast at once."""
     slices = slices or max(32, 4 * input_partitions(docs))
-    pieces = materialize(build_slices(count_ngrams(docs, slices), slices, max_filter_bytes), "lm-slices")
-    sizes, lengths = np.zeros(slices, dtype=np.int64), np.zeros(slices, dtype=np.int64)
-    meta = pieces.select("slice", "bits", "n_words", "n_tokens", "n_levels").collect()
-    for r in meta:
-        sizes[r.slice], lengths[r.slice] = r.bits, -(-r.bits // 8)
-    starts = np.r_[0, np.cumsum(lengths)]
-    data = np.zeros(int(starts[-1]), dtype=np.uint8)
-    for r in pieces.select("slice", "filter").toLocalIterator():  # bounded by max_filter_bytes
-        data[starts[r.slice] : starts[r.slice + 1]] = np.frombuffer(bytes(r.filter), dtype=np.uint8)
-    found = Filter(slices, sizes, starts[:-1], data, sum(r.n_tokens for r in meta), sum(r.n_words for r in meta), sum(r.n_levels for r in meta))
-    return Model(pieces, found, sorted((r.slice, r.n_words) for r in meta))
+    pieces = materialize(build_slices(count_ngrams(docs, slices)), "lm-slices")
+    meta = pieces.select("slice", "bits", "top", "n_words", "n_tokens", "n_levels").collect()
+    return Model(pieces, slices, sorted(meta, key=lambda r: r.slice), max_filter_bytes)
 
 
 def runs(slice_words: list, most: int):
-    """Slices, in order, in runs of at most ``most`` words (a larger slice runs alone)."""
+    """Slices, in order, in runs of at most ``most`` words or bytes (a larger slice runs alone)."""
     run, held = [], 0
     for number, n in slice_words:
         if run and held + n > most:
@@ -289,15 +321,17 @@ def score(docs: DataFrame, model: Model, mu: float = MU, max_slice: int = 6_000_
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, held_out, body)."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent_filter = spark.sparkContext.broadcast(model.filter)
-    n, v = model.filter.n_tokens, model.filter.n_words
+    pieces = list(runs(model.slice_bytes, model.max_filter_bytes)) or [[]]
+    whole = len(pieces) == 1
+    sent_filter = spark.sparkContext.broadcast(model.load(pieces[0])) if whole else None
+    n, v = model.n_tokens, model.n_words
     out = docs.select("doc_id", "held_out", "body", *(F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "bigint"), ("n_known", "bigint"), ("hits", "double"), ("score", "double"))))
     schema = out.schema
     todo = list(runs(model.slice_words, max_slice)) or [[]]
     for number, run in enumerate(todo):
         sent = spark.sparkContext.broadcast(exact_counts(model, run))
 
-        def add(batches, sent=sent, last=number == len(todo) - 1):
+        def add(batches, sent=sent, last=whole and number == len(todo) - 1):
             words = Words()
             keys, exact = sent.value
             seen = sent_filter.value if last else None
@@ -323,24 +357,79 @@ def score(docs: DataFrame, model: Model, mu: float = MU, max_slice: int = 6_000_
                 )
 
         out = out.mapInArrow(tidied(add), schema)
+    if not whole:
+        out = probed(out, model, pieces, mu)
     total = float(np.log10(n + v + 1.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("hits") - F.col("n_tokens") * F.lit(total)).alias("base_score"), "score"
     )
 
 
-def conditional(seen: Filter, flat: np.ndarray, distinct: np.ndarray, inverse: np.ndarray, mu: float) -> np.ndarray:
-    """log10 p of every token given the one before it."""
-    unigram = seen.counts(distinct)
+def probed(docs: DataFrame, model: Model, pieces: list, mu: float) -> DataFrame:
+    """docs with ``score`` filled in: a pass for each run of the filter, then the probabilities."""
+    spark = docs.sparkSession
+    n, v = model.n_tokens, model.n_words
+    docs = docs.withColumn("levels", F.lit(None).cast("binary"))
+    names, schema, path = docs.columns, docs.schema, None
+    for run in pieces:
+        sent = spark.sparkContext.broadcast(model.load(run))
+
+        def probe(batches, sent=sent):
+            words = Words()
+            for batch in batches:
+                hashes = [words.hashes(tokens(t)) for t in batch.column("body").to_pylist()]
+                if not hashes:
+                    continue
+                distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+                left, right, back = neighbours(np.concatenate(hashes), distinct, inverse)
+                single = sent.value.levels(distinct)[inverse].astype(np.uint8)
+                double = sent.value.levels(bigrams(distinct[left], distinct[right]))[back].astype(np.uint8)
+                packed, at = [], 0
+                for h, old in zip(hashes, batch.column("levels").to_pylist()):
+                    new = np.concatenate([single[at : at + len(h)], double[at : at + len(h)]])
+                    packed.append((np.maximum(new, np.frombuffer(old, dtype=np.uint8)) if old else new).tobytes())
+                    at += len(h)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=names)
+
+        done, path = path, new_path(spark, "lm-pass")
+        docs.mapInArrow(tidied(probe), schema).write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
+        sent.destroy()
+        if done:
+            remove_path(spark, done)
+
+    def add(batches):
+        for batch in batches:
+            scores = []
+            for packed in batch.column("levels").to_pylist():
+                single, joint = expected(np.frombuffer(packed, dtype=np.uint8).astype(np.int64).reshape(2, -1))
+                scores.append(float(smoothed(joint, np.r_[single[-1], single[:-1]], single, n, v, mu).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()) if x == "score" else batch.column(x) for x in names[:-1]], names=names[:-1])
+
+    return docs.mapInArrow(tidied(add), docs.drop("levels").schema)
+
+
+def smoothed(joint: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, v: int, mu: float) -> np.ndarray:
+    """log10 p of the right word given the left one, from counts."""
+    base = (right + 1.0) / (n + v + 1.0)
+    joint = np.minimum(joint, np.minimum(right, left))  # a bigram is no more frequent than its words
+    return np.log10((joint + mu * base) / (left + mu))
+
+
+def neighbours(flat: np.ndarray, distinct: np.ndarray, inverse: np.ndarray) -> tuple:
+    """(left, right) of the distinct bigrams as places in ``distinct``, and the bigram of each token."""
     before, now = pairs_of(flat, None)
-    first = np.flatnonzero(distinct == before[0]) if len(distinct) else []
     context = np.empty(len(flat), dtype=np.int64)
     context[1:] = inverse[:-1]
-    context[0] = first[0]
+    context[0] = np.flatnonzero(distinct == before[0])[0]
     code = context * len(distinct) + inverse  # a bigram within this batch
     each, back = np.unique(code, return_inverse=True)
-    left, right = each // len(distinct), each % len(distinct)
+    return each // len(distinct), each % len(distinct), back
+
+
+def conditional(seen: Filter, flat: np.ndarray, distinct: np.ndarray, inverse: np.ndarray, mu: float) -> np.ndarray:
+    """log10 p of every token given the one before it."""
+    unigram = seen.counts(distinct)
+    left, right, back = neighbours(flat, distinct, inverse)
     joint = seen.counts(bigrams(distinct[left], distinct[right]))
-    base = (unigram[right] + 1.0) / (seen.n_tokens + seen.n_words + 1.0)
-    joint = np.minimum(joint, np.minimum(unigram[left], unigram[right]))  # a bigram is no more frequent than its words
-    return np.log10((joint + mu * base) / (unigram[left] + mu))[back]
+    return smoothed(joint, unigram[left], unigram[right], seen.n_tokens, seen.n_words, mu)[back]

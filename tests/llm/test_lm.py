@@ -73,6 +73,23 @@ def test_runs_of_slices_give_the_same(spark, sf):
     assert rows(3000) == rows(10**9)
 
 
+def test_bits_grow_with_the_corpus_and_runs_of_the_filter_give_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    picked = docs.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), text_bytes().alias("body"))
+    one, many = lm.train(docs), lm.train(docs, max_filter_bytes=20_000)
+    assert many.filter.bits_per_level >= 7.9 and len(many.filter.data) == len(one.filter.data) > 20_000
+    assert len(list(lm.runs(many.slice_bytes, 20_000))) > 1
+    rows = lambda m: sorted((r.doc_id, round(r.base_score, 6), r.n_known, round(r.score, 6)) for r in lm.score(picked, m).collect())
+    assert rows(one) == rows(many)
+
+
+def test_probing_stops_at_the_highest_level(spark):
+    model = lm.train(spark.createDataFrame([("a " * 40 + "b",)], "text string"), slices=1)
+    full = model.filter
+    full.data[:] = 255
+    assert full.levels(np.arange(5, dtype=np.uint64)).max() == lm.levels(np.array([40]))[0]
+
+
 def test_edges(edge, none):
     picked = lambda d: d.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), text_bytes().alias("body"))
     model = lm.train(edge)
