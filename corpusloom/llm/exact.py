@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize
 
 MAX_DEPTH = 12
-CAPACITY = 1 << 20
+CAPACITY = 1 << 15  # distinct keys; tables of a few ten thousand texts split already
 
 
 def directory(counts: dict, capacity: int, max_depth: int) -> list:

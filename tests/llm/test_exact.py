@@ -20,6 +20,14 @@ def test_groups_equal_sql(spark, sf, duck, more):
     assert rows_of(ours) == rows_of(duck.execute(ORACLES["op7_exact_dedup"]).df())
 
 
+def test_buckets_split_at_the_size_checked(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat('text ', id div 2) AS text")
+    rows, entries = exact.index(docs)
+    assert entries.select("bucket").distinct().count() > 1
+    assert entries.count() == 50_000 and {r.group_size for r in entries.select("group_size").distinct().collect()} == {2}
+    assert exact.exact_groups(docs).where("kept").count() == 50_000
+
+
 def test_query(spark, sf, duck):
     assert rows_of(QUERIES["op7_exact_dedup"](spark, sf).toPandas()) == rows_of(duck.execute(ORACLES["op7_exact_dedup"]).df())
 
