@@ -5,7 +5,8 @@ times in a row, or a run of single characters set apart by spaces, is a lattice:
 each character was meant as itself, as a letter it resembles, or as nothing (a
 separator or a repeat).  Viterbi over a character trigram model, learned from
 the training texts, finds the likeliest reading.  Tokens of plain letters have
-one path and pass unchanged.
+one path and pass unchanged.  All trigrams of all training texts count, labelled
+or not.
 
 Scoring.  Features are words and word beginnings of restored tokens.  On a
 bounded sample of labelled rows a feature is picked if it hardly occurs in clean
@@ -17,7 +18,8 @@ over the words of a text: 1 - (1 - leak) * prod(1 - p), with p the precision of
 the word's best feature.
 
 Bounds: at most ``max_train`` labelled rows (by a hash of the id) are read for
-the fit; at most ``max_features`` features come to the driver.
+the features; at most ``max_features`` features come to the driver.  The trigrams
+come to it without a bound: their number follows the scripts, not the texts.
 
 Cases: null text = empty text, scored by the leak alone; labels without a row,
 with null ids or null marks are ignored; a row labelled more than once counts
@@ -132,17 +134,21 @@ def features(word: str) -> list:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def spaced_words(text: str, model: CharModel) -> list:
-    """Words hidden in runs of three or more single characters, where joining reads better than leaving them."""
+def spaced_runs(text: str, model: CharModel) -> list:
+    """(word, start, end): words hidden in runs of three or more single characters, where joining reads better than leaving them."""
     out = []
     for m in SPACED.finditer(text):
         run = m[0]
         joined, cost = restore(run, model)
         if len(joined) > 2 and cost < sum(model.word(c) for c in run.split(" ")):
-            out.append(joined)
+            out.append((joined, m.start(), m.end()))
     return out
 
 
+def spaced_words(text: str, model: CharModel) -> list:
+    return [word for word, _, _ in spaced_runs(text, model)]
+
+
 def contexts(text: str, model: CharModel, known: dict) -> dict:
     """{feature: number of its first context} of all words that a text stands for."""
     tokens = text.lower().split()
@@ -157,9 +163,11 @@ def contexts(text: str, model: CharModel, known: dict) -> dict:
             around = zlib.crc32("\n".join(tokens[max(0, at - 1) : at + 2 : 2] if at else tokens[1:2]).encode())
             for f in found:
                 out.setdefault(f, around)
-    for word in spaced_words(text.lower(), model):
+    low = text.lower()
+    for word, start, end in spaced_runs(low, model):
+        around = zlib.crc32("\n".join(low[max(0, start - 200) : start].split()[-1:] + low[end : end + 200].split()[:1]).encode())
         for f in features(word):
-            out.setdefault(f, zlib.crc32(text[:64].encode()))
+            out.setdefault(f, around)
     return out
 
 
@@ -176,16 +184,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     def trigrams(batches):
         words: Counter = Counter()
         for batch in batches:
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(0).to_pylist():
                 words.update(PARTS.findall(text.lower()))
+            if len(words) > CACHE_TOKENS:
+                yield counted(words)
+                words.clear()
+        yield counted(words)
+
+    def counted(words):
         found: Counter = Counter()
         for word, n in words.items():
             padded = "^^" + word + "$"
             for i in range(len(padded) - 2):
                 found[padded[i : i + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
 
-    grams = {r.t: r.n for r in train.mapInArrow(tidied(trigrams), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(200_000).collect()}
+    texts = docs.where("text is not null").select(F.col("text").cast("string"))
+    grams = {r.t: r.n for r in texts.mapInArrow(tidied(trigrams), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(grams)
 
     def rows(batches):

@@ -134,6 +134,20 @@ def test_toxicity_on_planted_words(spark, edge, none):
     assert len({r.score for r in toxicity.score(edge, blank, ["doc_id"]).collect()}) == 1
 
 
+def test_trigrams_of_all_texts_and_contexts_of_spaced_words(spark):
+    docs = spark.createDataFrame([(1, "house"), (2, "xylem")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert model["trigrams"]["xyl"] == model["trigrams"]["hou"] == 1  # text 2 has no label
+    grams: dict = {}
+    for word in ["idiot"] * 50 + ["opening", "words", "some", "other"]:
+        for i in range(len(word) + 1):
+            t = ("^^" + word + "$")[i : i + 3]
+            grams[t] = grams.get(t, 0) + 1
+    chars, opening = toxicity.CharModel(grams), "opening words " * 10
+    near = [toxicity.contexts(f"{opening} {before} i d i o t {after}", chars, {})["=idiot"] for before, after in (("some", "other"), ("other", "some"), ("some", "other"))]
+    assert near[0] == near[2] != near[1]
+
+
 def test_toxicity_query(spark, sf):
     rows = QUERIES["op1_toxicity"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
