@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from corpusloom.llm import sentpiece as S
 from corpusloom.llm import tokenbin as T
@@ -77,12 +78,15 @@ def test_sentencepiece_query(spark, sf):
 
 # ------------------------------------------------------------ token files
 def test_encoder_equals_the_library():
-    encoder = T.Encoder(BPE)
+    encoder, library = T.Encoder(BPE), Tokenizer.from_file(BPE)
     rng = random.Random(3)
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  c", "x <|endoftext|", "<|endoftext|><|endoftext|>", "", " ", "x"]
+    assert [x.tolist() for x in encoder.encode_all(special)] == [library.encode(x, add_special_tokens=False).ids for x in special]
+    assert encoder.encode("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
     for letters in ("abc  \t\n\r\x0b\x1c\x85\xa0 　'sdtlrevm019²½Ⅷé日_-!?", "ab   \n\n'sdt.,!0²é日_-", "ab .,\n"):
         some = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
         for text, ids in zip(some, encoder.encode_all(some)):
-            assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text)
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_elias_fano():
@@ -91,7 +95,10 @@ def test_elias_fano():
         ends = np.cumsum([rng.choice([0, 1, 3, 1000]) for _ in range(n)])
         low_bits, low, high = T.elias_fano(ends, int(ends[-1]))
         bounds = T.Boundaries(n, low_bits, low, high)
-        assert [bounds.select(i) for i in range(n)] == ends.tolist() == bounds.all().tolist()
+        assert [bounds.select(i) for i in range(n)] == ends.tolist() == bounds.span(0, n).tolist()
+        for first in range(0, n, 37):
+            last = min(n, first + rng.randint(0, 200))
+            assert bounds.span(first, last).tolist() == ends[first:last].tolist()
         assert 8 * (len(low) + len(high)) <= n * (2 + max(0, np.log2(max(1, ends[-1] / n)) + 1)) + 256
     with pytest.raises(IndexError):
         bounds.select(700)
@@ -100,7 +107,7 @@ def test_elias_fano():
 def test_files_give_back_all_ids(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
     files = T.write(docs, str(tmp_path / "f"), BPE, 2).collect()
-    library = T.Encoder(BPE).library
+    library = Tokenizer.from_file(BPE)
     texts = {r.doc_id: r.text for r in docs.collect()}
     start, want = 0, {}
     for i in sorted(texts):
@@ -108,12 +115,21 @@ def test_files_give_back_all_ids(spark, sf, tmp_path):
         want[i] = (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in T.read(spark, str(tmp_path / "f"), files).collect()} == want
-    first = T.TokenFile((tmp_path / "f" / files[0]["name"]).read_bytes())
+    first = T.TokenFile.of((tmp_path / "f" / files[0]["name"]).read_bytes())
     assert first.document(1).tolist()[-1] == 2
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op10_token_files"](spark, sf).collect()} == want
     assert not [p for p in (tmp_path / "f").iterdir() if p.name.startswith(".part")]
 
 
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    """A doc_id that holds most rows does not end up in one file."""
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(i, "x") for i in range(5)], "doc_id long, text string").repartition(4)
+    files = T.write(docs, str(tmp_path / "o"), BPE, 2).collect()
+    assert len(files) > 4 and max(f["n_docs"] for f in files) < 200
+    rows = sorted(T.read(spark, str(tmp_path / "o"), files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [0, 1, 2, 3, 4] + [7] * 400
+
+
 def test_file_edges(edge, none, tmp_path):
     rows = sorted(T.export(edge, BPE, 2, folder=str(tmp_path / "e")).collect(), key=lambda r: r.start)
     assert len(rows) == edge.count()
