@@ -7,10 +7,16 @@ hints in class, id and role values that are open at its start.  A small
 decision tree, trained on the labelled table below, keeps or drops each block;
 kept blocks are joined in page order.
 
+What a wrapper's class says does not hold inside the ``article`` or ``main`` it
+wraps, but for reader comments; words of layout (``no-sidebar``, ``has-comments``)
+say nothing.
+
 Cases: null and empty pages and pages without main text give an empty string;
-unclosed elements end with their region or the page; a tag cut off by the end
-of the page is dropped; scripts, styles and comments that never end take the
-rest of the page; references without a semicolon are decoded as browsers do.
+repeated rows are extracted each; unclosed elements end with their region or the
+page; an unclosed button, list of options or embedded object hides nothing; a tag
+cut off by the end of the page is dropped; scripts, styles, titles and comments
+that never end take the rest of the page, as in browsers; references without a
+semicolon are decoded as browsers do.
 """
 
 from __future__ import annotations
@@ -29,7 +35,10 @@ from corpusloom.llm.common import small_batches, tidied
 #: Elements of HTML by their role here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style noscript template svg math canvas iframe object select textarea button title head datalist audio video".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+EMBEDDED = frozenset("noscript template svg math canvas object audio video select button datalist".split())
+SKIP = RAW | EMBEDDED
+ENDS_CONTROL = re.compile(r"<(?:article|main|p|section|div|h[1-6]|ul|ol|table)\b")
 REGIONS = {"nav": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "menu": "menu", "dialog": "notice"}
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -47,9 +56,14 @@ HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()
 KINDS = ("menu", "header", "footer", "aside", "notice", "advert", "comments", "form")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)|[^<]+|<", re.S)
-ATTRS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRS = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Words that make a class name a statement about the layout.
+LAYOUT = frozenset("no not non has have with without hide is enable enabled disable disabled layout".split())
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: Region elements around an article or main element that still say something about it.
+KEPT_REGIONS = {"article": frozenset(("aside", "footer", "notice")), "main": frozenset()}
 
 
 @dataclass
@@ -66,20 +80,55 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def hints(attrs: str) -> frozenset:
-    found = set()
+def read_attrs(attrs: str, main: bool) -> tuple:
+    """(kinds that class, id and role hint at, hidden). main: the attributes are those of an article or main element."""
+    found, hidden = set(), False
     for m in ATTRS.finditer(attrs):
-        for word in SPLIT.split(m[2] or m[3] or m[4] or ""):
-            kind = HINT_OF.get(word.lower())
-            if kind:
-                found.add(kind)
-    return frozenset(found)
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = [w.lower() for w in SPLIT.split(token) if w]
+                if not words or words[0] == "content" or LAYOUT.intersection(words):
+                    continue
+                kinds = {HINT_OF[w] for w in words if w in HINT_OF}
+                if main:  # an article's classes often name its topics
+                    kinds &= {"comments"} if len(words) > 1 else {"comments", "advert", "aside", "notice"}
+                found |= kinds
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and INVISIBLE.search(value):
+            hidden = True
+    return frozenset(found), hidden
+
+
+def skipped(low: str, name: str, at: int) -> int:
+    """Where a skipped element that starts before ``at`` ends; ``at`` itself if it never does. low: the page in lower case.
+
+    A control without an end, or with a long one, ends where a block begins.
+    """
+    if name in RAW:
+        close = low.find("</" + name, at)
+        return len(low) if close < 0 else close
+    control, depth, end = name in ("button", "select", "datalist"), 1, -1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])").finditer(low, at):
+        depth += -1 if m[1] else 1
+        if not depth or control:
+            end = m.start()
+            break
+    if control and (end < 0 or depth or len(low[at:end].split()) > 30):
+        block = ENDS_CONTROL.search(low, at, end if end >= 0 else len(low))
+        end = block.start() if block else end
+    return end if end >= 0 else at
+
+
+def lowered(page: str) -> str:
+    """The page in lower case, every character in its place."""
+    low = page.lower()
+    return low if len(low) == len(page) else page.translate(LOWER)
 
 
 def blocks(page: str) -> list:
     """The flat text blocks of a page."""
     out: list = []
-    stack: list = []  # (tag, kinds, main, hidden) of open elements
+    stack: list = []  # (tag, kinds, main, hidden, kinds by region elements) of open elements
     text: list = []
     linked = 0
     tag_of = ""
@@ -90,7 +139,7 @@ def blocks(page: str) -> list:
         if text:
             flat = " ".join("".join(text).split())
             if flat:
-                inside = stack[-1] if stack else ("", frozenset(), False, False)
+                inside = stack[-1] if stack else ("", frozenset(), False)
                 out.append(Block(flat, flat.count(" ") + 1, linked, tag_of or inside[0], inside[2], inside[1]))
             text = []
         linked = 0
@@ -100,9 +149,8 @@ def blocks(page: str) -> list:
     at, end = 0, len(page)
     while at < end:
         if skip:
-            low = low if low is not None else page.lower()
-            close = low.find("</" + skip, at)
-            at = end if close < 0 else close
+            low = low if low is not None else lowered(page)
+            at = skipped(low, skip, at)
             skip = None
             if at == end:
                 break
@@ -122,7 +170,7 @@ def blocks(page: str) -> list:
         if m[1]:
             if name == "a":
                 anchor = max(0, anchor - 1)
-            if name in INLINE or name in SKIP:
+            if name in INLINE or name in SKIP or name == "head":
                 continue
             flush()
             for depth in range(len(stack) - 1, -1, -1):
@@ -135,9 +183,11 @@ def blocks(page: str) -> list:
         if name in SKIP:
             if not m[3].endswith("/"):
                 skip = name
-            if name in ("title", "head", "select", "textarea"):
+            if name in ("title", "select", "textarea"):
                 flush()
             continue
+        if name == "head":
+            continue
         if name == "a":
             anchor += 1
         if name in INLINE:
@@ -150,18 +200,19 @@ def blocks(page: str) -> list:
             stack.pop()
         if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-        kinds, main, hidden = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (frozenset(), False, False)
+        kinds, main, hidden, regions = stack[-1][1:] if stack else (frozenset(), False, False, frozenset())
         if name in MAIN:
+            if not main:
+                regions = regions & KEPT_REGIONS[name]
+                kinds = regions | (kinds & {"comments"})
             main = True
         region = REGIONS.get(name)
         if region:
-            kinds = kinds | {region}
-        if m[3]:
-            found = hints(m[3])
-            if found and name not in ("html", "body"):
-                kinds = kinds | found
-            hidden = hidden or bool(HIDDEN.search(m[3]))
-        stack.append((name, kinds, main, hidden))
+            kinds, regions = kinds | {region}, regions | {region}
+        if m[3] and name not in ("html", "body"):
+            found, unseen = read_attrs(m[3], name in MAIN)
+            kinds, hidden = kinds | found, hidden or unseen
+        stack.append((name, kinds, main, hidden, regions))
         tag_of = ""
     flush()
     return out

@@ -172,6 +172,25 @@ ARTICLE = "Some words that make a paragraph long enough to be read as the main t
         ("<script>var x = 1;", ""),
         (f"<div class=sidebar>{ARTICLE}</div><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div>", f"{ARTICLE} {ARTICLE}"),
         ("<article>1 < 2 and 3 > 2</article>", "1 < 2 and 3 > 2"),
+        # layouts that must not hide an article
+        (f"<html><head><title>t</title><meta charset=x><body><article><p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<div class='overflow-hidden'><article><p>{ARTICLE}</p></article></div>", ARTICLE),
+        (f"<div aria-hidden='false'><article><p>{ARTICLE}</p></article></div>", ARTICLE),
+        (f"<article><p aria-hidden='true'>no</p><p hidden>no</p><p style='display: none'>no</p><p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<button>Menu<article><p>{ARTICLE}</p></article>", f"{ARTICLE}"),
+        (f"<button>Menu<article><p>{ARTICLE}</p></article><button>other</button>", ARTICLE),
+        (f"<article><select><option>one</select><button><span>go</span></button><p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<noscript><article><p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<article><svg><svg><text>no</text></svg><text>no</text></svg><p>{ARTICLE}</p></article>", ARTICLE),
+        *((f"<div class='{c}'><article><p>{ARTICLE}</p></article></div>", ARTICLE) for c in ("content no-sidebar", "has-comments", "with-related", "sidebar", "site-header banner", "content-sidebar-wrap", "newsletter", "ads", "searchbox")),
+        (f"<div class='content no-sidebar'><p>{ARTICLE}</p></div>", ARTICLE),
+        (f"<form id=aspnet><main><p>{ARTICLE}</p></main></form>", ARTICLE),
+        (f"<nav><a href=x>Home</a><article><p>{ARTICLE}</p></article>", ARTICLE),
+        (f"<article class='post tag-cookies category-newsletter'><p>{ARTICLE}</p></article>", ARTICLE),
+        # and what still goes, by each kind of hint
+        *((f"<article><p>{ARTICLE}</p><div class='{c}'><p>{ARTICLE}</p></div></article>", ARTICLE) for c in ("main-nav", "site-banner", "copyright", "sidebar", "cookieNotice", "ad", "sponsored", "comments", "login")),
+        (f"<article><p>{ARTICLE}</p></article><div id='comments'><article class='comment'><p>{ARTICLE}</p></article></div>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p></article><aside><article><p>{ARTICLE}</p></article></aside>", ARTICLE),
     ],
 )
 def test_main_text(page, text):
@@ -191,7 +210,7 @@ def test_pages(spark, sf):
 
 
 def test_page_edges(spark):
-    pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article>a", "x"), (2, "u", "<article>" + "<div>" * 3000 + "w " * 100_000, "x")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article>a", "x"), (3, "u", "<article>twice", "x"), (3, "u", "<article>twice", "x"), (2, "u", "<article>" + "<div>" * 3000 + "w " * 100_000, "x")], "page_id long, url string, html string, text string")
     rows = {r.page_id: r for r in html.extract(pages).collect()}
     assert (rows[1].text, rows[1].n_chars, rows[None].text, rows[2].n_chars) == ("", 0, "a", 199_999)
     assert html.extract(pages.limit(0)).count() == 0
