@@ -12,19 +12,21 @@ letter outside the vocabulary counts as a piece of probability ``FLOOR`` in
 every language.
 
 The fit uses a bounded sample of labelled rows: at most about
-``docs_per_language`` texts of each language, chosen by a hash of the id.
+``docs_per_language`` texts of each language, chosen by a hash of id and text.
 
-Cases: null texts and texts without a letter are ``und`` with score 0; null
+Cases: null texts and texts without a letter (digits, fractions and circled numbers are none) are ``und`` with score 0; null
 languages are not learned; with no training rows every text is ``und``; a text
 of any length is scored whole; a null doc_id is carried through.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,15 @@ TEXTS_AT_ONCE = 128
 HASH_BASE = 0x9E3779B97F4A7C15
 GROUP_LETTERS = 100_000
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LONG_WORD = 48
+NEARLY = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits (such as 1/2 in one sign)
+LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list:
+    """The runs of letters (Unicode category L) of a lower-cased text."""
+    found = NEARLY.findall(text)
+    return found if not found or "".join(found).isalpha() else LETTERS.findall(text)
 
 
 def vocabulary(path: str) -> list:
@@ -127,6 +137,9 @@ class Lattice:
                     some = some or j == i + 1
             if not some:
                 edges.append((i, i + 1, -1, FLOOR))
+        if n > LONG_WORD:
+            self._expected_logs(edges, n, lang, times, into)
+            return
         forward = [1.0] + [0.0] * n
         for i, j, _, p in edges:
             forward[j] += forward[i] * p
@@ -139,21 +152,40 @@ class Lattice:
             if k >= 0:
                 into[lang, k] = into.get((lang, k), 0.0) + times * forward[i] * p * backward[j] / forward[n]
 
+    @staticmethod
+    def _expected_logs(edges: list, n: int, lang: int, times: int, into: dict) -> None:
+        """The same for a long word, whose probabilities are too small for plain numbers."""
+        none = -math.inf
+
+        def plus(a: float, b: float) -> float:
+            if a < b:
+                a, b = b, a
+            return a if b == none else a + math.log1p(math.exp(b - a))
+
+        logs = [(i, j, k, math.log(p)) for i, j, k, p in edges if p > 0]
+        forward = [0.0] + [none] * n
+        for i, j, _, p in logs:
+            forward[j] = plus(forward[j], forward[i] + p)
+        backward = [none] * n + [0.0]
+        for i, j, _, p in reversed(logs):
+            backward[i] = plus(backward[i], p + backward[j])
+        if forward[n] == none:
+            return
+        for i, j, k, p in logs:
+            if k >= 0:
+                into[lang, k] = into.get((lang, k), 0.0) + times * math.exp(forward[i] + p + backward[j] - forward[n])
+
 
 # ------------------------------------------------------------ fitting
 def sample(labelled: DataFrame, docs_per_language: int) -> DataFrame:
-    """About docs_per_language rows of each language, by a hash of the id; all rows of rarer languages."""
+    """About docs_per_language rows of each language, by a hash of id and text; all rows of rarer languages."""
     total = labelled.groupBy("lang").count()
     share = labelled.join(F.broadcast(total.withColumn("share", F.least(F.lit(1.0), docs_per_language / F.col("count"))).select("lang", "share")), "lang")
-    return share.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
-
+    return share.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 50)) < F.col("share") * (1 << 50)).select("lang", "text")
 
-def fit(labelled: DataFrame, pieces: list, docs_per_language: int = 400, rounds: int = 3, longest_word: int = 64) -> tuple:
-    """(languages, probs): probs[piece, language], from rows (doc_id, text, lang).
 
-    Words above ``longest_word`` letters teach nothing more about pieces and are
-    left out of the fit (never out of a score).
-    """
+def fit(labelled: DataFrame, pieces: list, docs_per_language: int = 400, rounds: int = 3) -> tuple:
+    """(languages, probs): probs[piece, language], from rows (doc_id, text, lang)."""
     spark = labelled.sparkSession
     small_batches(spark)
     picked = sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), docs_per_language)
@@ -162,9 +194,8 @@ def fit(labelled: DataFrame, pieces: list, docs_per_language: int = 400, rounds:
         seen: dict = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in LETTERS.findall(text.lower()):
-                    if len(w) <= longest_word:
-                        seen[lang, w] = seen.get((lang, w), 0) + 1
+                for w in words_of(text.lower()):
+                    seen[lang, w] = seen.get((lang, w), 0) + 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
@@ -211,7 +242,7 @@ def predict(docs: DataFrame, pieces: list, langs: list, probs: np.ndarray, keep:
             batch = whole.slice(k, TEXTS_AT_ONCE)
             best_langs, scores = [], []
             texts = batch.column(len(keep)).to_pylist()
-            found = [LETTERS.findall(t.lower()) if t else () for t in texts]
+            found = [words_of(t.lower()) if t else () for t in texts]
             if len(known) > CACHE_WORDS:
                 known.clear()
             new = list({w for words in found for w in words if w not in known}) if n else []

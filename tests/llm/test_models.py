@@ -41,6 +41,10 @@ def test_forward_sums_all_segmentations():
     lattice.expected("abab", 0, 2, counts)
     letters = sum(n * len(pieces[k].strip("▁")) for (_, k), n in counts.items())
     assert math.isclose(letters, 8.0, rel_tol=1e-6)
+    for word in ("ab" * 40, "abcba" * 400):
+        counts = {}
+        lattice.expected(word, 1, 1, counts)
+        assert math.isclose(sum(n * len(pieces[k].strip("▁")) for (_, k), n in counts.items()), len(word), rel_tol=1e-6)
 
 
 def test_language_query(spark, sf):
@@ -52,6 +56,38 @@ def test_language_query(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_predictions_by_brute_force(spark):
+    """Language and score of whole texts from sums over all segmentations, letter by letter."""
+    from itertools import product
+
+    pieces = ["▁a", "a", "b", "ab", "▁ab", "ba", "▁", "c"]
+    probs = np.array([[0.2, 0.1], [0.1, 0.2], [0.1, 0.3], [0.2, 0.1], [0.1, 0.05], [0.1, 0.05], [0.1, 0.1], [0.1, 0.1]])
+    index = {p: i for i, p in enumerate(pieces)}
+
+    def word(w, lang):
+        text, total = "▁" + w, 0.0
+        for cuts in product((0, 1), repeat=len(text) - 1):
+            parts, start = [], 0
+            for i, c in enumerate([*cuts, 1], 1):
+                if c:
+                    parts.append(text[start:i])
+                    start = i
+            total += float(np.prod([probs[index[p], lang] if p in index else langid.FLOOR if len(p) == 1 else 0.0 for p in parts]))
+        return total
+
+    texts = ["ab ba aab", "b, bb-a 12", "ABBA x", "½ ² ① 12 _", "a½b", "", None, "c c c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in langid.predict(docs, pieces, ["x", "y"], probs, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        if not words:
+            assert (rows[i].lang_pred, rows[i].score) == ("und", 0.0)
+            continue
+        p = [float(np.prod([word(w, k) for w in words])) for k in (0, 1)]
+        assert rows[i].lang_pred == ("x" if p[0] >= p[1] else "y")
+        assert abs(rows[i].score - max(p) / sum(p)) < 1e-9
+
+
 def test_language_edges(spark, edge, none):
     pieces = ["▁", "a", "t", "th", "e", "x", "w"]
     train = spark.createDataFrame([(1, "the tea", "en"), (2, "waxa wax", "xx"), (3, None, "en"), (4, "the", None)], "doc_id long, text string, lang string")
