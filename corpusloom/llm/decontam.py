@@ -6,29 +6,33 @@ the document read so far that occurs in an item, and its length.  A length of
 at least ``window`` words means that the last ``window`` words are a window of
 an item; shorter items count as one window and are found on the suffix links.
 
-The automaton is broadcast, and its size is bounded: items are dealt to shards
-of at most ``max_words`` words, and documents pass through one shard after the
-other (one pass at usual sizes), carrying their hit spans.
+Items are dealt to shards of at most ``max_words`` words.  The texts of one shard
+are broadcast, and each Python worker builds that shard's automaton once, for all
+its tasks.  With one shard (the usual case) documents are read once; with more,
+each shard is a pass over the documents that carries their hit spans and ends in
+a table, so no task and no driver holds more than one shard.
 
 Cases: null or empty texts have no words; items without words are ignored;
-repeated items count by their item_id once; a null item_id is ignored; an item
-longer than ``max_words`` has a shard of its own; empty tables give documents
-without hits or an empty result; a null doc_id is carried through.
+repeated items count by their item_id once; items without an item_id count as one
+item, whose id is left out of lists and digests; an item longer than ``max_words``
+has a shard of its own; empty tables give documents without hits or an empty
+result; a null doc_id is carried through.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches, text_bytes, tidied
+from corpusloom.llm.common import new_path, remove_path, small_batches, text_bytes, tidied
 
 #: Lower-cases A-Z, keeps digits, letters and all bytes of other characters, blanks the rest.
 FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-MAX_WORDS = 2_000_000
+MAX_WORDS = 200_000  # words of a shard; its automaton takes about 200 MB in a worker
 
 
 def words_of(text: bytes) -> list:
@@ -105,7 +109,7 @@ class SuffixAutomaton:
         for s in order:
             up = self.link[s]
             self.base[s] = self.base[up] if self.length[up] >= self.window else s
-            self.short[s] = self.short[up] + tuple(sorted(short.get(s, ())))
+            self.short[s] = self.short[up] + tuple(short.get(s, ()))
         self.items = {s: frozenset(gathered[s]) for s in set(self.base) if gathered[s]}
 
     def spans(self, words: list) -> tuple:
@@ -159,22 +163,39 @@ def merge(spans: list) -> list:
 
 
 def shards(benchmark: DataFrame, max_words: int):
-    """Lists of (item_id, words), each of at most max_words words, read by id range one after the other."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text_bytes().alias("body")).where("item_id is not null")
+    """Lists of (item_id, text), each of at most max_words words, read by id range one after the other."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text_bytes().alias("body"))
     part, held = [], 0
     for row in items.orderBy("item_id").toLocalIterator():
-        words = words_of(bytes(row.body))
-        if not words:
+        text = bytes(row.body).translate(FOLD)
+        n = len(text.split())
+        if not n:
             continue
-        if part and held + len(words) > max_words:
+        if part and held + n > max_words:
             yield part
             part, held = [], 0
-        part.append((row.item_id, words))
-        held += len(words)
+        part.append((row.item_id, text))
+        held += n
     if part:
         yield part
 
 
+_BUILT: dict = {}
+
+
+def built(key: str, items: list, window: int) -> SuffixAutomaton:
+    """The automaton of a shard, made once in each Python worker; the one before it goes."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = SuffixAutomaton([(item_id, text.split()) for item_id, text in items], window)
+    return _BUILT[key]
+
+
+def in_order(items: set) -> list:
+    """Item ids in ascending order, a missing one first."""
+    return sorted(items, key=lambda x: (x is not None, x))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS, keep: list | None = None) -> DataFrame:
     """One row per document: the columns ``keep`` (default doc_id), _hit_body, _hit_words, _hit_spans, _hit_items."""
     spark = docs.sparkSession
@@ -182,12 +203,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int
     keep = keep or ["doc_id"]
     out = docs.select(*keep, text_bytes().alias("_hit_body"), F.lit(0).cast("bigint").alias("_hit_words"), F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("_hit_spans"), F.lit(None).cast("array<bigint>").alias("_hit_items"))
     schema = out.schema
-    for items in list(shards(benchmark, max_words)) or [[]]:
-        sent = spark.sparkContext.broadcast(items)
+    path, todo = None, shards(benchmark, max_words)
+    items = next(todo, [])
+    while items is not None:
+        following = next(todo, None)
+        sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches, sent=sent):
-            automaton = SuffixAutomaton(sent.value, window)
+        def run(batches, sent=sent, key=key):
             for batch in batches:
+                automaton = built(key, sent.value, window)
                 body, old_spans, old_items = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_hit_body", "_hit_spans", "_hit_items"))
                 counts, spans, items = [], [], []
                 for text, had, was in zip(body, old_spans, old_items):
@@ -197,12 +221,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int
                         found = merge(found + [(x["first"], x["last"]) for x in had])
                     counts.append(len(words))
                     spans.append([{"first": a, "last": b} for a, b in found])
-                    items.append(sorted(who | set(was or ())))
+                    items.append(in_order(who | set(was or ())))
                 n = len(keep)
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))], names=batch.schema.names)
 
         out = out.mapInArrow(tidied(run), schema)
+        if following is not None or path:
+            done, path = path, new_path(spark, "decontam-pass")
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            sent.destroy()
+            if done:
+                remove_path(spark, done)
+        items = following
     return out
 
 
@@ -217,7 +249,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage
     """The documents with contaminated spans cut out of their texts, all other columns kept.
 
     A document whose hit words exceed ``max_coverage`` of its words is dropped.
-    A cut joins what stands before and after it by one space; clean texts are untouched.
+    A cut joins what stands before and after it by one space; white space elsewhere and clean texts are untouched.
     """
     columns = docs.columns
     found = hits(docs, benchmark, window, max_words, keep=columns)
@@ -249,10 +281,11 @@ def cut(text: str, spans: list) -> str:
         ends.append((at, at + len(word)))
         at += len(word)
     parts, at = [], 0
-    for first, last in spans:
-        parts.append(body[at : ends[first][0]].decode().strip())
+    for n, (first, last) in enumerate(spans):
+        part = body[at : ends[first][0]].decode()
+        parts.append(part.strip() if n else part.rstrip())
         at = ends[last][1]
-    parts.append(body[at:].decode().strip())
+    parts.append(body[at:].decode().lstrip())
     return " ".join(x for x in parts if x)
 
 

@@ -54,6 +54,7 @@ def test_cut():
     assert D.cut("One, two three four! Five", [(1, 2)]) == "One, four! Five".replace("One, four", "One,  four").replace("  ", " ")
     assert D.cut("a b c", [(0, 2)]) == ""
     assert D.cut("é b ü", [(1, 1)]) == "é ü"
+    assert D.cut("\n  a b c d  \n", [(1, 2)]) == "\n  a d  \n"
 
 
 def test_edges(spark, edge, none):
@@ -61,6 +62,7 @@ def test_edges(spark, edge, none):
     found = {r.doc_id: r for r in D.digest(D.hits(edge, items)).collect()}
     assert (found[9].n_hit, found[9].n_items, found[10].n_hit, found[4].n_hit, found[4].n_items) == (12, 1, 12, 2, 1)
     assert found[1].n_words == 0 and not found[1].contaminated and found[7].n_words == 80_000
+    assert (found[7].n_hit, found[7].n_items, found[7].items_sha256) == (20_000, 1, D.item_digest([]))  # an item without an id
     assert found[9].items_sha256 == D.item_digest([1]) and found[2].items_sha256 == D.item_digest([])
     assert D.digest(D.hits(none, items)).count() == 0
     assert not any(r.contaminated for r in D.digest(D.hits(edge, items.limit(0))).collect())
