@@ -19,9 +19,9 @@ Score.  p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 1) / (N +
 every c read by probes.  ``score`` is the sum of log10 p over words and end.
 
 The exact unigram base needs exact counts.  They stay in a table in the shared
-folder and are broadcast in runs of at most ``max_slice`` words, one pass over
-the documents for each run (one run at usual sizes), so what is broadcast is
-bounded while every word is counted.
+folder and are broadcast in runs of at most ``max_slice`` words.  One run is read
+as the texts are scored; with more, each is a pass over the documents that ends in
+a table, so what is broadcast and held is bounded while every word is counted.
 
 Cases: null = empty text = only the end token; a null doc_id hashes like the
 empty string; without training rows N = V = 0 and every p is 1; empty tables
@@ -164,7 +164,7 @@ def count_ngrams(docs: DataFrame, slices: int) -> DataFrame:
     return docs.select(text_bytes().alias("body")).mapInArrow(tidied(run), COUNTED)
 
 
-def build_slices(counted: DataFrame) -> DataFrame:
+def build_slices(counted: DataFrame, bits_per_level: int = BITS_PER_LEVEL) -> DataFrame:
     """One row per slice: its exact word counts, totals, and its piece of the filter."""
     schema = "slice int, keys binary, counts binary, n_words long, n_tokens long, n_levels long, top long, bits long, filter binary"
 
@@ -176,7 +176,7 @@ def build_slices(counted: DataFrame) -> DataFrame:
                 by[n][1].append(np.frombuffer(c, dtype=np.uint32).astype(np.int64))
         grams = [merged(np.concatenate(k), np.concatenate(c)) if k else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k, c in by.values()]
         total = int(sum(levels(c).sum() for _, c in grams))
-        size = max(64, total * BITS_PER_LEVEL)
+        size = max(64, total * bits_per_level)
         bits = np.zeros(-(-size // 8) * 8, dtype=bool)
         for keys, counts in grams:
             top = levels(counts)
@@ -285,10 +285,10 @@ class Model:
         return self.load([r.slice for r in self.meta])
 
 
-def train(docs: DataFrame, max_filter_bytes: int = 128 << 20, slices: int | None = None) -> Model:
+def train(docs: DataFrame, max_filter_bytes: int = 128 << 20, slices: int | None = None, bits_per_level: int = BITS_PER_LEVEL) -> Model:
     """Count the whole of docs and build the filter; nothing is sampled.  max_filter_bytes bounds what is broadcast at once."""
     slices = slices or max(32, 4 * input_partitions(docs))
-    pieces = materialize(build_slices(count_ngrams(docs, slices)), "lm-slices")
+    pieces = materialize(build_slices(count_ngrams(docs, slices), bits_per_level), "lm-slices")
     meta = pieces.select("slice", "bits", "top", "n_words", "n_tokens", "n_levels").collect()
     return Model(pieces, slices, sorted(meta, key=lambda r: r.slice), max_filter_bytes)
 
@@ -307,10 +307,10 @@ def runs(slice_words: list, most: int):
 
 
 def exact_counts(model: Model, run: list) -> tuple:
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in model.table.where(F.col("slice").isin(run)).select("keys", "counts").toLocalIterator():
         keys.append(np.frombuffer(bytes(r["keys"]), dtype=np.uint64))
-        counts.append(np.frombuffer(bytes(r["counts"]), dtype=np.int64).astype(np.uint32))
+        counts.append(np.frombuffer(bytes(r["counts"]), dtype=np.int64))
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -327,7 +327,7 @@ def score(docs: DataFrame, model: Model, mu: float = MU, max_slice: int = 6_000_
     n, v = model.n_tokens, model.n_words
     out = docs.select("doc_id", "held_out", "body", *(F.lit(0).cast(t).alias(c) for c, t in (("n_tokens", "bigint"), ("n_known", "bigint"), ("hits", "double"), ("score", "double"))))
     schema = out.schema
-    todo = list(runs(model.slice_words, max_slice)) or [[]]
+    todo, path = list(runs(model.slice_words, max_slice)) or [[]], None
     for number, run in enumerate(todo):
         sent = spark.sparkContext.broadcast(exact_counts(model, run))
 
@@ -344,7 +344,7 @@ def score(docs: DataFrame, model: Model, mu: float = MU, max_slice: int = 6_000_
                 distinct, inverse = np.unique(flat, return_inverse=True)
                 spot = np.searchsorted(keys, distinct)
                 spot[spot == len(keys)] = 0
-                counts = np.where(keys[spot] == distinct, exact[spot], 0) if len(keys) else np.zeros(len(distinct), np.uint32)
+                counts = np.where(keys[spot] == distinct, exact[spot], 0) if len(keys) else np.zeros(len(distinct), np.int64)
                 logs = np.log10(counts + 1.0)
                 if len(flat):
                     known = np.asarray(known) + np.add.reduceat((counts > 0).astype(np.int64)[inverse], starts)
@@ -357,6 +357,13 @@ def score(docs: DataFrame, model: Model, mu: float = MU, max_slice: int = 6_000_
                 )
 
         out = out.mapInArrow(tidied(add), schema)
+        if len(todo) > 1 and (number < len(todo) - 1 or whole):  # each pass ends in a table: a task holds one run at a time
+            done, path = path, new_path(spark, "lm-counts")
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            sent.destroy()
+            if done:
+                remove_path(spark, done)
     if not whole:
         out = probed(out, model, pieces, mu)
     total = float(np.log10(n + v + 1.0))
