@@ -28,6 +28,7 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -101,12 +102,16 @@ class BKTree:
             node = child
 
     def within(self, word: int, radius: int) -> list:
+        return [value for _, value in self.near(word, radius)]
+
+    def near(self, word: int, radius: int) -> list:
+        """(distance, value) of all values within the radius."""
         found, todo = [], [self.root] if self.root else []
         while todo:
             value, children = todo.pop()
             distance = (value ^ word).bit_count()
             if distance <= radius:
-                found.append(value)
+                found.append((distance, value))
             if children:
                 low, high = distance - radius, distance + radius
                 todo.extend(child for edge, child in children.items() if low <= edge <= high)
@@ -293,15 +298,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     )
 
 
-# ------------------------------------------------------------ wide fingerprints for a similarity
+# ------------------------------------------------------------ near copies of a given similarity
 # A radius of 4 in 64 bits means nearly equal texts only: at a Jaccard similarity of 0.8 a seventh of the bits
-# differ.  For a given similarity, fingerprints of WIDE words of 64 bits are used; the radius follows from the angle
-# between two texts' shingle sets.  Shards are then keyed by sampled bits, as many as the table needs to keep random
-# shards small, and as many samples as it takes to bring a pair of just that similarity together with probability
-# ``recall``; closer pairs meet almost surely.  Within a shard the search is exact.
+# differ.  For a given similarity, fingerprints of WIDE words of 64 bits only find candidates, and every link is then
+# decided by the exact Jaccard similarity of the two sets of shingles.
+#
+# Candidates.  Shards are keyed by sampled bits, as many as the table needs to keep random shards small, and as many
+# samples as it takes to bring a pair of just that similarity together with probability ``RECALL``; closer pairs meet
+# almost surely.  A shard is searched with BK-trees of at most BLOCK members each, in an order that differs from
+# family to family, so a group of any size costs each of its members the same.  The radius leaves room for three
+# standard deviations of the distance at that similarity (two in the second search).
+#
+# Links.  First every text proposes the ``NEAREST`` of its candidates over all shards, which joins most of every group
+# where the exact similarity says so.  Then texts with candidates propose all those of other groups that they meet;
+# the members of a block's largest group leave that to the others, so what is left inside large groups is little.
 WIDE = 4
 RECALL = 0.95
-SHARD_TREE = 256  # larger shards compare in blocks of numbers, which is faster than walking a tree
+BLOCK = 128
+NEAREST = 3
 
 
 def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
@@ -328,9 +342,10 @@ def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
     return out
 
 
-def radius_for(similarity: float) -> int:
-    """Bits of WIDE words by which texts of that Jaccard similarity differ on average."""
-    return int(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def radius_for(similarity: float, sigmas: float) -> int:
+    """Bits of WIDE words by which texts of that Jaccard similarity differ, and so many standard deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * WIDE * share + sigmas * np.sqrt(64 * WIDE * share * (1 - share)))
 
 
 def samples_for(n: int, similarity: float, recall: float = RECALL) -> np.ndarray:
@@ -342,92 +357,154 @@ def samples_for(n: int, similarity: float, recall: float = RECALL) -> np.ndarray
     return np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(families)])
 
 
-def wide_shard_links(words: np.ndarray, ids: list, radius: int, forest: Forest) -> None:
-    """words: one row of WIDE numbers for each member of a shard."""
-    n = len(words)
-    if n <= SHARD_TREE:
-        tree, seen = BKTree(), {}
-        for row, name in zip(words.tolist(), ids):
-            word = row[0] | row[1] << 64 | row[2] << 128 | row[3] << 192
-            for other in tree.within(word, radius):
-                forest.union(seen[other], name)
-            seen[word] = name
+def proposals(words: list, ids: list, groups: list, radius: int, nearest: int | None) -> list:
+    """(id, other id, distance) for the nearest (or all) members of other groups within the radius, from one block of a shard.
+
+    While every member is a group of its own, each asks the tree of those before it; later the members of the
+    block's largest group leave asking to the others.
+    """
+    tree, owner, out = BKTree(), {}, []
+    count = Counter(groups)
+    alone = len(count) == len(groups)
+    top = None if alone else max(count, key=lambda g: (count[g], g))
+    if not alone:
+        for word, name, group in zip(words, ids, groups):
             tree.insert(word)
-        return
-    step = max(1, 4_000_000 // n)
-    for at in range(0, n, step):
-        part = words[at : at + step]
-        apart = sum(np.bitwise_count(part[:, None, k] ^ words[None, at:, k]).astype(np.int32) for k in range(WIDE))
-        rows, columns = np.nonzero(apart <= radius)
-        for a, b in zip(rows.tolist(), columns.tolist()):
-            if a < b:
-                forest.union(ids[at + a], ids[at + b])
-
-
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) over the ids of prints (id, w0, w1, w2, w3; ids distinct): a spanning forest of each shard."""
-    spark = prints.sparkSession
-    radius, samples = radius_for(similarity), samples_for(prints.count(), similarity)
+            owner[word] = (name, group)
+    for word, name, group in zip(words, ids, groups):
+        if alone or group != top:
+            found = [(d, *owner[w]) for d, w in tree.near(word, radius)]
+            found = sorted((d, other) for d, other, g in found if g != group)[:nearest]
+            out += [(name, other, d) for d, other in found]
+        if alone:
+            owner[word] = (name, group)
+            tree.insert(word)
+    return out
+
+
+def candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest: int | None = None) -> DataFrame:
+    """(a, b), a > b: proposed pairs of ids of different groups, all or the ``nearest`` for each id; rows: id, comp, w0, w1, w2, w3 (ids distinct)."""
+    spark = rows.sparkSession
     weights = (1 << np.arange(samples.shape[1], dtype=np.int64)).astype(np.int64)
-    names = ["key", "id", *(f"w{k}" for k in range(WIDE))]
+    names = ["key", "place", "id", "comp", *(f"w{k}" for k in range(WIDE))]
     schema = ", ".join(f"{x} long" for x in names)
 
     def route(batches):
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(WIDE + 1)]
+            columns = [batch.column(k).to_numpy() for k in range(WIDE + 2)]
             for at in range(0, batch.num_rows, 1024):
                 part = [np.ascontiguousarray(c[at : at + 1024]) for c in columns]
-                words = np.stack([c.view(np.uint64) for c in part[1:]], axis=1)
-                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                bits = np.unpackbits(np.stack([c.view(np.uint64) for c in part[2:]], axis=1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 for n, spots in enumerate(samples):
                     keys = (bits[:, spots] @ weights) | np.int64(n) << np.int64(48)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, part)], names=names)
+                    place = scramble(part[0].view(np.uint64) + np.uint64(n)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), *map(pa.array, part)], names=names)
 
-    def shard(batches):
-        held: list = []
+    def search(batches):
+        """Rows come sorted by key and place; a block ends with its shard, or after BLOCK members."""
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(i).to_numpy() for i in range(WIDE + 2)]
-            same = held and held[-1][0][-1] == new[0][0] == new[0][-1]
-            held.append(new)
-            if same:
-                continue
-            part = [np.concatenate(x) for x in zip(*held)]
-            change = np.flatnonzero(part[0][1:] != part[0][:-1]) + 1
-            held = [part]
-            if len(change):
-                yield from solve([x[: change[-1]] for x in part])
-                held = [[x[change[-1] :] for x in part]]
+            if batch.num_rows:
+                new = [c.to_numpy() for c in batch.columns]
+                part = [np.concatenate(x) for x in zip(held, new)] if held else new
+                cuts = block_starts(part[0])
+                held = [x[cuts[-1] :] for x in part]
+                yield from solve([x[: cuts[-1]] for x in part], cuts)
         if held:
-            yield from solve([np.concatenate(x) for x in zip(*held)])
+            yield from solve(held, np.r_[block_starts(held[0]), len(held[0])])
+
+    def block_starts(key):
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        return np.flatnonzero((np.arange(len(key)) - first) % BLOCK == 0)
+
+    def solve(part, cuts):
+        out = []
+        ids, groups = part[2].tolist(), part[3].tolist()
+        raw = np.ascontiguousarray(np.stack(part[4:], axis=1)).tobytes()
+        number = int.from_bytes
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if e - s > 1:
+                out += proposals([number(raw[8 * WIDE * i : 8 * WIDE * (i + 1)], "little") for i in range(s, e)], ids[s:e], groups[s:e], radius, nearest)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["x", "y", "d"])
+
+    routed = rows.select("id", "comp", *names[4:]).mapInArrow(tidied(route), schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = routed.repartition(parts, "key").sortWithinPartitions("key", "place").mapInArrow(tidied(search), "x long, y long, d long")
+    if nearest is not None:
+        best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "y"))), 1, nearest).alias("best"))
+        found = best.select("x", F.explode("best.y").alias("y"))
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
-    def solve(part):
-        key, ids = part[0], part[1]
-        words = np.stack([np.ascontiguousarray(c).view(np.uint64) for c in part[2:]], axis=1)
-        starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
-        sizes = np.diff(np.r_[starts, len(key)])
-        a, b = [], []
-        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            forest = Forest()
-            wide_shard_links(words[s : s + n], ids[s : s + n].tolist(), radius, forest)
-            for name in list(forest.up):
-                a.append(name)
-                b.append(forest.find(name))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    routed = prints.select("id", *names[2:]).mapInArrow(tidied(route), schema)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return routed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidied(shard), "a long, b long").distinct()
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the shingles of the lower-cased words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], dtype=np.uint64))
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles binary) of docs (id, body)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    return docs.select("id", "body").mapInArrow(tidied(run), "id long, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is at least ``similarity``; sets: id, shingles."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                least, most = sorted((len(x), len(y)))
+                if least < similarity * most:
+                    good.append(False)
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(common >= similarity * (least + most - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(tidied(run), "a long, b long")
+
+
+def similar_groups(least: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of the ids that link; least: id, near_key, w0 .. w3 (ids distinct); texts: near_key, body."""
+    samples = samples_for(least.count(), similarity)
+    names = [f"w{k}" for k in range(WIDE)]
+    rows = least.select("id", F.col("id").alias("comp"), *names)
+    pairs = materialize(candidates(rows, samples, radius_for(similarity, 3), NEAREST), "near-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    taking = materialize(least.join(ids, "id", "left_semi"), "near-taking")
+    wanted = texts.join(taking.select("id", "near_key"), "near_key").dropDuplicates(["id"])
+    sets = materialize(shingle_sets(wanted, width), "near-sets")
+    rooted = components(similar(pairs, sets, similarity))
+    rows = taking.join(rooted, taking.id == rooted.node, "left").select("id", F.coalesce("root", "id").alias("comp"), *names)
+    more = candidates(rows, samples, radius_for(similarity, 2)).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(similar(more, sets, similarity), "near-links")
+    if more.isEmpty():
+        return rooted
+    return components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar texts stays, with all its columns: the smallest doc_id, then the smallest text digest.
 
-    Groups are components of links between texts whose estimated Jaccard similarity of word shingles is at least
-    ``similarity``.  Null ids come last; rows that repeat both id and text count as one.  Only keys and
-    fingerprints travel until the final join.
+    Groups are components of links between texts whose Jaccard similarity of word shingles is at least ``similarity``
+    (candidates are found by fingerprints, links decided exactly; texts with one fingerprint are one).  Null ids come
+    last; rows that repeat both id and text count as one.  Only keys, fingerprints and the shingles of candidates
+    travel until the final join.
     """
     small_batches(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE)]
@@ -440,9 +517,10 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) + F.lit(str(2**63)).cast("decimal(20,0)")
     key = F.concat_ws(":", F.lpad(place.cast("string"), 20, "0"), digest)  # sorts as the id does
-    prints = docs.select(key.alias("near_key"), text_bytes().alias("body")).mapInArrow(tidied(run), "near_key string, " + ", ".join(f"{n} long" for n in names))
+    texts = docs.select(key.alias("near_key"), text_bytes().alias("body"))
+    prints = texts.mapInArrow(tidied(run), "near_key string, " + ", ".join(f"{n} long" for n in names))
     prints = materialize(prints.withColumn("id", F.xxhash64(*names)), "prints")
     least = materialize(prints.groupBy("id", *names).agg(F.min("near_key").alias("near_key")), "wide-prints")
-    rooted = components(similar_links(least, similarity))
+    rooted = similar_groups(least, texts, width, similarity)
     best = least.join(rooted, least.id == rooted.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("near_key").alias("_near_key"))
     return docs.withColumn("_near_key", key).join(best.select("_near_key"), "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(*docs.columns)

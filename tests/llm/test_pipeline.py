@@ -19,11 +19,11 @@ def test_stages_against_brute_force(spark, sf):
     for i, t in texts[1].items():
         last[t] = max(i, last.get(t, i))
     assert set(texts[2]) == set(last.values())
-    prints = {i: simhash.wide_fingerprint(t.encode(), 5) for i, t in texts[2].items()}
-    radius, forest, names = simhash.radius_for(0.8), simhash.Forest(), sorted(prints)
+    forest, names = simhash.Forest(), sorted(texts[2])
+    sets = {i: set(simhash.shingle_set(texts[2][i].encode(), 5).tolist()) for i in names}
     for n, i in enumerate(names):
         for j in names[:n]:
-            if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius:
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 forest.union(i, j)
     want = {forest.find(i) for i in names}
     assert set(texts[3]) >= want  # sampled shards may miss a link, and never add one
@@ -37,13 +37,31 @@ def test_stages_against_brute_force(spark, sf):
 
 
 def test_edges(spark, edge, none, sf):
+    """What is left of the edge frame after each stage; empty tables stay empty."""
     import corpus_pipeline as P
 
     for frame in (edge, none):
-        docs = frame
+        docs, left = frame, []
         for _, stage in P.STAGES[:-1]:
             docs = stage(spark, docs, sf)
             assert docs.columns == frame.columns
             docs = spark.createDataFrame(docs.collect(), frame.schema)
+            left.append(sorted((r.doc_id if r.doc_id is not None else -1) for r in docs.collect()))
         out = P.STAGES[-1][1](spark, docs, sf).collect()
-        assert frame is edge or not out
+        if frame is none:
+            assert left == [[]] * 4 and not out
+            continue
+        assert not {1, 2, 3} & set(left[0])  # null, empty and blank texts have no language
+        assert len(left[1]) == len(set(left[1])) and 5 not in left[1] and (6 in left[1]) == (6 in left[0])
+        assert left[1] == left[2] == left[3] == sorted((r.doc_id if r.doc_id is not None else -1) for r in out)
+        assert all(r.round_trip and r.n_tokens > 0 for r in out)
+
+
+def test_languages_of_edges(spark, edge, sf):
+    """With languages to learn from, all texts with letters stay."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 100")
+    more = edge.select((1000 + edge.doc_id).alias("doc_id"), "text", "lang", "source", "n_chars")
+    kept = [r.doc_id for r in P.STAGES[0][1](spark, docs.union(more), sf).collect()]
+    assert {1004, 1005, 1006, 1007, 1009, 1010, 1012} <= set(kept) and not {1001, 1002, 1003} & set(kept) and kept.count(None) == 1

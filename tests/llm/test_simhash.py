@@ -119,26 +119,62 @@ def test_similar_texts_are_found(spark):
     assert all(2 * g + 1 in kept for g in range(30, 60))
 
 
-def test_wide_shards_equal_brute_force():
+def linked(texts, similarity=0.8):
+    """Smallest id of each text's group, from all pairs and their exact similarity."""
+    forest, names = S.Forest(), sorted(texts)
+    sets = {i: set(S.shingle_set(texts[i].encode(), 5).tolist()) for i in names}
+    for n, i in enumerate(names):
+        for j in names[:n]:
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                forest.union(i, j)
+    return {i: forest.find(i) for i in names}
+
+
+@pytest.mark.parametrize("length", [60, 150, 400])
+def test_recall_just_above_the_similarity(spark, length):
+    """Pairs of similarity 0.80 to 0.85: at least nine in ten are found, and none below 0.8."""
+    rng, texts = random.Random(length), {}
+    while len(texts) < 120:
+        words = [f"v{rng.randrange(5000)}" for _ in range(length)]
+        copy = list(words)
+        while True:
+            copy[rng.randrange(length)] = f"e{rng.randrange(10**6)}"
+            j = jaccard(" ".join(words), " ".join(copy))
+            if j < 0.85:
+                break
+        if j >= 0.8 or len(texts) % 3 == 0:
+            texts |= {len(texts): " ".join(words), len(texts) + 1: " ".join(copy)}
+    want = {i for i, low in linked(texts).items() if i == low}
+    kept = {r.doc_id for r in S.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert kept >= want and len(texts) - len(kept) >= 0.9 * (len(texts) - len(want))
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text around the similarity: shards of several blocks, groups by exact similarity."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(120)]
+    texts = {}
+    for i in range(500):
+        copy = list(words)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    want = {i for i, low in linked(texts).items() if i == low}
+    kept = {r.doc_id for r in S.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert 0 in kept and kept >= want and len(kept) <= len(want) + 5
+
+
+def test_proposals_equal_brute_force():
     rng = random.Random(11)
-    words = []
-    for _ in range(6):
-        base = rng.getrandbits(256)
-        for _ in range(60):
-            words.append(base ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 30))))
-    rows = np.array([[w >> 64 * k & (1 << 64) - 1 for k in range(4)] for w in words], dtype=np.uint64)
-    truth = S.Forest()
-    for i, a in enumerate(words):
-        for j in range(i):
-            if (a ^ words[j]).bit_count() <= 38:
-                truth.union(i, j)
-    for n in (200, len(words)):
-        found = S.Forest()
-        S.wide_shard_links(rows[:n], list(range(n)), 38, found)
-        if n == len(words):
-            assert [found.find(i) for i in range(n)] == [truth.find(i) for i in range(n)]
-    S.SHARD_TREE, before = 10**6, S.SHARD_TREE
-    found = S.Forest()
-    S.wide_shard_links(rows, list(range(len(words))), 38, found)
-    S.SHARD_TREE = before
-    assert [found.find(i) for i in range(len(words))] == [truth.find(i) for i in range(len(words))]
+    words = [rng.getrandbits(256) for _ in range(3)]
+    words += [words[i % 3] ^ sum(1 << b for b in rng.sample(range(256), rng.randint(1, 30))) for i in range(90)]
+    near = lambda i, j: (words[i] ^ words[j]).bit_count()
+    ids = list(range(len(words)))
+    got = S.proposals(words, ids, ids, 38, 2)
+    for i in ids:
+        want = sorted((near(i, j), j) for j in range(i) if near(i, j) <= 38)[:2]
+        assert [(d, y) for x, y, d in got if x == i] == want
+    groups = [i % 3 if i < 60 else i for i in ids]
+    got = S.proposals(words, ids, groups, 38, None)
+    top = max(set(groups), key=lambda g: (groups.count(g), g))
+    assert sorted(got) == sorted((i, j, near(i, j)) for i in ids if groups[i] != top for j in ids if groups[i] != groups[j] and near(i, j) <= 38)
