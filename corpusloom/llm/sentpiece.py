@@ -12,9 +12,9 @@ is checked when the vocabulary is loaded.  The distinct units of all texts go th
 For a unigram vocabulary the fold is Viterbi.  For a BPE vocabulary, like the
 public one used here, the likeliest path is not what SentencePiece returns:
 BPE joins the best-ranked neighbouring pair first, again and again.  The fold
-then carries the current cuts of the unit and in each step removes the cut
-whose joined piece, an edge of the same lattice, has the best score.  The ids
-equal the library's.
+then carries the current cuts of the unit as the bits of a number, and in each step
+removes the cut whose joined piece, an edge of the same lattice, has the best
+score.  The ids equal the library's.
 
 Units above ``fold_limit`` characters would make array folds quadratic and are
 folded with the same rules in an Arrow function (a heap for BPE).
@@ -48,7 +48,7 @@ from corpusloom.llm.common import materialize, small_batches, tidied
 MARK = "▁"
 MAX_UNITS = 6_000_000
 FOLD_LIMIT = 48
-TEXTS_AT_ONCE = 128
+TEXT_BYTES_AT_ONCE = 2 << 20
 GROUPS_IN_MEMORY = 4_096
 NO_SCORE = -1e30
 SIGN = "!-/:-@\\[-`{-~"
@@ -92,8 +92,12 @@ def load(path: str, kind: str | None = None, prefix: bool = True) -> Vocabulary:
 
 
 def piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """(piece, id, score, rank); rank 0 has the best score, equal scores share a rank.  The empty piece has id -1."""
     ids, scores = zip(*vocab.pieces.values())
-    rows = pa.table({"piece": [*vocab.pieces, ""], "id": pa.array([*ids, -1], pa.int32()), "score": pa.array([*map(float, scores), 0.0], pa.float64())})
+    rank = {x: n for n, x in enumerate(sorted(set(scores), reverse=True))}
+    rows = pa.table(
+        {"piece": [*vocab.pieces, ""], "id": pa.array([*ids, -1], pa.int32()), "score": pa.array([*map(float, scores), 0.0], pa.float64()), "rank": pa.array([*(rank[x] for x in scores), 0], pa.int64())}
+    )
     return spark.createDataFrame(rows)
 
 
@@ -173,8 +177,8 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     def run(batches):
         held: list = []
         for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                held.append(pc.unique(units_of(batch.column(0).slice(k, TEXTS_AT_ONCE), vocab)[0]))
+            for part in text_blocks(batch, 0):
+                held.append(pc.unique(units_of(part.column(0), vocab)[0]))
                 if sum(map(len, held)) > 200_000:
                     held = [pc.unique(pa.concat_arrays(held))]
                     if len(held[0]) > 80_000:
@@ -188,6 +192,16 @@ def distinct_units(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     return docs.select("text").mapInArrow(tidied(run), "unit string").repartition(parts, "unit").distinct()
 
 
+def text_blocks(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with some megabytes of text each; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES_AT_ONCE, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def marked_texts(texts: pa.Array, vocab: Vocabulary) -> pa.Array:
     """Texts with marks for spaces, and the leading mark of the vocabulary."""
     flat = pc.replace_substring(pc.fill_null(texts, ""), " ", MARK)
@@ -229,35 +243,32 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1
     sends the empty string, which the piece table answers with id -1.  Grouping
     by unit reuses the exchange that made the units distinct.
     """
+    edges = spread_units(units, longest, shortest, fold_limit).join(F.broadcast(pieces), "piece")
+    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.struct("first", "last", "id", "score")))).alias("edges"))
+
+
+def spread_units(units: DataFrame, longest: int, shortest: int, fold_limit: int) -> DataFrame:
+    """(unit, first, last, piece): the substrings of bounded length, and the empty one, of every unit."""
     # Two plain explodes: unlike array functions, they run in generated code.
     starts = f"if(length(unit) > {fold_limit}, array(0), sequence(0, length(unit) - {shortest - 1}))"
     sizes = f"if(i = 0, array(0), sequence({shortest}, least({longest}, length(unit) - i + 1)))"
     spread = units.select("unit", F.explode(F.expr(starts)).alias("i")).select("unit", "i", F.explode(F.expr(sizes)).alias("n"))
-    spread = spread.select("unit", (F.col("i") - 1).alias("first"), (F.col("i") + F.col("n") - 1).alias("last"), F.expr("substring(unit, i, n)").alias("piece"))
-    edges = spread.join(F.broadcast(pieces), "piece")
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.when(F.col("id") >= 0, F.struct("first", "last", "id", "score")))).alias("edges"))
+    return spread.select("unit", (F.col("i") - 1).alias("first"), (F.col("i") + F.col("n") - 1).alias("last"), F.expr("substring(unit, i, n)").alias("piece"))
 
 
-#: BPE: the state holds the cuts c of the unit and, for each pair of neighbouring pieces, the score p of joining them.
-#: A step removes the cut inside the best-scored pair, the leftmost of equals, and looks up the two pairs that are new.
-#: m maps the code first * 4096 + last of an edge to its score; the outer aggregate only names it.
-LOOK = "coalesce(element_at(m, {0} * 4096 + {1}), double('-1e30'))"
-BPE_FOLD = f"""
+#: BPE: bit i of cuts is a cut before character i.  An edge has a code (rank * 16384 + first * 128 + last), its ends and
+#: the places inside it as bits; it can join when exactly one cut is left inside.  A step takes the edge with the least
+#: code (the best score, the leftmost of equals), removes its cut, and keeps the edges whose ends are still cuts.
+BPE_FOLD = """
 aggregate(
-    array(map_from_entries(transform(filter(edges, e -> e.last - e.first > 1), e -> struct(e.first * 4096 + e.last, e.score)))),
-    cast(array() AS array<int>),
-    (none, m) -> aggregate(
-        sequence(2, greatest(length(unit), 2)),
-        struct(sequence(0, length(unit)) AS c, if(length(unit) < 2, cast(array() AS array<double>), transform(sequence(0, length(unit) - 2), k -> {LOOK.format("k", "(k + 2)")})) AS p),
-        (s, step) -> if(coalesce(array_max(s.p), double('-1e30')) = double('-1e30'), s,
-            aggregate(array(cast(array_position(s.p, array_max(s.p)) AS int)), s, (a, j) -> struct(
-                concat(slice(a.c, 1, j), slice(a.c, j + 2, size(a.c))) AS c,
-                concat(
-                    slice(a.p, 1, greatest(j - 2, 0)),
-                    if(j > 1, array({LOOK.format("a.c[j - 2]", "a.c[j + 1]")}), cast(array() AS array<double>)),
-                    if(j < size(a.p), array({LOOK.format("a.c[j - 1]", "a.c[j + 2]")}), cast(array() AS array<double>)),
-                    slice(a.p, j + 2, size(a.p))) AS p))),
-        s -> slice(s.c, 2, size(s.c))))
+    sequence(2, greatest(length(unit), 2)),
+    struct(shiftleft(2L, length(unit)) - 1 AS cuts, edges AS edges),
+    (s, step) -> if(size(s.edges) = 0, s,
+        aggregate(array(array_min(transform(s.edges, e -> if(bit_count(s.cuts & e.inside) = 1, e.code, 9223372036854775807L)))), s, (a, best) ->
+            if(best = 9223372036854775807L, struct(a.cuts AS cuts, slice(a.edges, 1, 0) AS edges),
+                aggregate(array(a.cuts & ~(shiftleft(1L, cast(best & 127 AS int)) - shiftleft(2L, cast(shiftright(best, 7) & 127 AS int)))), a, (x, cuts) ->
+                    struct(cuts AS cuts, filter(x.edges, e -> (cuts & e.ends) = e.ends AND (cuts & e.inside) != 0) AS edges))))),
+    s -> s.cuts)
 """
 
 #: Viterbi: the state holds, for each position, the best score and the path of ends that reaches it, and the edges.
@@ -276,23 +287,43 @@ concat(edges, transform(filter(sequence(1, length(unit)), i -> NOT exists(edges,
 """
 
 
+def bpe_lattice(units: DataFrame, vocab: Vocabulary, fold_limit: int) -> DataFrame:
+    """(unit, edges): edges of two characters or more, each as (code, ends, inside)."""
+    spread = spread_units(units, vocab.longest, 2, fold_limit)
+    edges = spread.join(F.broadcast(piece_table(units.sparkSession, vocab)), "piece")
+    bit = lambda n: f"shiftleft(1L, {n})"
+    edge = F.expr(f"struct(rank * 16384 + first * 128 + last AS code, {bit('first')} + {bit('last')} AS ends, {bit('last')} - {bit('first + 1')} AS inside)")
+    return edges.groupBy("unit").agg(F.collect_list(F.when(F.col("id") >= 0, edge)).alias("edges"))
+
+
 def encode_units(units: DataFrame, vocab: Vocabulary, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """(unit, ids binary): little-endian u32 ids of every unit."""
     spark = units.sparkSession
     small_batches(spark)
-    edges = lattice(units, piece_table(spark, vocab), vocab.longest, 2 if vocab.bpe else 1, fold_limit)
+    fold_limit = min(fold_limit, 62) if vocab.bpe else fold_limit
     if vocab.bpe:
-        fold = BPE_FOLD
+        edges, fold = bpe_lattice(units, vocab, fold_limit), BPE_FOLD
     else:
         floor = min((s for _, s in vocab.pieces.values() if s > -1e8), default=0.0) - 10.0
-        fold = VITERBI_FOLD.format(edges=PATCHED.format(floor=floor))
+        edges, fold = lattice(units, piece_table(spark, vocab), vocab.longest, 1, fold_limit), VITERBI_FOLD.format(edges=PATCHED.format(floor=floor))
     done = edges.select("unit", F.when(F.length("unit") <= fold_limit, F.expr(fold)).alias("ends"))
+    bits = np.arange(1, 64, dtype=np.uint64)
+
+    def ends_of(column: pa.Array) -> list:
+        """The ends of pieces in each unit; the fold gives them as a list or as the bits of a number."""
+        if not vocab.bpe:
+            return column.to_pylist()
+        spots = (pc.fill_null(column, 0).to_numpy().astype(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
+        rows, found = np.nonzero(spots)
+        cuts = np.searchsorted(rows, np.arange(len(column) + 1)).tolist()
+        found = (found + 1).tolist()
+        return [found[a:b] if b > a else None for a, b in zip(cuts[:-1], cuts[1:])]
 
     def run(batches):
         cuts = bpe_cuts if vocab.bpe else viterbi_cuts
         for batch in batches:
             out = []
-            for unit, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for unit, ends in zip(batch.column(0).to_pylist(), ends_of(batch.column(1))):
                 out.append(np.array(ids_of(unit, ends if ends is not None else cuts(unit, vocab), vocab), dtype="<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["unit", "ids"])
 
@@ -309,7 +340,10 @@ class Packed:
     data: np.ndarray
 
     def spans(self, units: pa.Array) -> tuple:
-        found = np.searchsorted(self.hashes, hashes_of(units))
+        wanted = hashes_of(units)
+        order = np.argsort(wanted)  # neighbours are found in neighbouring memory
+        found = np.empty(len(wanted), dtype=np.int64)
+        found[order] = np.searchsorted(self.hashes, wanted[order])
         return self.starts[found], self.starts[found + 1]
 
 
@@ -390,8 +424,7 @@ def _encode_broadcast(named: DataFrame, coded: DataFrame, vocab: Vocabulary, kee
         table, back = sent.value, Decoder(vocab)
         longs = lambda a: np.frombuffer(a.buffers()[1], dtype=np.int32)[a.offset : a.offset + len(a) + 1]
         for whole in batches:
-            for k in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(k, TEXTS_AT_ONCE)
+            for batch in text_blocks(whole, len(keep)):
                 units, offsets = units_of(batch.column(len(keep)), vocab)
                 coded = units.dictionary_encode()
                 at = coded.indices.to_numpy().astype(np.int64)
@@ -446,15 +479,13 @@ class Decoder:
                 table[vocab.bytes_from + b] = bytes([b])
         table[vocab.unknown] = " \u2047 ".encode()
         self.get, self.prefix, self.mark = table.__getitem__, vocab.prefix, MARK.encode()
-        self.sizes = np.array([len(x) for x in table], dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(table), dtype=np.uint8)
+        self.table = pa.array(table, pa.binary())
 
     def raw(self, ids: np.ndarray) -> tuple:
         """(bytes of all ids, marks included; where each id's bytes begin, and the end)."""
-        sizes = self.sizes[ids]
-        ends = np.r_[0, np.cumsum(sizes)]
-        return self.data[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(int(ends[-1]))], ends
+        found = self.table.take(pa.array(ids.astype(np.int32)))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(ids) + 1]
+        return np.frombuffer(found.buffers()[2] or b"", dtype=np.uint8), ends
 
     def text(self, ids: bytes) -> str:
         text = b"".join(map(self.get, np.frombuffer(ids, dtype="<u4").tolist())).replace(self.mark, b" ").decode("utf-8", "replace")
