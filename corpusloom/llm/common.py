@@ -86,6 +86,19 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def hashes_of(strings):
+    """XXH64 of every string, read from the array's buffers."""
+    import numpy as np
+    import xxhash
+
+    n = len(strings)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + n + 1].tolist()
+    data, digest = strings.buffers()[2].to_pybytes(), xxhash.xxh64_intdigest
+    return np.array([digest(data[a:b]) for a, b in zip(ends[:-1], ends[1:])], dtype=np.uint64)
+
+
 def tidied(run):
     """The same batch function; when its task ends, memory it no longer needs goes back to the system.
 

@@ -39,11 +39,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small_batches, tidied
+from corpusloom.llm.common import hashes_of, materialize, small_batches, tidied
 
 MARK = "▁"
 MAX_UNITS = 6_000_000
@@ -347,16 +346,6 @@ class Packed:
         return self.starts[found], self.starts[found + 1]
 
 
-def hashes_of(units: pa.Array) -> np.ndarray:
-    """XXH64 of every string, read from the array's buffers."""
-    n = len(units)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    ends = np.frombuffer(units.buffers()[1], dtype=np.int32)[units.offset : units.offset + n + 1].tolist()
-    data, digest = units.buffers()[2].to_pybytes(), xxhash.xxh64_intdigest
-    return np.array([digest(data[a:b]) for a, b in zip(ends[:-1], ends[1:])], dtype=np.uint64)
-
-
 def pack(coded: DataFrame) -> Packed:
     """From (unit, ids); works on Arrow buffers, so the driver holds numbers and no row objects."""
     hashes, sizes, data = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u2")]
@@ -372,9 +361,16 @@ def pack(coded: DataFrame) -> Packed:
     if (hashes[1:] == hashes[:-1]).any():
         raise ValueError("two units share a hash")
     first, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    del order
     starts = np.r_[0, np.cumsum(sizes)]
-    spot = np.repeat(first - starts[:-1], sizes) + np.arange(int(starts[-1]))
-    return Packed(hashes, starts.astype(np.uint32), data[spot])
+    if starts[-1] >= 1 << 32:
+        raise ValueError("too many ids for one table")
+    out = np.empty(int(starts[-1]), dtype="<u2")
+    for at in range(0, len(sizes), 200_000):  # in pieces: places are four times as wide as ids
+        some = slice(at, at + 200_000)
+        base, end = int(starts[at]), int(starts[min(at + 200_000, len(sizes))])
+        out[base:end] = data[np.repeat(first[some] - starts[some.start : some.start + len(sizes[some])], sizes[some]) + np.arange(base, end)]
+    return Packed(hashes, starts.astype(np.uint32), out)
 
 
 def arrow_batches(df: DataFrame):
