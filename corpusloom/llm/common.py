@@ -34,9 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -65,11 +67,11 @@ def _clean() -> None:
             return
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: lineage ends in files all executors see."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: lineage ends in files all executors see; ``by``: a folder for each of its values."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
