@@ -47,7 +47,7 @@ from corpusloom.llm.common import hashes_of, materialize, small_batches, tidied
 MARK = "▁"
 MAX_UNITS = 6_000_000
 FOLD_LIMIT = 48
-TEXT_BYTES_AT_ONCE = 2 << 20
+TEXT_BYTES_AT_ONCE = 256 << 10
 GROUPS_IN_MEMORY = 4_096
 NO_SCORE = -1e30
 SIGN = "!-/:-@\\[-`{-~"
