@@ -309,8 +309,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
 # family to family, so a group of any size costs each of its members the same.  The radius leaves room for three
 # standard deviations of the distance at that similarity (two in the second search).
 #
-# Links.  First every text proposes the ``NEAREST`` of its candidates over all shards, which joins most of every group
-# where the exact similarity says so.  Then texts with candidates propose all those of other groups that they meet;
+# Links.  First every text proposes the ``NEAREST`` of the best candidates of its shards, which joins most of every
+# group where the exact similarity says so.  Then texts with candidates propose all those of other groups that they meet;
 # the members of a block's largest group leave that to the others, so what is left inside large groups is little.
 WIDE = 4
 RECALL = 0.95
@@ -383,7 +383,7 @@ def proposals(words: list, ids: list, groups: list, radius: int, nearest: int |
 
 
 def candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest: int | None = None) -> DataFrame:
-    """(a, b), a > b: proposed pairs of ids of different groups, all or the ``nearest`` for each id; rows: id, comp, w0, w1, w2, w3 (ids distinct)."""
+    """(a, b), a > b: proposed pairs of ids of different groups, all, or for each id the ``nearest`` of the best in each block; rows: id, comp, w0, w1, w2, w3 (ids distinct)."""
     spark = rows.sparkSession
     weights = (1 << np.arange(samples.shape[1], dtype=np.int64)).astype(np.int64)
     names = ["key", "place", "id", "comp", *(f"w{k}" for k in range(WIDE))]
@@ -425,7 +425,7 @@ def candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest: int |
         number = int.from_bytes
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if e - s > 1:
-                out += proposals([number(raw[8 * WIDE * i : 8 * WIDE * (i + 1)], "little") for i in range(s, e)], ids[s:e], groups[s:e], radius, nearest)
+                out += proposals([number(raw[8 * WIDE * i : 8 * WIDE * (i + 1)], "little") for i in range(s, e)], ids[s:e], groups[s:e], radius, nearest and 1)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["x", "y", "d"])
 
