@@ -422,14 +422,14 @@ def retrieval_eval(spark, sf):
     return R.pass_rates(R.evaluate(first, expected))
 
 
-HITS = f"""SELECT t.query_id, t.rank, t.id, t.distance, substr(d.text, 1, 300) AS text, CASE WHEN d.doc_id % 3 > 0 THEN '/' || d.source END AS relative_path, CASE WHEN d.doc_id % 2 = 0 THEN d.doc_id END AS page, CASE WHEN d.doc_id % 3 = 1 THEN d.lang || repeat('x', 45) END AS section
+HITS = f"""SELECT t.query_id, t.rank, t.id, t.distance, d.text, CASE WHEN d.doc_id % 3 > 0 THEN '/' || d.source END AS relative_path, CASE WHEN d.doc_id % 2 = 0 THEN d.doc_id END AS page, CASE WHEN d.doc_id % 3 = 1 THEN d.lang || repeat('x', 45) END AS section
     FROM ({TOP}) t JOIN documents d ON d.doc_id = t.id WHERE t.rank <= 3"""
 
 
 def found(spark, sf) -> DataFrame:
     rows, asked = vectors(spark, sf)
     docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("/"), "source")).alias("relative_path"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("page"), F.when(F.col("doc_id") % 3 == 1, F.concat("lang", F.repeat(F.lit("x"), 45))).alias("section")
+        F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("/"), "source")).alias("relative_path"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("page"), F.when(F.col("doc_id") % 3 == 1, F.concat("lang", F.repeat(F.lit("x"), 45))).alias("section")
     )
     return R.top_k(rows.select("id", "embedding"), asked, 3).join(docs, "id")
 
