@@ -1,13 +1,15 @@
 """Manifest, chunk tables, failures, orphans and run reports as keyed tables.
 
 Tables are replaced by key with one anti-join and one write.  ``Store`` writes a
-new version beside the old one and then moves a pointer, so readers see either
-state and a lost job leaves the old one.
+new version beside the old one and then a new pointer, so readers see either
+state and a lost job leaves the old one.  Pointers are numbered and never
+rewritten: each is written aside and renamed, and the highest number counts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,15 +84,24 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current.json"
+    def _pointers(self, name: str) -> list:
+        """Numbers of the table's pointers, the current one last."""
+        fs, path = self._fs(f"{self.root}/{name}")
+        if not fs.exists(path):
+            return []
+        names = (re.fullmatch(r"pointer-(\d+)\.json", s.getPath().getName()) for s in fs.listStatus(path))
+        return sorted(int(m[1]) for m in names if m)
 
     def exists(self, name: str) -> bool:
-        fs, path = self._fs(self._pointer(name))
-        return fs.exists(path)
+        return bool(self._pointers(name))
 
-    def path(self, name: str) -> str:
-        fs, path = self._fs(self._pointer(name))
+    def path(self, name: str, number: int | None = None) -> str:
+        if number is None:
+            found = self._pointers(name)
+            if not found:
+                raise FileNotFoundError(f"no table {name} in {self.root}")
+            number = found[-1]
+        fs, path = self._fs(f"{self.root}/{name}/pointer-{number}.json")
         stream = fs.open(path)
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -99,33 +110,31 @@ class Store:
         return f"{self.root}/{name}/{json.loads(text)['version']}"
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """The table; missing or unreadable pointers give an empty table if a schema is given."""
-        try:
-            if not self.exists(name):
-                raise FileNotFoundError(f"no table {name} in {self.root}")
-            return self.spark.read.parquet(self.path(name))
-        except (FileNotFoundError, ValueError, KeyError):
-            if schema is None:
-                raise
+        """The table; one that was never written is empty if a schema is given.  An unreadable pointer is an error."""
+        if schema is not None and not self.exists(name):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(self.path(name))
 
     def write(self, name: str, df: DataFrame, partition_by: list | None = None) -> None:
-        """A whole new version, then the pointer; the version before the last one is removed."""
-        old = self.path(name) if self.exists(name) else None
+        """A whole new version, then its pointer; the version replaced stays for its readers, older ones go."""
+        before = self._pointers(name)
         version = uuid.uuid4().hex[:12]
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/{name}/{version}")
-        fs, path = self._fs(self._pointer(name))
-        stream = fs.create(path, True)
+        fs, aside = self._fs(f"{self.root}/{name}/{version}.tmp")
+        stream = fs.create(aside, True)
         try:
             stream.write(bytearray(json.dumps({"version": version}).encode()))
         finally:
             stream.close()
-        if old:
-            fs, path = self._fs(old)
-            fs.delete(path, True)
+        pointer = self._fs(f"{self.root}/{name}/pointer-{before[-1] + 1 if before else 0}.json")[1]
+        if not fs.rename(aside, pointer):
+            raise OSError(f"{pointer.toString()} exists: another run replaced {name}")
+        for number in before[:-1]:
+            for gone in (self.path(name, number), f"{self.root}/{name}/pointer-{number}.json"):
+                fs.delete(self._fs(gone)[1], True)
 
     def tables(self) -> list:
         fs, path = self._fs(self.root)

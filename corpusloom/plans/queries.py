@@ -358,13 +358,13 @@ def manifest(spark, sf) -> DataFrame:
 
 
 def pieces(spark, sf) -> DataFrame:
-    """One short chunk for each document that is not a multiple of 9."""
-    return table(spark, sf, "documents").where("doc_id % 9 <> 0").select("doc_id", F.lit(0).alias("chunk_index"), F.substring("text", 1, 40).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("s"), "doc_id")).alias("section"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id").cast("int")).alias("page"))
+    """One chunk, the whole text, for each document."""
+    return table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("s"), "doc_id")).alias("section"), F.when(F.col("doc_id") % 4 == 0, F.col("doc_id").cast("int")).alias("page"))
 
 
-FLAT = """SELECT d.doc_id, '/' || d.source AS source_path, 0 AS chunk_index, substr(d.text, 1, 40) AS text, CASE WHEN d.doc_id % 2 = 0 THEN 's' || d.doc_id ELSE d.lang END AS section,
+FLAT = """SELECT d.doc_id, '/' || d.source AS source_path, 0 AS chunk_index, d.text, CASE WHEN d.doc_id % 2 = 0 THEN 's' || d.doc_id ELSE d.lang END AS section,
     CASE WHEN d.doc_id % 4 = 0 THEN d.doc_id::INT END AS page, 'q' || l.quality AS ingestion_timestamp, l.quality AS quality, 'q' || l.quality AS "timestamp"
-    FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id WHERE d.doc_id % 9 <> 0"""
+    FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id"""
 
 
 @query("metadata_flatten", f"SELECT * REPLACE (page::VARCHAR AS page, quality::VARCHAR AS quality) FROM ({FLAT})")

@@ -42,7 +42,12 @@ def discover(spark: SparkSession, root: str, extensions: tuple = EXTENSIONS) ->
 
     Suffixes are matched as written in lower case; order by path where order matters.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(extensions)}}}").load(root)
+    return describe(files, root, extensions)
+
+
+def describe(files: DataFrame, root: str, extensions: tuple = EXTENSIONS) -> DataFrame:
+    """The columns of ``discover`` for binary files, read at once or as a stream."""
     base = re.sub(r"/+\Z", "", root if "://" in root or root.startswith("file:") else f"file:{root}")
     bare = re.sub(r"\A[a-z0-9+.-]+:/*", "/", base)
     path = F.regexp_replace("path", r"\A[a-zA-Z0-9+.-]+:/*", "/")

@@ -1,4 +1,8 @@
-"""Structured Streaming: chunk files as they arrive; each batch is one keyed replacement."""
+"""Structured Streaming: chunk files as they arrive; each batch is one keyed replacement.
+
+Ids come from paths below the root and texts go through the normaliser, as in a
+batch run, so both can fill one store.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import state
 from corpusloom.operators.chunk import ChunkConfig, chunks
+from corpusloom.operators.normalize import NormalizationConfig, normalize
 from corpusloom.plans.ingest import BUCKETS, CHUNKS
-from corpusloom.sources.files import decode
+from corpusloom.sources.files import TEXT, decode, describe
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,18 +23,19 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*.{md,txt}") -> D
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
-def stream_chunks(spark: SparkSession, root: str, output_root: str, checkpoint: str, config: ChunkConfig | None = None, once: bool = True):
+def stream_chunks(spark: SparkSession, root: str, output_root: str, checkpoint: str, config: ChunkConfig | None = None, once: bool = True, normalization: NormalizationConfig | None = NormalizationConfig()):
     """Starts the query.  The file source tracks paths; content hashes still decide what is chunked again, so a
     repeated batch after a failure changes nothing."""
     store = state.Store(spark, output_root)
 
     def batch(files: DataFrame, number: int) -> None:
         text, _ = decode(F.col("content"))
-        docs = files.select(T.slug(F.col("path")).alias("doc_id"), F.col("path").alias("source_path"), F.sha2("content", 256).alias("content_hash"), T.basic(text).alias("text"), "modificationTime")
-        docs = docs.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), "modificationTime").alias("r")).select("r.*")
+        docs = describe(files, root, TEXT).select(T.slug(F.col("relative_path")).alias("doc_id"), F.col("path").alias("source_path"), F.sha2("content", 256).alias("content_hash"), T.basic(text).alias("text"), "last_modified")
+        docs = docs.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), "last_modified").alias("r")).select("r.*")
         manifest = store.read("manifest", state.MANIFEST)
         fresh = state.changed(docs, manifest)
-        made = chunks(fresh.withColumn("source_page_count", F.lit(None).cast("int")).withColumn("source_title", F.lit(None).cast("string")), config, carry=["source_page_count", "source_title"])
+        cleaned = fresh if normalization is None else normalize(fresh, normalization).withColumn("text", F.col("normalized.text"))
+        made = chunks(cleaned.withColumn("source_page_count", F.lit(None).cast("int")).withColumn("source_title", F.lit(None).cast("string")), config, carry=["source_page_count", "source_title"])
         store.write("new_chunks", made)
         made = store.read("new_chunks")
         counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
