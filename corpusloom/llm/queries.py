@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact, html, langid, lm, sentpiece, simhash, substring, tokenbin, toxicity
-from corpusloom.llm.common import remainder, table, text_bytes
+from corpusloom.llm import bytebpe, decontam, exact, html, langid, lm, sentpiece, simhash, substring, tokenbin, toxicity, trie
+from corpusloom.llm.common import materialize, remainder, table, text_bytes
 
 
 def op1_toxicity(spark, sf_dir):
@@ -63,6 +63,19 @@ def op10_token_files(spark, sf_dir):
     return tokenbin.export(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_byte_bpe(spark, sf_dir):
+    tokens = bytebpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN, ["doc_id"])
+    said = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bytebpe.decimals(F.col("ids")), 256).alias("ids_sha256"), "ids")
+    decoded = bytebpe.decode(said, tokens, ["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    rows = materialize(trie.turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    return trie.trie(*trie.rebuilt(rows, group=100, most=6))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -74,11 +87,16 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[0-9a-z\x{80}-\x{10FFFF}]+')" % (UPPER, LOWER)
 
+#: crc32 of a text of plain signs, bit by bit: DuckDB has no such function.
+CRC32 = "xor(4294967295::BIGINT, list_reduce(list_transform(string_split({}, ''), lambda s: ascii(s)::BIGINT), lambda a, b: list_reduce(range(8), lambda v, _: xor(v >> 1, (v & 1) * 3988292384), xor(a, b)), 4294967295::BIGINT))"
+
 ORACLES = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -103,4 +121,17 @@ ORACLES = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, l, {CRC32.format("c::VARCHAR")} % 6 AS h, c - c % 100 AS b FROM t),
+        m AS (SELECT h.c, list_concat(coalesce(o.l[1 : h.h], []), h.l[h.h + 1 :]) AS s FROM h LEFT JOIN t o ON o.c = h.b),
+        p AS (SELECT c, d, s[1 : d] AS k, len(s) = d AS last FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM m)),
+        n AS (SELECT k, d, min(c) AS low, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends FROM p GROUP BY k, d),
+        kids AS (SELECT k[1 : d - 1] AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+        f AS (SELECT n.*, coalesce(kids, 0) AS kids, CASE WHEN d > 0 THEN (n - 1) * len(n.k[d].x) ELSE 0 END AS own FROM n LEFT JOIN kids ON kids.k = n.k),
+        up AS (SELECT k[1 : g] AS k, count(*) FILTER (kids = 0) AS leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS g FROM f) GROUP BY 1)
+        SELECT f.low AS conv_id, f.d AS depth, o.low AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, up.leaves AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN up ON up.k = f.k LEFT JOIN f o ON f.d > 0 AND o.k = f.k[1 : f.d - 1]""",
 }
