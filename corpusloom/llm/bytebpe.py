@@ -2,9 +2,9 @@
 
 A text is cut by the vocabulary's pattern; each match is encoded by itself.
 The bytes of a match form a linked list; for every neighbouring pair that has a
-merge, its position lies in the bucket of the merge's rank.  A three-level
-bitmap says which buckets hold anything, so find-first-set names the best rank
-in three steps whatever the length; positions of one rank leave leftmost first;
+merge, its position lies in the bucket of the merge's rank.  A bitmap of
+two levels (512 bits a word, as integers here have any length) says which buckets
+hold anything, so find-first-set names the best rank in two steps whatever the length; positions of one rank leave leftmost first;
 entries whose pair has changed meanwhile are skipped.  A match of n bytes costs
 O(n log n) at worst, so pre-tokens of millions of bytes are no special case.
 
@@ -26,17 +26,24 @@ import gc
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import tokenbin
 from corpusloom.llm.common import small_batches, text_bytes, tidied
 
-#: Bounds of memory in a Python worker: cached matches, the longest match that is cached, matches taken at a time, bytes of ids in one batch.
-CACHE, CACHED_CHARS, MATCHES, BATCH_BYTES = 500_000, 64, 65_536, 4 << 20
+#: Bounds of memory in a Python worker: bytes of remembered texts, the longest match that is remembered, matches of a long text taken at a time, bytes of texts in one batch.
+CACHE_BYTES, LONGEST_KEPT, LONG, MATCHES, BATCH_BYTES = 12 << 20, 64, 1 << 20, 65_536, 2 << 20
+#: Bits of a word of the bitmap, as a power of two.
+WORD = 9
+MASK = (1 << WORD) - 1
+BIT = [1 << b for b in range(1 << WORD)]
 
 
 def load(path: str) -> list:
@@ -46,52 +53,84 @@ def load(path: str) -> list:
     return [ranks.get(i) for i in range(max(ranks) + 1)]
 
 
-class Known(dict):
-    """Remembers what ``make`` gives for short texts; forgets all when it holds CACHE of them."""
+class Encoder(tokenbin.Encoder):
+    """The word tables of the token files' encoder (each distinct word of a batch is looked up once), over merges of our own."""
 
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str) -> tuple:
-        found = self.make(word)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = found
-        return found
-
-
-#: Fixed value: the pattern of the public ranks; for it the rule about spaces in Encoder.encode holds.
-SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-class Encoder:
     def __init__(self, tokens: list, pattern: str):
-        import regex
-
-        if len(tokens) > 1 << 18:
+        if len(tokens) > 1 << 2 * WORD:
             raise ValueError("at most 262,144 ranks")
         self.tokens = tokens
         self.ranks = {token: rank for rank, token in enumerate(tokens) if token is not None}
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.piecewise, self.added = pattern == tokenbin.PIECES, []  # the rule about spaces belongs to that pattern
         self.pattern = regex.compile(pattern)
-        self.spaced = pattern == SPACED
-        self.gap = regex.compile(r"\s ")
-        self.buckets, self.low, self.middle = {}, [0] * 4096, [0] * 64
-        self.matches, self.words = Known(self._match), Known(self._word)
+        self.buckets, self.low = {}, [0] * (1 << WORD)
+        self.known: dict = {}
+        self.bare: dict = {}
+        self.held = 0  # bytes of the texts in both
+
+    def encode_all(self, texts: list) -> list:
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.bare.clear()
+            self.held = 0
+        if self.piecewise and not any(len(t) > LONG and not self._simple(t) for t in texts):
+            return super().encode_all(texts)
+        return [np.frombuffer(b"".join(self._parts(t)), dtype="<u4") for t in texts]
+
+    def _parts(self, text: str) -> Iterator[bytes]:
+        matches = (m[0] for m in self.pattern.finditer(text))
+        while words := list(islice(matches, MATCHES)):
+            yield b"".join(map(self._match, words))
+
+    def _match(self, match: str) -> bytes:
+        ids = self.bare.get(match)
+        if ids is None:
+            ids = self.piece(match.encode())
+            if len(match) <= LONGEST_KEPT:
+                self.bare[match] = ids
+                self.held += len(match)
+        return ids
 
-    def piece(self, body: bytes) -> tuple:
+    def _pieces(self, pieces: list) -> list:
+        """Of first words, which no space precedes, and of other texts that are cut elsewhere."""
+        return [b"".join(map(self._match, self.pattern.findall(text))) for text in pieces]
+
+    def _learn(self, new: set) -> None:
+        known, findall, rest = self.known, self.pattern.findall, []
+        for word in new:
+            if word.isalpha():
+                known[word] = self.piece(b" " + word.encode())
+                self.held += len(word)
+            else:
+                rest.append(word)
+        for word in rest:
+            out = []
+            for part in findall(" " + word):
+                if part[0] == " " and part[1:].isalpha():
+                    ids = known.get(part[1:])
+                    if ids is None:
+                        ids = known[part[1:]] = self.piece(part.encode())
+                        self.held += len(part)
+                else:
+                    ids = self._match(part)
+                out.append(ids)
+            known[word] = b"".join(out)
+            self.held += len(word)
+
+    def piece(self, body: bytes) -> bytes:
         """Ids of one match."""
         whole = self.ranks.get(body)
-        return self.merged(body) if whole is None else (whole,)
+        return array("I", self.merged(body) if whole is None else (whole,)).tobytes()
 
-    def merged(self, body: bytes) -> tuple:
-        """The rank queue is written out here, as a call for each step would double its cost.
+    def merged(self, body: bytes) -> list:
+        """Ids of bytes that are no token themselves.
 
-        buckets: places by rank, a heap each; low: a bit for each rank with a bucket, 64 a word; middle: a bit for
-        each word of low; top: a bit for each word of middle.  All of them are empty between calls.
+        The rank queue is written out here, as a call for each step would double its cost.  buckets: places by rank,
+        a heap each; low: a bit for each rank that has a bucket; top: a bit for each word of low that is not zero.
+        All of them are empty between calls.
         """
-        n, tokens, get, low, middle, buckets = len(body), self.tokens, self.ranks.get, self.low, self.middle, self.buckets
+        n, tokens, get, low, buckets = len(body), self.tokens, self.ranks.get, self.low, self.buckets
         top = 0
         ids = [*map(self.bytes.__getitem__, body)]
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
@@ -103,85 +142,60 @@ class Encoder:
                     buckets[rank].append(i)
                 else:
                     buckets[rank] = [i]
-                    low[rank >> 6] |= 1 << (rank & 63)
-                    middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-                    top |= 1 << (rank >> 12)
+                    low[rank >> WORD] |= BIT[rank & MASK]
+                    top |= BIT[rank >> WORD]
         while top:
             a = (top & -top).bit_length() - 1
-            word = middle[a]
-            b = a << 6 | (word & -word).bit_length() - 1
-            word = low[b]
-            rank = b << 6 | (word & -word).bit_length() - 1
+            word = low[a]
+            rank = a << WORD | (word & -word).bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 i = heappop(bucket)
             else:
                 i = bucket[0]
                 del buckets[rank]
-                low[b] = word = word & (word - 1)
+                low[a] = word = word & (word - 1)
                 if not word:
-                    middle[a] = word = middle[a] & (middle[a] - 1)
-                    if not word:
-                        top &= top - 1
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
             after[i] = k = after[j]
             ids[i], pair[j], body = rank, -1, tokens[rank]
-            pair[i] = found = get(body + tokens[ids[k]], -1) if k < n else -1
             if k < n:
                 before[k] = i
+                pair[i] = found = get(body + tokens[ids[k]], -1)
+                if found >= 0:
+                    if found in buckets:
+                        heappush(buckets[found], i)
+                    else:
+                        buckets[found] = [i]
+                        low[found >> WORD] |= BIT[found & MASK]
+                        top |= BIT[found >> WORD]
+            else:
+                pair[i] = -1
             h = before[i]
-            changed = [(found, i)] if found >= 0 else []
             if h >= 0:
                 found = get(tokens[ids[h]] + body, -1)
                 if pair[h] != found:
                     pair[h] = found
                     if found >= 0:
-                        changed.append((found, h))
-            for found, i in changed:
-                if found in buckets:
-                    heappush(buckets[found], i)
-                else:
-                    buckets[found] = [i]
-                    low[found >> 6] |= 1 << (found & 63)
-                    middle[found >> 12] |= 1 << (found >> 6 & 63)
-                    top |= 1 << (found >> 12)
+                        if found in buckets:
+                            heappush(buckets[found], h)
+                        else:
+                            buckets[found] = [h]
+                            low[found >> WORD] |= BIT[found & MASK]
+                            top |= BIT[found >> WORD]
         out, i = [], 0
         while i < n:
             out.append(ids[i])
             i = after[i]
-        return tuple(out)
-
-    def _match(self, word: str) -> tuple:
-        return self.piece(word.encode())
-
-    def _word(self, rest: str) -> tuple:
-        if rest.isalpha() and rest.isascii():
-            return self.piece(b" " + rest.encode())
-        return tuple(chain.from_iterable(map(self.matches.__getitem__, self.pattern.findall(" " + rest))))
-
-    def encode(self, text: str) -> array:
-        """Where no white space stands before a space, each space begins a match, so words from space to space are remembered as a whole."""
-        ids = array("i")
-        if not self.spaced or self.gap.search(text):
-            found = (m[0] for m in self.pattern.finditer(text)) if len(text) > MATCHES else iter(self.pattern.findall(text))
-        else:
-            head, space, rest = text.partition(" ")
-            ids.extend(chain.from_iterable(map(self.matches.__getitem__, self.pattern.findall(head))))
-            if not space:
-                return ids
-            ids.extend(chain.from_iterable(map(self.words.__getitem__, rest.split(" "))))
-            return ids
-        while words := list(islice(found, MATCHES)):
-            ids.extend(chain.from_iterable(map(self.matches.__getitem__, words)))
-        return ids
+        return out
 
 
 def _lists(ids: list) -> pa.Array:
     ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    values = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in ids)])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32)))
 
 
 def _blocks(sizes: list, limit: int) -> Iterator[tuple]:
@@ -210,7 +224,7 @@ def encode(docs: DataFrame, tokens: list, pattern: str, keep: list) -> DataFrame
                 encoder = encoder or Encoder(shared.value, pattern)
                 texts = batch.column(len(keep))
                 for a, b in _blocks([len(x.as_buffer()) for x in texts], BATCH_BYTES):
-                    ids = [encoder.encode(t.as_py().decode("utf-8", "replace")) for t in texts[a:b]]
+                    ids = encoder.encode_all([t.decode("utf-8", "replace") for t in texts[a:b].to_pylist()])
                     yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(len(keep))), _lists(ids)], names=[*keep, "ids"])
         finally:
             gc.enable()
@@ -226,17 +240,19 @@ def decode(encoded: DataFrame, tokens: list, keep: list) -> DataFrame:
     shared = spark.sparkContext.broadcast(tokens)
 
     def run(batches):
+        table = pa.array(shared.value, pa.binary())
         for batch in batches:
-            at, bodies = shared.value.__getitem__, []
-            for ids in batch.column(len(keep)):
-                numbers = ids.values.to_pylist() if ids.is_valid else []
-                try:
-                    if numbers and min(numbers) < 0:
-                        raise IndexError
-                    bodies.append(b"".join(map(at, numbers)))
-                except (IndexError, TypeError) as wrong:
-                    raise ValueError("an id is not in the vocabulary") from wrong
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(bodies, pa.binary())], names=[*keep, "decoded"])
+            lists = pc.fill_null(batch.column(len(keep)), [])
+            try:
+                found = table.take(lists.flatten())
+            except pa.ArrowIndexError as wrong:
+                raise ValueError("an id is not in the vocabulary") from wrong
+            if found.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            sizes = pc.list_value_length(lists).to_numpy()
+            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            bodies = pc.binary_join(pa.ListArray.from_arrays(ends, found), b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), bodies], names=[*keep, "decoded"])
 
     given = encoded.select(*keep, "ids")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "decoded binary"])

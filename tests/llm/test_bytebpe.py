@@ -43,10 +43,13 @@ def test_caches_and_other_patterns(library, monkeypatch):
     """Forgetting changes nothing; without the rule about spaces neither; nor when long texts are taken in small parts."""
     dice = random.Random(5)
     text = " ".join("".join(dice.choice("etaoin.,\n ") for _ in range(dice.randint(0, 9))) for _ in range(3000))
-    monkeypatch.setattr(B, "CACHE", 3)
-    monkeypatch.setattr(B, "MATCHES", 7)
+    for name, value in (("CACHE_BYTES", 3), ("MATCHES", 7), ("LONG", 50)):
+        monkeypatch.setattr(B, name, value)
+    texts = [text[a : a + dice.randint(0, 200)] for a in range(0, len(text), 97)]
     for pattern in (P.PATTERN, f"(?:{P.PATTERN})"):
-        assert B.Encoder(B.load(PATH), pattern).encode(text).tolist() == library.encode_ordinary(text)
+        own = B.Encoder(B.load(PATH), pattern)
+        for a in range(0, len(texts), 5):
+            assert [x.tolist() for x in own.encode_all(texts[a : a + 5])] == [library.encode_ordinary(t) for t in texts[a : a + 5]]
 
 
 @pytest.mark.parametrize("text", ["a" * 200_000, " " * 50_001, "ab" * 70_000, "日" * 30_000])
@@ -67,6 +70,14 @@ def test_edges(spark, edge, none, library):
     assert B.encode(broken, tokens, P.PATTERN, ["doc_id"]).first().ids == library.encode_ordinary("a�b")
 
 
+def test_batches(library):
+    """Texts of one call share their words."""
+    own, dice = B.Encoder(B.load(PATH), P.PATTERN), random.Random(9)
+    for _ in range(200):
+        texts = [" ".join("".join(dice.choice("ab's’.é1\n") for _ in range(dice.randint(1, 6))) for _ in range(dice.randint(0, 30))) for _ in range(dice.randint(1, 9))]
+        assert [x.tolist() for x in own.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 @pytest.mark.parametrize("bad", [50_256, -1])
 def test_unknown_ids(spark, bad):
     with pytest.raises(Exception, match="not in the vocabulary"):
