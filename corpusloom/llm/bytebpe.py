@@ -210,6 +210,16 @@ def _blocks(sizes: list, limit: int) -> Iterator[tuple]:
         yield start, len(sizes)
 
 
+_LAST: list = []
+
+
+def _encoder(tokens: list, pattern: str) -> Encoder:
+    """The encoder of the worker's last task, with all that it remembers, if it is for the same vocabulary."""
+    if not _LAST or _LAST[0].tokens is not tokens or _LAST[0].pattern.pattern != pattern:
+        _LAST[:] = [Encoder(tokens, pattern)]
+    return _LAST[0]
+
+
 def encode(docs: DataFrame, tokens: list, pattern: str, keep: list) -> DataFrame:
     """The columns ``keep`` and ids array<int> of every whole text; tokens: by rank, as load() gives them."""
     spark = docs.sparkSession
@@ -217,11 +227,10 @@ def encode(docs: DataFrame, tokens: list, pattern: str, keep: list) -> DataFrame
     shared = spark.sparkContext.broadcast(tokens)  # a public vocabulary, not data
 
     def run(batches):
-        encoder = None
+        encoder = _encoder(shared.value, pattern)
         gc.disable()  # the remembered tuples are many and make no cycles
         try:
             for batch in batches:
-                encoder = encoder or Encoder(shared.value, pattern)
                 texts = batch.column(len(keep))
                 for a, b in _blocks([len(x.as_buffer()) for x in texts], BATCH_BYTES):
                     ids = encoder.encode_all([t.decode("utf-8", "replace") for t in texts[a:b].to_pylist()])
