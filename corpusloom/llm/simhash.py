@@ -28,7 +28,6 @@ empty tables give empty results.
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -303,19 +302,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
 # differ.  For a given similarity, fingerprints of WIDE words of 64 bits only find candidates, and every link is then
 # decided by the exact Jaccard similarity of the two sets of shingles.
 #
-# Candidates.  Shards are keyed by sampled bits, as many as the table needs to keep random shards small, and as many
-# samples as it takes to bring a pair of just that similarity together with probability ``RECALL``; closer pairs meet
-# almost surely.  A shard is searched with BK-trees of at most BLOCK members each, in an order that differs from
-# family to family, so a group of any size costs each of its members the same.  The radius leaves room for three
-# standard deviations of the distance at that similarity (two in the second search).
+# Shards are keyed by sampled bits, as many as the table needs to keep random shards small, and as many samples as it
+# takes to bring a pair of just that similarity together with probability ``RECALL`` or more; closer pairs meet almost surely.
+# The radius leaves room for three standard deviations of the distance at that similarity.
 #
-# Links.  First every text proposes the ``NEAREST`` of the best candidates of its shards, which joins most of every
-# group where the exact similarity says so.  Then texts with candidates propose all those of other groups that they meet;
-# the members of a block's largest group leave that to the others, so what is left inside large groups is little.
+# First search: joins most of every group at little cost.  A shard is searched with BK-trees of BLOCK members, and every
+# text keeps the ``NEAREST`` of what it finds.  Texts that find something, or that stood in a shard of more than one
+# block, go on with the group that the exact similarity gave them.
+#
+# Second search: complete.  All pairs of a shard that are in different groups are compared; the members of a shard's
+# largest group leave asking to the others, so a shard of one group costs nothing.  Askers and others are dealt out in
+# stripes of CELL, each pair of stripes is one cell for some task, and no pair within the radius is left out.  Sets of
+# shingles then follow the pairs from cell to cell, so a set travels once for all its pairs of a cell.
 WIDE = 4
-RECALL = 0.95
+RECALL = 0.99
 BLOCK = 128
 NEAREST = 3
+CELL = 256
 
 
 def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
@@ -349,93 +352,136 @@ def radius_for(similarity: float, sigmas: float) -> int:
 
 
 def samples_for(n: int, similarity: float, recall: float = RECALL) -> np.ndarray:
-    """Bit positions, one row for each family of shards; n: fingerprints."""
-    bits = max(12, n.bit_length() - 2)
-    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
+    """Bit positions, one row for each family of shards; n: fingerprints.
+
+    A pair one standard deviation further apart than the mean at that similarity meets with probability ``recall``:
+    texts that resemble one another share their nearly undecided bits, so whole groups lie beyond the mean together.
+    """
+    bits = max(8, n.bit_length() - 4)
+    agree = (1 - radius_for(similarity, 1) / (64 * WIDE)) ** bits
     families = int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
     rng = np.random.default_rng(SEED)
     return np.stack([rng.choice(64 * WIDE, bits, replace=False) for _ in range(families)])
 
 
-def proposals(words: list, ids: list, groups: list, radius: int, nearest: int | None) -> list:
-    """(id, other id, distance) for the nearest (or all) members of other groups within the radius, from one block of a shard.
-
-    While every member is a group of its own, each asks the tree of those before it; later the members of the
-    block's largest group leave asking to the others.
-    """
+def proposals(words: list, ids: list, radius: int) -> list:
+    """(id, id of the nearest word before it within the radius, distance) for the members of one block of a shard; ids distinct."""
     tree, owner, out = BKTree(), {}, []
-    count = Counter(groups)
-    alone = len(count) == len(groups)
-    top = None if alone else max(count, key=lambda g: (count[g], g))
-    if not alone:
-        for word, name, group in zip(words, ids, groups):
-            tree.insert(word)
-            owner[word] = (name, group)
-    for word, name, group in zip(words, ids, groups):
-        if alone or group != top:
-            found = [(d, *owner[w]) for d, w in tree.near(word, radius)]
-            found = sorted((d, other) for d, other, g in found if g != group)[:nearest]
-            out += [(name, other, d) for d, other in found]
-        if alone:
-            owner[word] = (name, group)
-            tree.insert(word)
+    for word, name in zip(words, ids):
+        best = min(((d, owner[w]) for d, w in tree.near(word, radius)), default=None)
+        if best:
+            out.append((name, best[1], best[0]))
+        owner[word] = name
+        tree.insert(word)
     return out
 
 
-def candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest: int | None = None) -> DataFrame:
-    """(a, b), a > b: proposed pairs of ids of different groups, all, or for each id the ``nearest`` of the best in each block; rows: id, comp, w0, w1, w2, w3 (ids distinct)."""
-    spark = rows.sparkSession
+def routed(rows: DataFrame, samples: np.ndarray) -> DataFrame:
+    """(key, and the columns of rows, all long; w0 .. w3 come last): every row once in each family; keys hold the family and the sampled bits."""
     weights = (1 << np.arange(samples.shape[1], dtype=np.int64)).astype(np.int64)
-    names = ["key", "place", "id", "comp", *(f"w{k}" for k in range(WIDE))]
-    schema = ", ".join(f"{x} long" for x in names)
+    names = ["key", *rows.columns]
 
     def route(batches):
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(WIDE + 2)]
+            columns = [c.to_numpy() for c in batch.columns]
             for at in range(0, batch.num_rows, 1024):
                 part = [np.ascontiguousarray(c[at : at + 1024]) for c in columns]
-                bits = np.unpackbits(np.stack([c.view(np.uint64) for c in part[2:]], axis=1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                bits = np.unpackbits(np.stack([c.view(np.uint64) for c in part[-WIDE:]], axis=1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 for n, spots in enumerate(samples):
                     keys = (bits[:, spots] @ weights) | np.int64(n) << np.int64(48)
-                    place = scramble(part[0].view(np.uint64) + np.uint64(n)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(place), *map(pa.array, part)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, part)], names=names)
+
+    return rows.mapInArrow(tidied(route), ", ".join(f"{x} long" for x in names))
+
+
+def first_candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest: int = NEAREST) -> DataFrame:
+    """(x, y): for each id the ``nearest`` of the best in each of its blocks; y is null for ids that only stood in crowded shards; rows: id, w0 .. w3."""
+    spark = rows.sparkSession
 
     def search(batches):
-        """Rows come sorted by key and place; a block ends with its shard, or after BLOCK members."""
-        held = None
+        """Rows come sorted by key, then in an order that differs from family to family; a block ends with its shard, or after BLOCK members."""
+        held, before = None, [None]
         for batch in batches:
             if batch.num_rows:
                 new = [c.to_numpy() for c in batch.columns]
                 part = [np.concatenate(x) for x in zip(held, new)] if held else new
                 cuts = block_starts(part[0])
                 held = [x[cuts[-1] :] for x in part]
-                yield from solve([x[: cuts[-1]] for x in part], cuts)
+                yield from solve([x[: cuts[-1]] for x in part], cuts, before)
         if held:
-            yield from solve(held, np.r_[block_starts(held[0]), len(held[0])])
+            yield from solve(held, np.r_[block_starts(held[0]), len(held[0])], before)
 
     def block_starts(key):
         fresh = np.r_[True, key[1:] != key[:-1]]
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
         return np.flatnonzero((np.arange(len(key)) - first) % BLOCK == 0)
 
-    def solve(part, cuts):
+    def solve(part, cuts, before):
         out = []
-        ids, groups = part[2].tolist(), part[3].tolist()
-        raw = np.ascontiguousarray(np.stack(part[4:], axis=1)).tobytes()
+        keys, ids = part[0], part[1].tolist()
+        raw = np.ascontiguousarray(np.stack(part[2:], axis=1)).tobytes()
         number = int.from_bytes
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if e - s > 1:
-                out += proposals([number(raw[8 * WIDE * i : 8 * WIDE * (i + 1)], "little") for i in range(s, e)], ids[s:e], groups[s:e], radius, nearest and 1)
+                out += proposals([number(raw[8 * WIDE * i : 8 * WIDE * (i + 1)], "little") for i in range(s, e)], ids[s:e], radius)
+            if e - s == BLOCK or keys[s] == before[0]:
+                out += [(i, None, None) for i in ids[s:e]]
+            before[0] = keys[s]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["x", "y", "d"])
 
-    routed = rows.select("id", "comp", *names[4:]).mapInArrow(tidied(route), schema)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = routed.repartition(parts, "key").sortWithinPartitions("key", "place").mapInArrow(tidied(search), "x long, y long, d long")
-    if nearest is not None:
-        best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "y"))), 1, nearest).alias("best"))
-        found = best.select("x", F.explode("best.y").alias("y"))
-    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    found = routed(rows, samples).repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInArrow(tidied(search), "x long, y long, d long")
+    best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("y").isNotNull(), F.struct("d", "y")))), 1, nearest).alias("best"))
+    return best.select("x", F.explode_outer("best.y").alias("y"))
+
+
+def all_candidates(rows: DataFrame, samples: np.ndarray, radius: int) -> DataFrame:
+    """(a, b, cell), a > b: all pairs of ids of different groups that share a shard and lie within the radius; cell: one of those that found it."""
+    spark = rows.sparkSession
+    held = routed(rows, samples)
+    groups = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    shards = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("n > top.n")
+    shards = shards.select("key", F.ceil(F.col("n") / CELL).alias("others"), F.ceil((F.col("n") - F.col("top.n")) / CELL).alias("askers"), F.col("top.comp").alias("top"))
+    words = [f"w{k}" for k in range(WIDE)]
+    placed = held.join(shards, "key")
+    stripe = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    ask = placed.where("comp <> top").select("key", stripe("askers").alias("i"), every("others").alias("j"), F.lit(0).alias("side"), "id", "comp", *words)
+    told = placed.select("key", every("askers").alias("i"), stripe("others").alias("j"), F.lit(1).alias("side"), "id", "comp", *words)
+    cells = ask.unionByName(told).select(F.xxhash64("key", "i", "j").alias("cell"), "side", "id", "comp", *words)
+
+    def compare(batches):
+        """Rows come sorted by cell, askers first."""
+        cell, askers, mine, fixed = None, [], None, False
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            at, side = columns[0], columns[1]
+            cuts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1, len(at)] if len(at) else []
+            out = []
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                part = [c[s:e] for c in columns[2:]]
+                if at[s] != cell:
+                    cell, askers, fixed = at[s], [], False
+                if not side[s]:
+                    askers.append(part)
+                    continue
+                if not fixed:
+                    mine, fixed = [np.concatenate(x) for x in zip(*askers)] if askers else None, True
+                if mine is None:
+                    continue
+                for k in range(0, len(part[0]), 1024):
+                    x, y = mine, [c[k : k + 1024] for c in part]
+                    distance = sum(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]).astype(np.int16) for a, b in zip(x[2:], y[2:]))
+                    p, q = np.nonzero((distance <= radius) & (x[1][:, None] != y[1][None, :]))
+                    if len(p):
+                        out.append((np.maximum(x[0][p], y[0][q]), np.minimum(x[0][p], y[0][q]), np.full(len(p), cell)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "cell"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = cells.repartition(parts, "cell").sortWithinPartitions("cell", "side").mapInArrow(tidied(compare), "a long, b long, cell long")
+    return found.groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -479,23 +525,56 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(tidied(run), "a long, b long")
 
 
+def similar_in_cells(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The same for pairs (a, b, cell): a set goes to each cell that needs it, once."""
+    wanted = pairs.select("cell", F.col("a").alias("id")).union(pairs.select("cell", F.col("b").alias("id"))).distinct()
+    carried = wanted.join(sets, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
+    rows = carried.unionByName(pairs.select("cell", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+
+    def run(batches):
+        """Rows come sorted by cell, its sets first."""
+        cell, held = None, {}
+        for batch in batches:
+            good = []
+            for at, a, b, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != cell:
+                    cell, held = at, {}
+                if b is None:
+                    held[a] = np.frombuffer(shingles, np.uint64)
+                    continue
+                x, y = held[a], held[b]
+                least, most = sorted((len(x), len(y)))
+                if least >= similarity * most:
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if common >= similarity * (least + most - common):
+                        good.append((a, b))
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*good)], names=["a", "b"])
+
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "cell").sortWithinPartitions("cell", F.col("b").isNotNull())
+    return dealt.mapInArrow(tidied(run), "a long, b long")
+
+
 def similar_groups(least: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, root) of the ids that link; least: id, near_key, w0 .. w3 (ids distinct); texts: near_key, body."""
-    samples = samples_for(least.count(), similarity)
+    samples, radius = samples_for(least.count(), similarity), radius_for(similarity, 3)
     names = [f"w{k}" for k in range(WIDE)]
-    rows = least.select("id", F.col("id").alias("comp"), *names)
-    pairs = materialize(candidates(rows, samples, radius_for(similarity, 3), NEAREST), "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    first = materialize(first_candidates(least.select("id", *names), samples, radius), "near-first")
+    pairs = first.where("y IS NOT NULL").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    ids = first.select(F.col("x").alias("id")).union(first.where("y IS NOT NULL").select(F.col("y").alias("id"))).distinct()
     taking = materialize(least.join(ids, "id", "left_semi"), "near-taking")
     wanted = texts.join(taking.select("id", "near_key"), "near_key").dropDuplicates(["id"])
     sets = materialize(shingle_sets(wanted, width), "near-sets")
     rooted = components(similar(pairs, sets, similarity))
-    rows = taking.join(rooted, taking.id == rooted.node, "left").select("id", F.coalesce("root", "id").alias("comp"), *names)
-    more = candidates(rows, samples, radius_for(similarity, 2)).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(similar(more, sets, similarity), "near-links")
-    if more.isEmpty():
+    rows = materialize(taking.join(rooted, taking.id == rooted.node, "left").select("id", F.coalesce("root", "id").alias("comp"), *names), "near-groups")
+    more = materialize(all_candidates(rows, samples, radius).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    links = materialize(similar_in_cells(more, sets, similarity), "near-links")
+    if links.isEmpty():
         return rooted
-    return components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

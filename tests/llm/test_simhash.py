@@ -170,11 +170,54 @@ def test_proposals_equal_brute_force():
     words += [words[i % 3] ^ sum(1 << b for b in rng.sample(range(256), rng.randint(1, 30))) for i in range(90)]
     near = lambda i, j: (words[i] ^ words[j]).bit_count()
     ids = list(range(len(words)))
-    got = S.proposals(words, ids, ids, 38, 2)
+    got = {x: (d, y) for x, y, d in S.proposals(words, ids, 38)}
     for i in ids:
-        want = sorted((near(i, j), j) for j in range(i) if near(i, j) <= 38)[:2]
-        assert [(d, y) for x, y, d in got if x == i] == want
-    groups = [i % 3 if i < 60 else i for i in ids]
-    got = S.proposals(words, ids, groups, 38, None)
-    top = max(set(groups), key=lambda g: (groups.count(g), g))
-    assert sorted(got) == sorted((i, j, near(i, j)) for i in ids if groups[i] != top for j in ids if groups[i] != groups[j] and near(i, j) <= 38)
+        assert got.get(i) == min(((near(i, j), j) for j in range(i) if near(i, j) <= 38), default=None)
+
+
+def test_all_candidates_equal_brute_force(spark, monkeypatch):
+    """Every pair of two groups that shares a shard, in cells of any size; one crowded shard among small ones."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**64, (150, 4), dtype=np.uint64)
+    words[:110] = words[0]
+    words[:110, 3] ^= np.uint64(1) << rng.integers(0, 64, 110, dtype=np.uint64)
+    words[1:110:2, 2] ^= np.uint64(1) << rng.integers(0, 64, 55, dtype=np.uint64)
+    comps = [i if i > 100 or i % 5 == 0 else 0 for i in range(150)]
+    samples = np.stack([rng.choice(256, 10, replace=False) for _ in range(6)])
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+    want = set()
+    for i in range(150):
+        for j in range(i):
+            if comps[i] != comps[j] and np.bitwise_count(words[i] ^ words[j]).sum() <= 3 and any((bits[i, s] == bits[j, s]).all() for s in samples):
+                want.add((i, j))
+    assert len(want) > 500
+    rows = spark.createDataFrame([(i, comps[i], *map(int, w.view(np.int64))) for i, w in enumerate(words)], "id long, comp long, w0 long, w1 long, w2 long, w3 long")
+    for cell in (7, 256):
+        monkeypatch.setattr(S, "CELL", cell)
+        got = [(r.a, r.b) for r in S.all_candidates(rows, samples, 3).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("pairs,seed", [(60, 1), (600, 5), (600, 6)])
+def test_pairs_on_one_template(spark, pairs, seed):
+    """A crowd of texts that resemble one another, but link only two by two: at least 95 % of the links are found, and none is made up."""
+    dice = random.Random(seed)
+    template = [f"t{seed}w{dice.randrange(10**6)}" for _ in range(200)]
+
+    def changed(base, n, tag):
+        out = list(base)
+        for i in dice.sample(range(200), n):
+            out[i] = f"{tag}{i}"
+        return out
+
+    texts = {}
+    for p in range(pairs):
+        base = changed(template, 2, f"p{p}b")
+        texts |= {2 * p: " ".join(changed(base, 2, f"p{p}l")), 2 * p + 1: " ".join(changed(base, 2, f"p{p}r"))}
+    sets = {i: set(S.shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    close = [p for p in range(pairs) if len(sets[2 * p] & sets[2 * p + 1]) >= 0.8 * len(sets[2 * p] | sets[2 * p + 1])]
+    kept = {r.doc_id for r in S.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    apart = [p for p in close if {2 * p, 2 * p + 1} <= kept]
+    assert len(close) > 0.9 * pairs and len(apart) <= 0.05 * len(close)
+    if pairs == 60:
+        assert kept >= {i for i, low in linked(texts).items() if i == low}
