@@ -312,13 +312,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
 #
 # Second search: complete.  All pairs of a shard that are in different groups are compared; the members of a shard's
 # largest group leave asking to the others, so a shard of one group costs nothing.  Askers and others are dealt out in
-# stripes of CELL, each pair of stripes is one cell for some task, and no pair within the radius is left out.  Sets of
-# shingles then follow the pairs from cell to cell, so a set travels once for all its pairs of a cell.
+# stripes of CELL, each pair of stripes is one cell for some task, and no pair within the radius is left out but those
+# that cannot link: every shingle sets one of SKETCH bits, and two sets differ in at least as many shingles as their
+# sketches differ in bits.  Sets of shingles then follow the pairs that are left from cell to cell, so a set travels
+# once for all its pairs of a cell.
 WIDE = 4
 RECALL = 0.99
 BLOCK = 128
 NEAREST = 3
 CELL = 256
+SKETCH = 2048
 
 
 def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
@@ -376,22 +379,22 @@ def proposals(words: list, ids: list, radius: int) -> list:
     return out
 
 
-def routed(rows: DataFrame, samples: np.ndarray) -> DataFrame:
-    """(key, and the columns of rows, all long; w0 .. w3 come last): every row once in each family; keys hold the family and the sampled bits."""
+def routed(rows: DataFrame, samples: np.ndarray, carry: list) -> DataFrame:
+    """(key, and the columns ``carry``, all long): every row once in each family; keys hold the family and the sampled bits; rows: also w0 .. w3."""
     weights = (1 << np.arange(samples.shape[1], dtype=np.int64)).astype(np.int64)
-    names = ["key", *rows.columns]
+    names = ["key", *carry]
 
     def route(batches):
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
             for at in range(0, batch.num_rows, 1024):
-                part = [np.ascontiguousarray(c[at : at + 1024]) for c in columns]
-                bits = np.unpackbits(np.stack([c.view(np.uint64) for c in part[-WIDE:]], axis=1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                part = batch.slice(at, 1024)
+                words = np.stack([c.to_numpy().view(np.uint64) for c in part.columns[len(carry) :]], axis=1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 for n, spots in enumerate(samples):
                     keys = (bits[:, spots] @ weights) | np.int64(n) << np.int64(48)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, part)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *part.columns[: len(carry)]], names=names)
 
-    return rows.mapInArrow(tidied(route), ", ".join(f"{x} long" for x in names))
+    return rows.select(*carry, *(F.col(f"w{k}") for k in range(WIDE))).mapInArrow(tidied(route), ", ".join(f"{x} long" for x in names))
 
 
 def first_candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest: int = NEAREST) -> DataFrame:
@@ -431,31 +434,35 @@ def first_candidates(rows: DataFrame, samples: np.ndarray, radius: int, nearest:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*out)], names=["x", "y", "d"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = routed(rows, samples).repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInArrow(tidied(search), "x long, y long, d long")
+    found = routed(rows, samples, ["id", *(f"w{k}" for k in range(WIDE))]).repartition(parts, "key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInArrow(tidied(search), "x long, y long, d long")
     best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("y").isNotNull(), F.struct("d", "y")))), 1, nearest).alias("best"))
     return best.select("x", F.explode_outer("best.y").alias("y"))
 
 
-def all_candidates(rows: DataFrame, samples: np.ndarray, radius: int) -> DataFrame:
-    """(a, b, cell), a > b: all pairs of ids of different groups that share a shard and lie within the radius; cell: one of those that found it."""
+def all_candidates(rows: DataFrame, samples: np.ndarray, radius: int, similarity: float) -> DataFrame:
+    """(a, b, cell), a > b: all pairs of ids of different groups that share a shard, lie within the radius and can have the similarity; cell: one of those that found it.
+
+    rows: id, comp, w0 .. w3, size and sketch of the set of shingles.
+    """
     spark = rows.sparkSession
-    held = routed(rows, samples)
+    held = routed(rows, samples, ["id", "comp"])
     groups = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     shards = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("n > top.n")
     shards = shards.select("key", F.ceil(F.col("n") / CELL).alias("others"), F.ceil((F.col("n") - F.col("top.n")) / CELL).alias("askers"), F.col("top.comp").alias("top"))
-    words = [f"w{k}" for k in range(WIDE)]
     placed = held.join(shards, "key")
     stripe = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    ask = placed.where("comp <> top").select("key", stripe("askers").alias("i"), every("others").alias("j"), F.lit(0).alias("side"), "id", "comp", *words)
-    told = placed.select("key", every("askers").alias("i"), stripe("others").alias("j"), F.lit(1).alias("side"), "id", "comp", *words)
-    cells = ask.unionByName(told).select(F.xxhash64("key", "i", "j").alias("cell"), "side", "id", "comp", *words)
+    ask = placed.where("comp <> top").select("key", stripe("askers").alias("i"), every("others").alias("j"), F.lit(0).alias("side"), "id")
+    told = placed.select("key", every("askers").alias("i"), stripe("others").alias("j"), F.lit(1).alias("side"), "id")
+    cells = ask.unionByName(told).select(F.xxhash64("key", "i", "j").alias("cell"), "side", "id")
+    words = [f"w{k}" for k in range(WIDE)]
 
     def compare(batches):
         """Rows come sorted by cell, askers first."""
         cell, askers, mine, fixed = None, [], None, False
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy() for c in batch.columns[:-1]]
+            columns.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint64).reshape(-1, SKETCH // 64))
             at, side = columns[0], columns[1]
             cuts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1, len(at)] if len(at) else []
             out = []
@@ -472,15 +479,25 @@ def all_candidates(rows: DataFrame, samples: np.ndarray, radius: int) -> DataFra
                     continue
                 for k in range(0, len(part[0]), 1024):
                     x, y = mine, [c[k : k + 1024] for c in part]
-                    distance = sum(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]).astype(np.int16) for a, b in zip(x[2:], y[2:]))
+                    distance = sum(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]).astype(np.int16) for a, b in zip(x[2:-2], y[2:-2]))
                     p, q = np.nonzero((distance <= radius) & (x[1][:, None] != y[1][None, :]))
-                    if len(p):
-                        out.append((np.maximum(x[0][p], y[0][q]), np.minimum(x[0][p], y[0][q]), np.full(len(p), cell)))
+                    for h in range(0, len(p), 8192):
+                        out += possible(x, y, p[h : h + 8192], q[h : h + 8192], cell)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "cell"])
 
+    def possible(x, y, p, q, cell):
+        """Of sets that share c and differ in d shingles, c >= similarity * (c + d); sizes add up to 2 c + d."""
+        sizes = x[-2][p] + y[-2][q]
+        most = (1 - similarity) / (1 + similarity) * sizes + 1e-6
+        differ = np.maximum(np.bitwise_count(x[-1][p] ^ y[-1][q]).sum(axis=1, dtype=np.int64), np.abs(x[-2][p] - y[-2][q]))
+        good = differ <= most
+        p, q = p[good], q[good]
+        return [(np.maximum(x[0][p], y[0][q]), np.minimum(x[0][p], y[0][q]), np.full(len(p), cell))] if len(p) else []
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cells.repartition(parts, "cell").sortWithinPartitions("cell", "side").mapInArrow(tidied(compare), "a long, b long, cell long")
+    filled = cells.join(rows.select("id", "comp", *words, "size", "sketch"), "id").select("cell", "side", "id", "comp", *words, "size", "sketch")
+    found = filled.repartition(parts, "cell").sortWithinPartitions("cell", "side").mapInArrow(tidied(compare), "a long, b long, cell long")
     return found.groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
@@ -494,13 +511,23 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles binary) of docs (id, body)."""
+    """(id, shingles binary, size, sketch binary) of docs (id, body)."""
+
+    def sketch(shingles):
+        bits = np.zeros(SKETCH, np.uint8)
+        bits[(scramble(shingles) % np.uint64(SKETCH)).astype(np.int64)] = 1
+        return np.packbits(bits, bitorder="little").tobytes()
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingle_set(t, width) for t in batch.column(1)[at : at + 256].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + 256], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())],
+                    names=["id", "shingles", "size", "sketch"],
+                )
 
-    return docs.select("id", "body").mapInArrow(tidied(run), "id long, shingles binary")
+    return docs.select("id", "body").mapInArrow(tidied(run), "id long, shingles binary, size long, sketch binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -528,7 +555,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_in_cells(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The same for pairs (a, b, cell): a set goes to each cell that needs it, once."""
     wanted = pairs.select("cell", F.col("a").alias("id")).union(pairs.select("cell", F.col("b").alias("id"))).distinct()
-    carried = wanted.join(sets, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
+    carried = wanted.join(sets.select("id", "shingles"), "id").select("cell", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
     rows = carried.unionByName(pairs.select("cell", "a", "b", F.lit(None).cast("binary").alias("shingles")))
 
     def run(batches):
@@ -569,8 +596,9 @@ def similar_groups(least: DataFrame, texts: DataFrame, width: int, similarity: f
     wanted = texts.join(taking.select("id", "near_key"), "near_key").dropDuplicates(["id"])
     sets = materialize(shingle_sets(wanted, width), "near-sets")
     rooted = components(similar(pairs, sets, similarity))
-    rows = materialize(taking.join(rooted, taking.id == rooted.node, "left").select("id", F.coalesce("root", "id").alias("comp"), *names), "near-groups")
-    more = materialize(all_candidates(rows, samples, radius).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    rows = taking.join(rooted, taking.id == rooted.node, "left").join(sets.select("id", "size", "sketch"), "id")
+    rows = materialize(rows.select("id", F.coalesce("root", "id").alias("comp"), *names, "size", "sketch"), "near-groups")
+    more = materialize(all_candidates(rows, samples, radius, similarity).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     links = materialize(similar_in_cells(more, sets, similarity), "near-links")
     if links.isEmpty():
         return rooted

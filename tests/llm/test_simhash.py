@@ -183,18 +183,20 @@ def test_all_candidates_equal_brute_force(spark, monkeypatch):
     words[:110, 3] ^= np.uint64(1) << rng.integers(0, 64, 110, dtype=np.uint64)
     words[1:110:2, 2] ^= np.uint64(1) << rng.integers(0, 64, 55, dtype=np.uint64)
     comps = [i if i > 100 or i % 5 == 0 else 0 for i in range(150)]
+    sets = [{*range(100)} | {*range(100 * i % 700, 100 * i % 700 + 30)} for i in range(150)]
+    sketches = [bytes(np.packbits(np.isin(np.arange(S.SKETCH), list(x)), bitorder="little")) for x in sets]
     samples = np.stack([rng.choice(256, 10, replace=False) for _ in range(6)])
     bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
     want = set()
     for i in range(150):
         for j in range(i):
-            if comps[i] != comps[j] and np.bitwise_count(words[i] ^ words[j]).sum() <= 3 and any((bits[i, s] == bits[j, s]).all() for s in samples):
+            if comps[i] != comps[j] and len(sets[i] ^ sets[j]) * 9 <= len(sets[i]) + len(sets[j]) and np.bitwise_count(words[i] ^ words[j]).sum() <= 3 and any((bits[i, s] == bits[j, s]).all() for s in samples):
                 want.add((i, j))
-    assert len(want) > 500
-    rows = spark.createDataFrame([(i, comps[i], *map(int, w.view(np.int64))) for i, w in enumerate(words)], "id long, comp long, w0 long, w1 long, w2 long, w3 long")
+    assert len(want) > 200
+    rows = spark.createDataFrame([(i, comps[i], *map(int, w.view(np.int64)), len(sets[i]), sketches[i]) for i, w in enumerate(words)], "id long, comp long, w0 long, w1 long, w2 long, w3 long, size long, sketch binary")
     for cell in (7, 256):
         monkeypatch.setattr(S, "CELL", cell)
-        got = [(r.a, r.b) for r in S.all_candidates(rows, samples, 3).collect()]
+        got = [(r.a, r.b) for r in S.all_candidates(rows, samples, 3, 0.8).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
