@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import answer as A
 from corpusloom.operators import index as I
+from corpusloom.operators import ivf
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import state
 from corpusloom.operators.embed import embed_hashed
@@ -51,9 +52,21 @@ def build_index(spark: SparkSession, config: IndexConfig, embed=embed_hashed) ->
     return {"indexed_docs": good.select("doc_id").distinct().count(), "indexed_chunks": good.count(), "skipped_docs": skipped, "failed_chunks": failed.count()}
 
 
-def ask(spark: SparkSession, index_root: str, questions: DataFrame, k: int | None = None, collection: str = COLLECTION, embed=embed_hashed, where=None, default_k: int = 5) -> tuple:
-    """(hits, prompts) for questions (query_id, question)."""
-    rows = state.Store(spark, index_root).read(collection)
+def build_lists(spark: SparkSession, index_root: str, collection: str = COLLECTION, lists: int | None = None) -> str:
+    """Inverted lists of the collection as it is now, beside it; returns their folder."""
+    store = state.Store(spark, index_root)
+    path = f"{store.path(collection)}-lists"
+    ivf.build(store.read(collection), path, lists)
+    return path
+
+
+def ask(spark: SparkSession, index_root: str, questions: DataFrame, k: int | None = None, collection: str = COLLECTION, embed=embed_hashed, where=None, default_k: int = 5, lists: str | None = None, probes: int = 8) -> tuple:
+    """(hits, prompts) for questions (query_id, question); exact, or through the inverted lists in a folder of build_lists()."""
     embedded = embed(questions.withColumn("text", F.col("question"))).select("query_id", "embedding")
-    hits = R.top_k(rows, embedded, R.effective_k(k, default_k), where).withColumnRenamed("document", "text")
+    k = R.effective_k(k, default_k)
+    if lists:
+        hits = ivf.search(ivf.read(spark, lists), embedded, k, probes, where)
+    else:
+        hits = R.top_k(state.Store(spark, index_root).read(collection), embedded, k, where)
+    hits = hits.withColumnRenamed("document", "text")
     return hits, A.contexts(hits, questions)

@@ -15,11 +15,13 @@ from corpusloom.functions import text as T
 from corpusloom.operators import answer as A
 from corpusloom.operators import chunk as C
 from corpusloom.operators import index as I
+from corpusloom.operators import ivf, lsa
 from corpusloom.operators import normalize as N
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import state
 from corpusloom.operators.embed import embed_hashed
 from corpusloom.operators.markdown import structure
+from corpusloom.operators.state import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -472,3 +474,20 @@ def source_lines(spark, sf):
 def embed_documents(spark, sf):
     """Hashed embeddings of all documents; checked by unit length in the tests, as SQL has no such hash."""
     return embed_hashed(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding")
+
+
+@query("topk_ivf")
+def topk_ivf(spark, sf):
+    """Top ten by inverted lists, with as many probes as a recall of 0.97 takes on other queries; recall is tested against the exact search, as k-means has no SQL."""
+    rows, asked = vectors(spark, sf)
+    path = new_folder(spark, "ivf")
+    ivf.build(rows, path)
+    index = ivf.read(spark, path)
+    return ivf.search(index, asked, 10, ivf.tune(index)[0]).select("query_id", "id", "label", "rank", F.round(F.abs("distance"), 6).alias("distance"))
+
+
+@query("embed_lsa")
+def embed_lsa(spark, sf):
+    """Learned embeddings of all documents by a model of all documents; tested against an exact SVD and against hashing, as SQL has no SVD."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lsa.embed(docs, lsa.fit(docs)).select("doc_id", "embedding")

@@ -5,9 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -35,16 +32,6 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder name nobody uses, under the cluster's shared folder; where none is set and all tasks run here, under one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def main(doc: str, inputs: list, config: str, run: Callable) -> None:
     """``python -m jobs.<name> INPUT... OUT [--config FILE]``: one session for one run."""
     parser = argparse.ArgumentParser(description=doc.splitlines()[0])

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from corpusloom.functions import rules
+from corpusloom.operators.state import new_folder
 from corpusloom.plans import queries as catalogue
 from jobs import chunk_feed, prompt_batch
-from jobs.common import new_folder
 
 
 def job1_chunk_feed(spark, sf_dir):
