@@ -16,6 +16,7 @@ from corpusloom.operators import answer as A
 from corpusloom.operators import chunk as C
 from corpusloom.operators import index as I
 from corpusloom.operators import ivf, lsa
+from corpusloom.operators import metadata as V
 from corpusloom.operators import normalize as N
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import state
@@ -491,3 +492,42 @@ def embed_lsa(spark, sf):
     """Learned embeddings of all documents by a model of all documents; tested against an exact SVD and against hashing, as SQL has no SVD."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lsa.embed(docs, lsa.fit(docs)).select("doc_id", "embedding")
+
+
+# ------------------------------------------------------------ I: free metadata
+# Document metadata with values of all kinds; chunk metadata with spans of five shapes.
+DOC_JSON = """'{"acl_read":"team","language":"' || coalesce(lang, '?') || '","nested":{"a":[1,true],"b":"x"},"page":99,"quality":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '0.5' END || ',"source_path":"/given/' || doc_id || '","title":"Doc ' || doc_id || '"}'"""
+CHUNK_JSON = """'{"checked":true,"title":' || CASE WHEN doc_id % 4 = 0 THEN 'null' ELSE '"Part ' || doc_id || '"' END || ',"page":' || CASE WHEN doc_id % 2 = 0 THEN '' || doc_id ELSE 'null' END || ',"section":"' || coalesce(source, '?') || '","n":' || doc_id || ',"paragraph_span":' ||
+    CASE doc_id % 5 WHEN 0 THEN '[' || doc_id || ',' || (doc_id + 2) || ']' WHEN 1 THEN '"3-4"' WHEN 2 THEN '[1]' WHEN 3 THEN '{"from":1}' ELSE 'null' END || '}'"""
+
+
+def free_metadata(spark, sf) -> tuple:
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/"), "source").alias("source_path"), F.expr(DOC_JSON).alias("d"), F.expr(CHUNK_JSON).alias("c"))
+    docs = docs.select("doc_id", "source_path", T.fence(V.parse(F.col("d"))).alias("d"), T.fence(V.parse(F.col("c"))).alias("c"))
+    return docs, V.flattened({"source_path": F.col("source_path"), "doc_id": F.col("doc_id")}, F.col("d"), F.col("c"))
+
+
+@query(
+    "metadata_free",
+    f"""WITH d AS (SELECT doc_id, '/' || source AS source_path, {DOC_JSON} AS d, {CHUNK_JSON} AS c FROM documents),
+    c AS (SELECT doc_id, e.key, e.value FROM d, json_each(d.c) e),
+    s AS (SELECT doc_id, value, json_type(value) = 'ARRAY' AND json_array_length(value) = 2 AS pair FROM c WHERE key = 'paragraph_span' AND json_type(value) <> 'NULL'),
+    a AS (
+        SELECT doc_id, 0 AS p, 'source_path' AS name, to_json(source_path) AS v FROM d UNION ALL SELECT doc_id, 0, 'doc_id', to_json(doc_id) FROM d
+        UNION ALL SELECT doc_id, 1, e.key, e.value FROM d, json_each(d.d) e
+        UNION ALL SELECT doc_id, 2, 'paragraph_start', value->0 FROM s WHERE pair UNION ALL SELECT doc_id, 2, 'paragraph_end', value->1 FROM s WHERE pair
+        UNION ALL SELECT doc_id, 2, 'paragraph_span', to_json(value->>'$') FROM s WHERE NOT pair
+        UNION ALL SELECT doc_id, 2, key, value FROM c WHERE key IN ('page', 'section') AND json_type(value) <> 'NULL'
+        UNION ALL SELECT doc_id, 3, key, value FROM c WHERE key NOT IN ('page', 'section', 'paragraph_span'))
+    SELECT doc_id, name, CASE WHEN json_type(v) = 'VARCHAR' THEN 'text' WHEN json_type(v) = 'BOOLEAN' THEN 'boolean' WHEN json_type(v) IN ('ARRAY', 'OBJECT') THEN 'json' ELSE 'number' END AS kind, v->>'$' AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY p DESC) AS r FROM a) WHERE r = 1 AND json_type(v) <> 'NULL'""",
+)
+def metadata_free(spark, sf):
+    docs, flat = free_metadata(spark, sf)
+    return V.listed(docs, ["doc_id"], flat)
+
+
+@query("metadata_profile", "SELECT event_type, e.key AS name, count(*) AS n FROM events, json_each(props) e WHERE json_type(e.value) <> 'NULL' GROUP BY ALL")
+def metadata_profile(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", T.fence(V.parse(F.col("props"))).alias("m"))
+    return V.profile(rows, ["event_type"], F.map_filter("m", lambda _, v: ~F.is_variant_null(v))).drop("type")
