@@ -13,6 +13,7 @@ from corpusloom.operators import ivf
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import state
 from corpusloom.operators.embed import embed_hashed
+from corpusloom.plans.ingest import read_chunks
 
 #: Fixed value: the default collection.
 COLLECTION = "pilot-docs"
@@ -33,7 +34,7 @@ def build_index(spark: SparkSession, config: IndexConfig, embed=embed_hashed) ->
     source, target = state.Store(spark, config.chunks_root), state.Store(spark, config.index_root)
     manifest = source.read("manifest").withColumn("metadata", F.from_json("metadata", META))
     chosen, missing = I.select_docs(manifest, config.doc_filter)
-    chunks = source.read("chunks").drop("bucket")
+    chunks = read_chunks(spark, config.chunks_root)
     rows = I.flatten(chosen, chunks)
     embedded = embed(rows)
     if "embedding_error" not in embedded.columns:

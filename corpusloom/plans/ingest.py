@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import state
+from corpusloom.operators.buckets import Buckets
 from corpusloom.operators.chunk import ChunkConfig, chunks
 from corpusloom.operators.normalize import NormalizationConfig, normalize
 from corpusloom.sources.files import discover, load
 
-BUCKETS = 64
 CHUNKS = "chunk_id string, doc_id string, chunk_index int, text string, token_estimate int, paragraph_start int, paragraph_end int, chunk_char_count int, chunk_token_count int, page int, section string, source_page_count int, source_title string"
 
 
@@ -37,8 +37,8 @@ class SlugCollision(ValueError):
 def ingest(spark: SparkSession, config: IngestConfig) -> dict:
     """One run; returns the report.  Unchanged files (by content hash) are not parsed again.
 
-    Chunks, manifest and failures are each one write; a run that finds no files
-    writes nothing.
+    Only the buckets of chunks that hold a changed document are rewritten; manifest
+    and failures are one write each; a run that finds no files writes nothing.
     """
     began = time.time()
     store = state.Store(spark, config.output_root)
@@ -76,17 +76,16 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
         meta = F.to_json(F.struct(*(c for c in documents.columns if c not in ("text", "doc_id", "content_hash", "path", "relative_path", "file_extension"))))
         rows = documents.select("doc_id", "content_hash", F.col("path").alias("source_path"), "relative_path", "file_extension", F.col("ingestion_timestamp").alias("last_ingested"), meta.alias("metadata")).join(counts, "doc_id")
         new_manifest = rows.select("doc_id", "content_hash", "chunk_count", "source_path", "relative_path", "file_extension", "last_ingested", "metadata")
-        all_chunks = state.replace_by_key(store.read("chunks", CHUNKS + ", bucket int").drop("bucket"), made)
         merged = state.replace_by_key(manifest, new_manifest)
         lost = state.orphans(merged, found.select(F.col("path").alias("source_path"))) if config.cleanup_orphans and not config.retry_failed else None
         if lost is not None:
             report["cleaned_up"] = lost.count()
-            all_chunks, merged = state.clean(all_chunks, lost), state.clean(merged, lost)
+            merged = state.clean(merged, lost)
         report["processed"], report["total_chunks"] = counts.count(), made.count()
         report["failed"] = failures.count()
         report["skipped"] = total - report["processed"] - report["failed"]
         if report["processed"] or report["cleaned_up"]:
-            store.write("chunks", all_chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).repartition("bucket"), ["bucket"])
+            chunk_table(spark, config.output_root).replace(made, lost)
             store.write("manifest", merged)
         report["duration"] = time.time() - began
         store.write("report", spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} {'double' if k == 'duration' else 'long'}" for k in report)))
@@ -95,5 +94,9 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
         found.unpersist()
 
 
+def chunk_table(spark: SparkSession, output_root: str) -> Buckets:
+    return Buckets(spark, f"{output_root.rstrip('/')}/chunks", CHUNKS)
+
+
 def read_chunks(spark: SparkSession, output_root: str) -> DataFrame:
-    return state.Store(spark, output_root).read("chunks").drop("bucket")
+    return chunk_table(spark, output_root).read()

@@ -20,6 +20,7 @@ from corpusloom.operators import metadata as V
 from corpusloom.operators import normalize as N
 from corpusloom.operators import retrieve as R
 from corpusloom.operators import state
+from corpusloom.operators.buckets import Buckets
 from corpusloom.operators.embed import embed_hashed
 from corpusloom.operators.markdown import structure
 from corpusloom.operators.state import new_folder
@@ -336,6 +337,16 @@ def replace_by_doc(spark, sf):
     return state.replace_by_key(old, new.where("doc_id % 3 = 0")).select("doc_id", "content_hash")
 
 
+@query("replace_buckets", f"SELECT doc_id, sha256(text) AS content_hash, '/' || source || '/' || doc_id AS source_path FROM {OLD} WHERE doc_id % 3 <> 0 AND doc_id % 11 <> 4 UNION ALL SELECT doc_id, sha256(text), '/' || source || '/' || doc_id FROM documents WHERE doc_id % 3 = 0")
+def replace_buckets(spark, sf):
+    """The older snapshot in buckets; every third document replaced, some others deleted, in the buckets that hold them."""
+    new, old = snapshots(spark, sf)
+    held = Buckets(spark, new_folder(spark, "buckets"), "doc_id bigint, content_hash string, source_path string", rows_per_bucket=10_000)
+    held.replace(old)
+    held.replace(new.where("doc_id % 3 = 0"), old.where("doc_id % 11 = 4"))
+    return held.read()
+
+
 @query("orphans", "SELECT doc_id, '/' || source || '/' || doc_id AS source_path FROM documents WHERE doc_id % 5 = 0")
 def orphans(spark, sf):
     new, old = snapshots(spark, sf)

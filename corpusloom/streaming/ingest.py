@@ -1,4 +1,4 @@
-"""Structured Streaming: chunk files as they arrive; each batch is one keyed replacement.
+"""Structured Streaming: chunk files as they arrive; each batch replaces its documents in the buckets that hold them.
 
 Ids come from paths below the root and texts go through the normaliser, as in a
 batch run, so both can fill one store.
@@ -13,7 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import state
 from corpusloom.operators.chunk import ChunkConfig, chunks
 from corpusloom.operators.normalize import NormalizationConfig, normalize
-from corpusloom.plans.ingest import BUCKETS, CHUNKS
+from corpusloom.plans.ingest import chunk_table
 from corpusloom.sources.files import TEXT, decode, describe
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -40,7 +40,7 @@ def stream_chunks(spark: SparkSession, root: str, output_root: str, checkpoint:
         made = store.read("new_chunks")
         counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         rows = fresh.join(counts, "doc_id").select("doc_id", "content_hash", "chunk_count", "source_path")
-        store.write("chunks", state.replace_by_key(store.read("chunks", CHUNKS + ", bucket int").drop("bucket"), made).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")), ["bucket"])
+        chunk_table(spark, output_root).replace(made)
         store.write("manifest", state.replace_by_key(manifest, rows).select(*[c.split()[0] for c in state.MANIFEST.split(", ")]))
 
     writer = read_files(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

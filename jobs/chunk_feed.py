@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.chunk import ChunkConfig, chunks
 from corpusloom.operators.normalize import NormalizationConfig, normalize
+from corpusloom.operators.state import read_or_empty
 from jobs import common
 
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "chunk_feed.json")
@@ -46,7 +47,7 @@ CHUNKS = (
 
 def latest(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """doc_id, content_hash, batch of every document's last batch (of those before a given one)."""
-    manifest = common.read_or_empty(spark, f"{out}/manifest", MANIFEST)
+    manifest = read_or_empty(spark, f"{out}/manifest", MANIFEST)
     if before is not None:
         manifest = manifest.where(F.col("batch") < before)
     return manifest.groupBy("doc_id").agg(F.max_by("content_hash", "batch").alias("content_hash"), F.max("batch").alias("batch"))
@@ -54,7 +55,7 @@ def latest(spark: SparkSession, out: str, before: int | None = None) -> DataFram
 
 def current(spark: SparkSession, out: str) -> DataFrame:
     """The chunks of all documents as they were last delivered."""
-    held = common.read_or_empty(spark, f"{out}/chunks", CHUNKS)
+    held = read_or_empty(spark, f"{out}/chunks", CHUNKS)
     return held.join(latest(spark, out).select("doc_id", "batch"), ["doc_id", "batch"])
 
 
@@ -81,11 +82,11 @@ def run(spark: SparkSession, documents: str, out: str, config: str = CONFIG) ->
         made = chunks(docs, size, carry=["content_hash", "source"]).withColumn("batch", F.lit(number).cast("bigint"))
         writer = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by)
         writer(made.select(*(c.split()[0] for c in CHUNKS.split(", "))), "source").parquet(f"{out}/chunks")
-        written = common.read_or_empty(session, f"{out}/chunks", CHUNKS).where(F.col("batch") == number)
+        written = read_or_empty(session, f"{out}/chunks", CHUNKS).where(F.col("batch") == number)
         entries = written.groupBy("doc_id", "content_hash", "batch").agg(F.count(F.lit(1)).alias("n_chunks"))
         writer(entries.select("doc_id", "content_hash", "n_chunks", "batch")).parquet(f"{out}/manifest")
         read = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("bad")).first()
-        wrote = common.read_or_empty(session, f"{out}/manifest", MANIFEST).where(F.col("batch") == number).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks")).first()
+        wrote = read_or_empty(session, f"{out}/manifest", MANIFEST).where(F.col("batch") == number).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks")).first()
         for name, n in zip(total, (1, read.n, read.bad, wrote.docs, wrote.chunks)):
             total[name] += n
         common.LOG.info("batch %d: read %d rows of %s (%d without an id); wrote %d documents as %d chunks to %s", number, read.n, documents, read.bad, wrote.docs, wrote.chunks, out)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answer, retrieve
+from corpusloom.operators.state import read_or_empty
 from jobs import common
 
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "prompt_batch.json")
@@ -54,7 +55,7 @@ def run(spark: SparkSession, embeddings: str, documents: str, out: str, config:
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
-    return common.read_or_empty(spark, f"{out}/prompts", PROMPTS)
+    return read_or_empty(spark, f"{out}/prompts", PROMPTS)
 
 
 if __name__ == "__main__":
