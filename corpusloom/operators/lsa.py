@@ -5,9 +5,10 @@ scaled to length one.  The right singular vectors V of all rows A come from
 repeated passes of the range finder: each pass computes A' (A Q) for a thin Q,
 partition by partition, adds the parts up by blocks of terms in a shuffle, and
 orthonormalises the sum on the driver.  What the driver and each task hold is
-FEATURES * (dimensions + OVERSAMPLE) numbers (19 MB at the defaults), whatever the
-number of documents; the documents themselves are read once a pass and never
-leave their partitions.
+FEATURES * (dimensions + OVERSAMPLE) numbers (10 MB at the defaults), whatever the
+number of documents.  There is one task a core, so the sums that travel are as many
+as the cores, not as the partitions; the documents themselves are read once a pass
+and never leave their tasks.
 
 A text is embedded as its row times V, scaled to length one.  The squared error of
 the projection is what is left of the rows' squares: total - sum of sigma squared.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURES, DIMENSIONS, OVERSAMPLE, PASSES, SEED = 1 << 15, 64, 10, 3, 42
+FEATURES, DIMENSIONS, OVERSAMPLE, PASSES, SEED = 1 << 14, 64, 10, 3, 42
 TERMS_PER_BLOCK = 256
 ROWS_AT_ONCE = 256
 
@@ -72,27 +73,30 @@ def _times(matrix: tuple, rows: int, q: np.ndarray) -> np.ndarray:
 
 
 def _summed(parts: DataFrame, blocks: int) -> np.ndarray:
-    """Matrices that tasks emitted as (block, body), added up block by block and put together; body: float64."""
+    """Matrices that tasks emitted as (block, body), added up block by block and put together; body: float32 by block of terms, float64 for a single block."""
+    kind = np.float32 if blocks > 1 else np.float64
 
     def add(batches):
         held: dict = {}
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(body)
+                part = np.frombuffer(body, kind).astype(np.float64)
                 held[block] = held[block] + part if block in held else part
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.astype(kind).tobytes() for x in held.values()], pa.binary())], names=["block", "body"])
 
-    rows = {r.block: np.frombuffer(r.body) for r in parts.repartition(min(blocks, 64), "block").mapInArrow(add, "block int, body binary").collect()}
+    rows = {r.block: np.frombuffer(r.body, kind).astype(np.float64) for r in parts.repartition(min(blocks, 64), "block").mapInArrow(add, "block int, body binary").collect()}
     size = len(next(iter(rows.values()))) if rows else 0
     return np.concatenate([rows.get(b, np.zeros(size)) for b in range(blocks)]) if rows else np.zeros(0)
 
 
-def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, make: Callable) -> DataFrame:
+def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, blocks: int, make: Callable) -> DataFrame:
     """(block, body) from each task's sum of make(matrix, rows times q) over its batches."""
+    kind = np.float32 if blocks > 1 else np.float64
+    shared = docs.sparkSession.sparkContext.broadcast((idf, q))
 
     def run(batches):
-        total = None
+        total, (idf, q) = None, shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 lists = batch.column(0)[at : at + ROWS_AT_ONCE]
@@ -100,12 +104,12 @@ def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, make: Callable) -> Da
                 part = make(matrix, _times(matrix, len(lists), q), total)
                 total = part
         if total is not None:
-            pieces = np.array_split(total, range(TERMS_PER_BLOCK, len(total), TERMS_PER_BLOCK)) if len(total) > TERMS_PER_BLOCK else [total]
+            pieces = np.array_split(total.astype(kind), range(TERMS_PER_BLOCK, len(total), TERMS_PER_BLOCK)) if blocks > 1 else [total]
             for n, piece in enumerate(pieces):
                 if piece.any():
                     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["block", "body"])
 
-    return docs.mapInArrow(run, "block int, body binary")
+    return docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "block int, body binary")
 
 
 def fit(docs: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, features: int = FEATURES, oversample: int = OVERSAMPLE, passes: int = PASSES, seed: int = SEED) -> Model:
@@ -135,11 +139,11 @@ def fit(docs: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, fea
         return part if total is None else total + part
 
     for _ in range(passes):
-        found = _summed(_pass(held, idf, q, back), blocks)
+        found = _summed(_pass(held, idf, q, blocks, back), blocks)
         if not len(found):
             return Model(idf, np.zeros((features, dimensions)), np.zeros(dimensions), 0.0)
         q = np.linalg.qr(found.reshape(features, width))[0]
-    small = _summed(_pass(held, idf, q, square), 1).reshape(width + 1, width)
+    small = _summed(_pass(held, idf, q, 1, square), 1).reshape(width + 1, width)
     values, turns = np.linalg.eigh(small[:width])
     best = np.argsort(values)[::-1][:dimensions]
     return Model(idf, q @ turns[:, best], np.sqrt(np.maximum(values[best], 0)), float(small[width, 0]))
