@@ -7,8 +7,8 @@ partition by partition, adds the parts up by blocks of terms in a shuffle, and
 orthonormalises the sum on the driver.  What the driver and each task hold is
 FEATURES * (dimensions + OVERSAMPLE) numbers (10 MB at the defaults), whatever the
 number of documents.  There is one task a core, so the sums that travel are as many
-as the cores, not as the partitions; the documents themselves are read once a pass
-and never leave their tasks.
+as the cores, not as the partitions.  The documents are read once, their feature
+numbers and counts are written to the shared folder, and each pass reads those.
 
 A text is embedded as its row times V, scaled to length one.  The squared error of
 the projection is what is left of the rows' squares: total - sum of sigma squared.
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.state import new_folder
+
 FEATURES, DIMENSIONS, OVERSAMPLE, PASSES, SEED = 1 << 14, 64, 10, 3, 42
 TERMS_PER_BLOCK = 256
 ROWS_AT_ONCE = 256
@@ -52,26 +54,54 @@ def terms(text: Column, features: int = FEATURES) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
 
 
-def _matrix(lists: pa.Array, idf: np.ndarray) -> tuple:
-    """(row, feature, weight) of the non-zero weights of a batch of term lists."""
-    sizes = np.diff(lists.offsets.to_numpy())
-    owner, flat = np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy()
-    key, count = np.unique(owner.astype(np.int64) * len(idf) + flat, return_counts=True)
-    row, feature = key // len(idf), key % len(idf)
+def _counted(lists: pa.Array, features: int) -> tuple:
+    """(row, feature, count) of a batch of term lists, sorted by row and feature."""
+    owner, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    key, count = np.unique(owner.astype(np.int64) * features + flat, return_counts=True)
+    return key // features, key % features, count
+
+
+def _weighted(counted: tuple, rows: int, idf: np.ndarray) -> tuple:
+    """(row, feature, weight) of the weights above zero, rows scaled to length one."""
+    row, feature, count = counted
     weight = (1 + np.log(count)) * idf[feature]
-    length = np.sqrt(np.bincount(row, weight**2, minlength=len(lists)))[row]
+    length = np.sqrt(np.bincount(row, weight**2, minlength=rows))[row]
     keep = weight > 0
-    return row[keep], feature[keep], weight[keep] / length[keep]
+    return row[keep], feature[keep], (weight[keep] / length[keep]).astype(np.float32)
+
+
+def _grouped(index: np.ndarray, values: np.ndarray, total: np.ndarray) -> None:
+    """Adds values to the rows of total that index names; index sorted."""
+    if len(index):
+        starts = np.r_[0, np.flatnonzero(index[1:] != index[:-1]) + 1]
+        total[index[starts]] += np.add.reduceat(values, starts, axis=0)
 
 
 def _times(matrix: tuple, rows: int, q: np.ndarray) -> np.ndarray:
     """The batch's rows times q."""
     row, feature, weight = matrix
-    out = np.zeros((rows, q.shape[1]))
-    np.add.at(out, row, weight[:, None] * q[feature])
+    out = np.zeros((rows, q.shape[1]), q.dtype)
+    _grouped(row, weight[:, None] * q[feature], out)
     return out
 
 
+def _counts_table(docs: DataFrame, column: str, features: int) -> DataFrame:
+    """Feature numbers and counts of every text, written once: each pass reads them instead of the texts."""
+    spark = docs.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                lists = batch.column(0)[at : at + ROWS_AT_ONCE]
+                row, feature, count = _counted(lists, features)
+                ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(lists)))].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, count)], names=["features", "counts"])
+
+    path = new_folder(spark, "lsa-terms")
+    docs.select(terms(F.col(column), features).alias("terms")).mapInArrow(run, "features array<int>, counts array<int>").write.parquet(path)
+    return spark.read.schema("features array<int>, counts array<int>").parquet(path)
+
+
 def _summed(parts: DataFrame, blocks: int) -> np.ndarray:
     """Matrices that tasks emitted as (block, body), added up block by block and put together; body: float32 by block of terms, float64 for a single block."""
     kind = np.float32 if blocks > 1 else np.float64
@@ -93,16 +123,16 @@ def _summed(parts: DataFrame, blocks: int) -> np.ndarray:
 def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, blocks: int, make: Callable) -> DataFrame:
     """(block, body) from each task's sum of make(matrix, rows times q) over its batches."""
     kind = np.float32 if blocks > 1 else np.float64
-    shared = docs.sparkSession.sparkContext.broadcast((idf, q))
+    shared = docs.sparkSession.sparkContext.broadcast((idf, q.astype(np.float32)))
 
     def run(batches):
         total, (idf, q) = None, shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                lists = batch.column(0)[at : at + ROWS_AT_ONCE]
-                matrix = _matrix(lists, idf)
-                part = make(matrix, _times(matrix, len(lists), q), total)
-                total = part
+                lists, counts = (batch.column(k)[at : at + ROWS_AT_ONCE] for k in (0, 1))
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                matrix = _weighted((row, lists.flatten().to_numpy(), counts.flatten().to_numpy()), len(lists), idf)
+                total = make(matrix, _times(matrix, len(lists), q), total)
         if total is not None:
             pieces = np.array_split(total.astype(kind), range(TERMS_PER_BLOCK, len(total), TERMS_PER_BLOCK)) if blocks > 1 else [total]
             for n, piece in enumerate(pieces):
@@ -114,10 +144,10 @@ def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, blocks: int, make: Ca
 
 def fit(docs: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, features: int = FEATURES, oversample: int = OVERSAMPLE, passes: int = PASSES, seed: int = SEED) -> Model:
     """The model of all rows of ``docs``."""
-    held = docs.select(terms(F.col(column), features).alias("terms"))
+    held = _counts_table(docs, column, features)
     n = held.count()
     counts = np.zeros(features)
-    for r in held.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().collect():  # at most ``features`` rows
+    for r in held.select(F.explode("features").alias("t")).groupBy("t").count().collect():  # at most ``features`` rows
         counts[r.t] = r["count"]
     idf = np.where(counts >= 2, np.log((n + 1) / (counts + 1)) + 1, 0.0)
     width = min(dimensions + oversample, features)
@@ -128,14 +158,16 @@ def fit(docs: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, fea
         """Adds A' (A q) of a batch."""
         row, feature, weight = matrix
         total = np.zeros((features, width)) if total is None else total
-        np.add.at(total, feature, weight[:, None] * product[row])
+        order = np.argsort(feature, kind="stable")
+        _grouped(feature[order], weight[order, None] * product[row[order]], total)
         return total
 
     def square(matrix, product, total):
         """Adds (A q)' (A q) of a batch, and the sum of its squares in a row of its own."""
         part = np.zeros((width + 1, width))
+        product = product.astype(np.float64)
         part[:width] = product.T @ product
-        part[width, 0] = float((matrix[2] ** 2).sum())
+        part[width, 0] = float((matrix[2].astype(np.float64) ** 2).sum())
         return part if total is None else total + part
 
     for _ in range(passes):
@@ -159,7 +191,8 @@ def embed(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                found = _times(_matrix(part.column(len(names)), idf), part.num_rows, vectors)
+                lists = part.column(len(names))
+                found = _times(_weighted(_counted(lists, len(idf)), part.num_rows, idf), part.num_rows, vectors)
                 length = np.linalg.norm(found, axis=1, keepdims=True)
                 found = np.divide(found, length, out=np.zeros_like(found), where=length > 1e-12).astype(np.float32)
                 ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * found.shape[1])
