@@ -10,6 +10,14 @@
 5. encode: SentencePiece ids of every text, with a decoding round trip.
 
 All but the last return the columns of documents.
+
+Cases: a null, empty or letterless text has no language and goes in the first stage;
+documents that repeat a text are one group there, whatever their ids, and of rows
+that repeat id and text one stays; a null doc_id is smaller than any other in the
+exact stage, so it stays only where no other id has the text, and comes last in the near
+stage; a text whose evidence is the same for all languages goes with the first stage; extra
+columns are carried through and their names never matter; an empty table gives
+empty results in every stage; texts of any length are read whole.
 """
 
 from __future__ import annotations
