@@ -67,9 +67,19 @@ def coverage(rows: DataFrame, required: tuple = REQUIRED, optional: tuple = OPTI
     return spread.where("n > 0").select("e.field", "e.required", "e.n_present", F.bround(F.col("e.n_present") / F.col("n") * 100, 1).alias("pct"))
 
 
-def verify(rows: DataFrame, sample_size: int = 100, seed: int | None = None) -> DataFrame:
-    """verified_chunks, missing_fields and the coverage map of a random sample; one row."""
-    sample = rows.orderBy(F.rand(seed)).limit(sample_size)
+def bottom_sample(rows: DataFrame, size: int, key: list, salt: str = "") -> DataFrame:
+    """The ``size`` rows of smallest key hash: the same ones on every run and in any partitioning; each task keeps ``size`` rows before they meet.
+
+    Null keys hash like the empty text; rows that repeat a key stand together, so the limit may take some of them only.
+    """
+    names = F.concat_ws("\n", F.lit(salt), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
+    return rows.orderBy(F.md5(names), *key).limit(size)
+
+
+def verify(rows: DataFrame, sample_size: int = 100, salt: str = "", key: list | None = None) -> DataFrame:
+    """verified_chunks, missing_fields and the coverage map of a repeatable sample; one row; key: id, or else those of doc_id and chunk_index that there are."""
+    key = key or (["id"] if "id" in rows.columns else [c for c in ("doc_id", "chunk_index") if c in rows.columns])
+    sample = bottom_sample(rows, sample_size, key, salt)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     complete = F.lit(True)
     for c in REQUIRED:

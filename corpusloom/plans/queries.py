@@ -398,6 +398,17 @@ def metadata_coverage(spark, sf):
     return I.coverage(I.flatten(manifest(spark, sf), pieces(spark, sf)))
 
 
+@query(
+    "verify_sample",
+    f"""WITH f AS ({FLAT} ORDER BY md5(chr(10) || d.doc_id || chr(10) || '0') LIMIT 100)
+    SELECT count(*) AS verified_chunks, count(*) FILTER (source_path IS NULL OR "timestamp" IS NULL OR "timestamp" = '') AS missing_fields, round_even(count("timestamp") / count(*) * 100, 1) AS timestamp_pct,
+        round_even(count(page) / count(*) * 100, 1) AS page_pct, round_even(count(section) / count(*) * 100, 1) AS section_pct FROM f""",
+)
+def verify_sample(spark, sf):
+    pct = lambda c: F.col("field_coverage")[c].alias(f"{c}_pct")
+    return I.verify(I.flatten(manifest(spark, sf), pieces(spark, sf))).select("verified_chunks", "missing_fields", pct("timestamp"), pct("page"), pct("section"))
+
+
 # ------------------------------------------------------------ R: retrieval
 # The query set is every vector whose id is divisible by 50, against all vectors.
 TOP = """SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance, q.label AS query_label,

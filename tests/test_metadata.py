@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import index as I
 from corpusloom.operators import metadata as V
 
 
@@ -34,3 +35,13 @@ def test_profile_types(spark):
     assert got[("a", "x")][0] == 2 and got[("a", "x")][1].startswith("DECIMAL") and got[("a", "y")] == (1, "STRING") and got[("a", "z")] == (1, "ARRAY<BIGINT>")
     assert got[("b", "x")] == (1, "VOID") and got[(None, "x")] == (1, "BOOLEAN")
     assert V.profile(table.limit(0), ["kind"], F.col("m")).count() == 0
+
+
+def test_bottom_sample_is_repeatable(spark):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    take = lambda df, salt="": sorted(r.doc_id for r in I.bottom_sample(df, 20, ["doc_id", "chunk_index"], salt).collect())
+    assert take(rows) == take(rows.repartition(7)) == take(rows.coalesce(1)) != take(rows, "other")
+    assert len(take(rows.limit(3))) == 3 and take(rows.limit(0)) == []
+    # merging two samples gives the sample of both
+    two = I.bottom_sample(rows.where("doc_id < 500"), 20, ["doc_id"]).union(I.bottom_sample(rows.where("doc_id >= 500"), 20, ["doc_id"]))
+    assert sorted(r.doc_id for r in I.bottom_sample(two, 20, ["doc_id"]).collect()) == sorted(r.doc_id for r in I.bottom_sample(rows, 20, ["doc_id"]).collect())
