@@ -9,7 +9,11 @@ kept blocks are joined in page order.
 
 What a wrapper's class says does not hold inside the ``article`` or ``main`` it
 wraps, but for reader comments; words of layout (``no-sidebar``, ``has-comments``)
-say nothing.
+say nothing.  Nor do hints hold on a wrapper that calls itself the content and
+holds most of the page's unlinked words.  A page that would come out empty is
+read once more without the hints of whatever wraps most of its unlinked words
+(reader comments excepted); if that gives nothing either, its unmarked paragraphs
+are the text.
 
 Cases: null and empty pages and pages without main text give an empty string;
 repeated rows are extracted each; unclosed elements end with their region or the
@@ -59,9 +63,13 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\
 ATTRS = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Names of elements that hold the content of a page.
+CONTENT = frozenset("main content article post story entry page site".split())
 #: Words that make a class name a statement about the layout.
 LAYOUT = frozenset("no not non has have with without hide is enable enabled disable disabled layout".split())
 LOWER = {c: c + 32 for c in range(65, 91)}
+#: Kinds that may stand for a wrapper of the whole page when nothing else is left; notices, adverts and footers never do.
+WRAPPING = frozenset(("menu", "header", "aside", "form"))
 #: Region elements around an article or main element that still say something about it.
 KEPT_REGIONS = {"article": frozenset(("aside", "footer", "notice")), "main": frozenset()}
 
@@ -81,13 +89,18 @@ class Block:
 
 
 def read_attrs(attrs: str, main: bool) -> tuple:
-    """(kinds that class, id and role hint at, hidden). main: the attributes are those of an article or main element."""
-    found, hidden = set(), False
+    """(kinds that class, id and role hint at, hidden, does a name say content, is it main by role or id).
+
+    main: the attributes are those of an article or main element.
+    """
+    found, hidden, names = set(), False, set()
     for m in ATTRS.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in SPLIT.split(token) if w]
+                if words and CONTENT.issuperset(words):
+                    names.add((name, *words))
                 if not words or words[0] == "content" or LAYOUT.intersection(words):
                     continue
                 kinds = {HINT_OF[w] for w in words if w in HINT_OF}
@@ -96,7 +109,7 @@ def read_attrs(attrs: str, main: bool) -> tuple:
                 found |= kinds
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and INVISIBLE.search(value):
             hidden = True
-    return frozenset(found), hidden
+    return frozenset(found), hidden, bool(names), ("role", "main") in names or ("id", "main") in names or ("id", "content") in names
 
 
 def skipped(low: str, name: str, at: int) -> int:
@@ -125,10 +138,15 @@ def lowered(page: str) -> str:
     return low if len(low) == len(page) else page.translate(LOWER)
 
 
-def blocks(page: str) -> list:
-    """The flat text blocks of a page."""
+def blocks(page: str, free: frozenset = frozenset(), marked: dict | None = None) -> list:
+    """The flat text blocks of a page.
+
+    free: numbers of elements (in page order) whose hints count for nothing.
+    marked: takes number -> [unlinked words, says content, kinds, number around it] of the elements with hints.
+    """
     out: list = []
-    stack: list = []  # (tag, kinds, main, hidden, kinds by region elements) of open elements
+    stack: list = []  # (tag, kinds, main, hidden, kinds by region elements, innermost element with hints) of open elements
+    number = 0
     text: list = []
     linked = 0
     tag_of = ""
@@ -140,6 +158,8 @@ def blocks(page: str) -> list:
             flat = " ".join("".join(text).split())
             if flat:
                 inside = stack[-1] if stack else ("", frozenset(), False)
+                if marked is not None and stack and stack[-1][5]:
+                    marked[stack[-1][5]][0] += flat.count(" ") + 1 - linked
                 out.append(Block(flat, flat.count(" ") + 1, linked, tag_of or inside[0], inside[2], inside[1]))
             text = []
         linked = 0
@@ -200,21 +220,36 @@ def blocks(page: str) -> list:
             stack.pop()
         if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
-        kinds, main, hidden, regions = stack[-1][1:] if stack else (frozenset(), False, False, frozenset())
+        kinds, main, hidden, regions = stack[-1][1:5] if stack else (frozenset(), False, False, frozenset())
         if name in MAIN:
             if not main:
                 regions = regions & KEPT_REGIONS[name]
                 kinds = regions | (kinds & {"comments"})
             main = True
+        number += 1
+        own, says = frozenset(), False
         region = REGIONS.get(name)
         if region:
-            kinds, regions = kinds | {region}, regions | {region}
+            own = frozenset((region,))
         if m[3] and name not in ("html", "body"):
-            found, unseen = read_attrs(m[3], name in MAIN)
-            kinds, hidden = kinds | found, hidden or unseen
-        stack.append((name, kinds, main, hidden, regions))
+            found, unseen, says, by_name = read_attrs(m[3], name in MAIN)
+            hidden = hidden or unseen
+            if by_name and not own and name not in MAIN and not main:
+                kinds, regions = kinds & {"comments"}, frozenset()
+            own = own | found
+        around = stack[-1][5] if stack else 0
+        hinted = bool(own) and region in (None, "form")  # a form may wrap the page; other region elements mean what they say
+        if hinted and marked is not None:
+            marked[number] = [0, says, own, around]
+        if number not in free:
+            kinds = kinds | own
+            regions = regions | {region} if region else regions
+        stack.append((name, kinds, main, hidden, regions, number if hinted else around))
         tag_of = ""
     flush()
+    for n in sorted(marked or (), reverse=True):  # inner elements have greater numbers
+        if marked[n][3]:
+            marked[marked[n][3]][0] += marked[n][0]
     return out
 
 
@@ -379,12 +414,28 @@ def train() -> tuple:
     return grow(*labelled())
 
 
+def kept(found: list, tree: tuple) -> list:
+    """Texts of the blocks that the tree takes for main text."""
+    return [b.text for b, share in zip(found, classify(tree, describe(found))) if share >= 0.5]
+
+
 def main_text(page: str, tree: tuple) -> str:
-    found = blocks(page)
+    marked: dict = {}
+    found = blocks(page, frozenset(), marked)
     if not found:
         return ""
-    keep = classify(tree, describe(found)) >= 0.5
-    return " ".join(b.text for b, k in zip(found, keep) if k)
+    half = sum(b.words - b.linked for b in found) / 2
+    most = {n: (says, kinds) for n, (words, says, kinds, _) in marked.items() if words > half and "comments" not in kinds}
+    free = frozenset(n for n, (says, _) in most.items() if says)
+    if free:
+        found = blocks(page, free)
+    texts = kept(found, tree)
+    if not texts and len(most) > len(free):
+        found = blocks(page, frozenset(n for n, (_, kinds) in most.items() if kinds <= WRAPPING))
+        texts = kept(found, tree)
+    if not texts:
+        texts = [b.text for b in found if not b.kinds and (b.main or b.tag == "p" and b.density < 0.5)]
+    return " ".join(texts)
 
 
 def extract(pages: DataFrame) -> DataFrame:

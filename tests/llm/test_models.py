@@ -233,6 +233,34 @@ def test_main_text(page, text):
     assert html.main_text(page, TREE).replace("<br>", " ") == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<form id='aspnetForm'><div id='content'>",
+        "<div class='main-content sidebar-right'>",
+        "<div class='post tag-social category-legal'>",
+        "<div id='page' class='site menu-closed'>",
+        "<div class='story ad-free'>",
+        "<div class='elementor-widget-text widget'>",
+        "<div class='tags-list-wrapper'><div id='main'>",
+        "<div class='sidebar'><div role='main'>",
+    ],
+)
+def test_wrappers_of_most_words_hide_nothing(wrapper):
+    long = " ".join(f"word{i}" for i in range(80))
+    page = f"<body><nav><a href=x>Home</a> <a href=y>About</a></nav>{wrapper}<p>{long}</p><div class='sidebar'>By the way</div></div><footer>Copyright someone</footer></body>"
+    assert html.main_text(page, TREE) == long
+
+
+def test_pages_that_would_come_out_empty():
+    linked = " ".join(f"word{i}" for i in range(80))
+    assert html.main_text(f"<nav><a>x</a></nav><article><p><a href=z>{linked}</a></p></article>", TREE) == linked
+    assert html.main_text("<nav><a>x</a></nav><div><p>Just three words.</p></div>", TREE) == "Just three words."
+    for kind in ("div id='comments'", "div class='cookie-notice'", "div class='newsletter'", "nav", "footer", "aside class='ad'"):
+        assert html.main_text(f"<nav><a>x</a></nav><{kind}><p>{linked}</p></{kind.split()[0]}>", TREE) == "", kind
+    assert html.main_text("<div class='menu'>" * 4000 + "w" + "<p>x" * 1000, TREE) == ""
+
+
 def test_pages(spark, sf):
     import re
     from html import unescape
