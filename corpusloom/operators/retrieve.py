@@ -51,8 +51,11 @@ def top_k(collection: DataFrame, queries: DataFrame, k: int, where: Column | Non
     return found.join(rows.select(id_column, *rest), id_column)
 
 
-def filters(page_from: int | None = None, page_to: int | None = None, since: str | None = None, acl: str | None = None, **equal) -> Column:
-    """Equality on any column, page and timestamp ranges, acl_read containing a name."""
+def filters(page_from: int | None = None, page_to: int | None = None, since: str | None = None, acl: str | None = None, until: str | None = None, reader: str | None = None, **equal) -> Column:
+    """Equality on any column, page and timestamp ranges, acl_read containing a text (acl) or listing a reader (commas between names).
+
+    Nulls pass no condition on their column.  Equality and ranges reach the Parquet scan.
+    """
     out = F.lit(True)
     for name, value in equal.items():
         out = out & (F.col(name) == value)
@@ -62,6 +65,10 @@ def filters(page_from: int | None = None, page_to: int | None = None, since: str
         out = out & (F.col("page") <= page_to)
     if since is not None:
         out = out & (F.col("timestamp") >= since)
+    if until is not None:
+        out = out & (F.col("timestamp") <= until)
+    if reader is not None:
+        out = out & F.array_contains(F.transform(F.split("acl_read", ","), lambda name: F.trim(name)), reader)
     return out & F.col("acl_read").contains(acl) if acl is not None else out
 
 

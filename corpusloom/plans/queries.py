@@ -15,7 +15,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import answer as A
 from corpusloom.operators import chunk as C
 from corpusloom.operators import index as I
-from corpusloom.operators import ivf, lsa
+from corpusloom.operators import carry, ivf, lsa
 from corpusloom.operators import metadata as V
 from corpusloom.operators import normalize as N
 from corpusloom.operators import retrieve as R
@@ -409,6 +409,38 @@ def verify_sample(spark, sf):
     return I.verify(I.flatten(manifest(spark, sf), pieces(spark, sf))).select("verified_chunks", "missing_fields", pct("timestamp"), pct("page"), pct("section"))
 
 
+# Two states of the chunks (1,000 characters each) of all documents: in the new one every third document has a longer
+# end, every third begins with another chunk, so that its own chunks move; some documents come and some go.
+EDITED = "CASE doc_id % 3 WHEN 0 THEN coalesce(text, '') || ' more' WHEN 1 THEN repeat('new ', 250) || coalesce(text, '') ELSE coalesce(text, '') END"
+CUT_OLD, CUT_NEW = ("unnest(regexp_extract_all({}, '(?s).{{1,1000}}'))".format(x) for x in ("text", EDITED))
+
+
+def cut(docs: DataFrame, text: str) -> DataFrame:
+    pieces_ = F.expr(f"regexp_extract_all({text}, '(?s).{{1,1000}}', 0)")
+    return docs.select("doc_id", F.posexplode(pieces_).alias("chunk_index", "text")).withColumn("digest", carry.digest(F.col("text"), "hashed-64"))
+
+
+@query(
+    "carry_over",
+    f"""WITH o AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, {CUT_OLD} AS t FROM documents WHERE doc_id % 11 <> 4) GROUP BY ALL), n AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, {CUT_NEW} AS t FROM documents WHERE doc_id % 13 <> 5) GROUP BY ALL)
+    SELECT doc_id, sum(CASE WHEN o.n IS NOT NULL THEN coalesce(n.n, 0) ELSE 0 END)::BIGINT AS n_reused, sum(CASE WHEN o.n IS NULL THEN n.n ELSE 0 END)::BIGINT AS n_embedded, sum(CASE WHEN n.n IS NULL THEN o.n ELSE 0 END)::BIGINT AS n_deleted,
+        sum(CASE WHEN o.n IS NOT NULL THEN coalesce(n.n, 0) ELSE 0 END)::BIGINT AS n_carried, sum(coalesce(n.n, 0))::BIGINT AS n_vectors
+    FROM o FULL JOIN n USING (doc_id, t) GROUP BY doc_id""",
+)
+def carry_over(spark, sf):
+    """What a re-index does to every document: counts by comparison of the states, and as found in the rows it leaves."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    embed = lambda rows: embed_hashed(rows, size=64)
+    held, matched = new_folder(spark, "carry-held"), new_folder(spark, "carry-matched")
+    embed(cut(docs.where("doc_id % 11 <> 4"), "text")).select("doc_id", "digest", "embedding").write.parquet(held)
+    old = spark.read.parquet(held)
+    carry.match(old, cut(docs.where("doc_id % 13 <> 5"), EDITED)).write.parquet(matched)
+    new = spark.read.parquet(matched)
+    left = carry.complete(new, embed).groupBy("doc_id").agg(F.count_if("carried").alias("n_carried"), F.count("embedding").alias("n_vectors"))
+    counts = carry.changes(old, new).join(left, "doc_id", "left")
+    return counts.select("doc_id", "n_reused", "n_embedded", "n_deleted", F.coalesce("n_carried", F.lit(0)).alias("n_carried"), F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+
+
 # ------------------------------------------------------------ R: retrieval
 # The query set is every vector whose id is divisible by 50, against all vectors.
 TOP = """SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance, q.label AS query_label,
@@ -433,6 +465,33 @@ def topk_filtered(spark, sf):
     return R.top_k(rows, asked, 3, R.filters(label=3)).select("query_id", "id", "rank", F.round(F.abs("distance"), 6).alias("distance"))
 
 
+# Page, time, access and place of a vector, as chunks have them; one in seven has no page, one in five no access list.
+MARKED = """vec_id AS id, embedding, label, CASE WHEN vec_id % 7 > 0 THEN vec_id % 40 END AS page, '2024-01-' || lpad((vec_id % 28 + 1)::VARCHAR, 2, '0') AS "timestamp",
+    CASE vec_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'team' WHEN 2 THEN 'team,staff' WHEN 3 THEN 'staff' ELSE 'guest,teams' END AS acl_read"""
+
+MARKED_COLUMNS = ["vec_id AS id", "embedding", "label", "CASE WHEN vec_id % 7 > 0 THEN vec_id % 40 END AS page", "'2024-01-' || lpad(CAST(vec_id % 28 + 1 AS STRING), 2, '0') AS timestamp", "CASE vec_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'team' WHEN 2 THEN 'team,staff' WHEN 3 THEN 'staff' ELSE 'guest,teams' END AS acl_read"]
+
+
+@query(
+    "topk_ranges",
+    f"""WITH e AS (SELECT {MARKED} FROM embeddings), m AS (
+        SELECT 'page' AS filter, * FROM e WHERE page BETWEEN 10 AND 20 UNION ALL SELECT 'time', * FROM e WHERE "timestamp" >= '2024-01-15' UNION ALL SELECT 'reader', * FROM e WHERE list_contains(string_split(acl_read, ','), 'team')
+        UNION ALL SELECT 'mix', * FROM e WHERE label = 3 AND page >= 5 AND "timestamp" >= '2024-01-08' AND list_contains(string_split(acl_read, ','), 'staff')),
+    r AS (SELECT filter, q.vec_id AS query_id, m.id, list_cosine_distance(q.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS d FROM embeddings q, m WHERE q.vec_id % 50 = 0)
+    SELECT filter, query_id, id, rank::INT AS rank, round(abs(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY filter, query_id ORDER BY d, id) AS rank FROM r) WHERE rank <= 3""",
+)
+def topk_ranges(spark, sf):
+    """Nearest rows under a page range, a time range, a reader, and all of them with equality."""
+    asked = vectors(spark, sf)[1]
+    rows = table(spark, sf, "embeddings").selectExpr(*MARKED_COLUMNS)
+    asks = {"page": R.filters(page_from=10, page_to=20), "time": R.filters(since="2024-01-15"), "reader": R.filters(reader="team"), "mix": R.filters(label=3, page_from=5, since="2024-01-08", reader="staff")}
+    found_ = None
+    for name, where in asks.items():
+        hits = R.top_k(rows.where(where).select("id", "embedding"), asked, 3).select(F.lit(name).alias("filter"), "query_id", "id", "rank", F.round(F.abs("distance"), 6).alias("distance"))
+        found_ = hits if found_ is None else found_.unionByName(hits)
+    return found_
+
+
 @query(
     "retrieval_eval",
     f"""WITH h AS (SELECT query_id, query_label, min(rank) FILTER (label = query_label AND id <> query_id) AS r, min(distance) FILTER (label = query_label AND id <> query_id) AS d FROM ({TOP}) WHERE rank <= 10 GROUP BY ALL)
