@@ -15,7 +15,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "doc_id string, content_hash string, chunk_count int, source_path string, relative_path string, file_extension string, last_ingested string, metadata string"
@@ -159,6 +159,16 @@ class Store:
             for gone in (self.path(name, number), f"{self.root}/{name}/pointer-{number}.json"):
                 fs.delete(self._fs(gone)[1], True)
 
+    def write_observed(self, name: str, df: DataFrame, **metrics: Column) -> dict:
+        """Writes the table and returns aggregates of its rows, taken by the tasks that write them.
+
+        The write's own tasks count, and a task counts when it has succeeded, so
+        a task that is run again on another executor is not counted twice.
+        """
+        seen = Observation(f"{name}-{uuid.uuid4().hex[:12]}")
+        self.write(name, df.observe(seen, *(column.alias(c) for c, column in metrics.items())))
+        return seen.get
+
     def tables(self) -> list:
         fs, path = self._fs(self.root)
         if not fs.exists(path):

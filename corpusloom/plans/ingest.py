@@ -44,8 +44,8 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
     store = state.Store(spark, config.output_root)
     files = discover(spark, config.input_root)
     if config.retry_failed:
-        failed = store.read("failures", state.FAILURES)
-        files = state.retry_set(files.withColumn("source_path", F.col("path")), failed).drop("source_path")
+        again = store.read("failures", state.FAILURES)
+        files = state.retry_set(files.withColumn("source_path", F.col("path")), again).drop("source_path")
     found = files.select("path", "relative_path", T.slug(F.col("relative_path")).alias("doc_id"), F.sha2("content", 256).alias("content_hash")).cache()
     try:
         total = found.count()
@@ -60,17 +60,18 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
         documents, failures = load(files.join(fresh.select("path"), "path", "left_semi"), config.parsers)
         # Parsed documents and failures are written once, before any table they depend on is replaced.
         store.write("new_documents", documents)
-        store.write("failures", failures)
+        failed = store.write_observed("failures", failures, n=F.count(F.lit(1)))["n"]
         documents, failures = store.read("new_documents"), store.read("failures")
-        if config.fail_fast and (bad := failures.first()):
+        if config.fail_fast and failed:
+            bad = failures.first()
             raise RuntimeError(f"{bad.source_path}: {bad.error_message}")
         text = documents
         if config.normalization is not None:
             text = normalize(documents, config.normalization).withColumn("text", F.col("normalized.text"))
         carried = text.withColumnRenamed("page_count", "source_page_count").withColumn("source_title", F.col("title"))
         made = chunks(carried.select("doc_id", "text", "source_page_count", "source_title"), config.chunk, carry=["source_page_count", "source_title"])
-        # The new chunks are written once; manifest counts and the replaced table read them back.
-        store.write("new_chunks", made)
+        # The new chunks are written once, and counted as they are written; every document has a chunk 0.
+        n = store.write_observed("new_chunks", made, chunks=F.count(F.lit(1)), documents=F.count_if(F.col("chunk_index") == 0))
         made = store.read("new_chunks")
         counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         meta = F.to_json(F.struct(*(c for c in documents.columns if c not in ("text", "doc_id", "content_hash", "path", "relative_path", "file_extension"))))
@@ -81,8 +82,7 @@ def ingest(spark: SparkSession, config: IngestConfig) -> dict:
         if lost is not None:
             report["cleaned_up"] = lost.count()
             merged = state.clean(merged, lost)
-        report["processed"], report["total_chunks"] = counts.count(), made.count()
-        report["failed"] = failures.count()
+        report["processed"], report["total_chunks"], report["failed"] = n["documents"], n["chunks"], failed
         report["skipped"] = total - report["processed"] - report["failed"]
         if report["processed"] or report["cleaned_up"]:
             chunk_table(spark, config.output_root).replace(made, lost)

@@ -81,3 +81,39 @@ def test_ranges_reach_the_scan_and_readers_are_whole_names(spark, tmp_path):
     plan = held.where(R.filters(kind="x", page_from=4, since="2024-01-05"))._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.maxMetadataStringLength", before)
     assert all(f in plan for f in ("EqualTo(kind,x)", "GreaterThanOrEqual(page,4)", "GreaterThanOrEqual(timestamp,2024-01-05)"))
+
+
+def test_reindexing_embeds_changed_chunks_only(spark, tmp_path):
+    from corpusloom.operators import state
+    from corpusloom.plans.index import COLLECTION, IndexConfig, build_index
+    from corpusloom.plans.ingest import IngestConfig, ingest, read_chunks
+
+    root, out, idx = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "idx")
+    root.mkdir()
+    for n in range(3):
+        (root / f"f{n}.txt").write_text(f"Text number {n}.")
+    (root / "bad.docx").write_bytes(b"no document")
+    report = ingest(spark, IngestConfig(str(root), out))
+    assert (report["processed"], report["skipped"], report["failed"], report["total_chunks"]) == (3, 0, 1, read_chunks(spark, out).count())
+    build_index(spark, IndexConfig(out, idx))
+    store = state.Store(spark, idx)
+    assert counts(store.read("changes")) == {f"f{n}-txt": (0, 1, 0) for n in range(3)}
+    (root / "f1.txt").write_text("Quite another text.")
+    report = ingest(spark, IngestConfig(str(root), out))
+    assert (report["processed"], report["skipped"], report["failed"], report["total_chunks"]) == (1, 2, 1, 1)
+    assert build_index(spark, IndexConfig(out, idx)) == {"indexed_docs": 3, "indexed_chunks": 3, "skipped_docs": 0, "failed_chunks": 0}
+    assert counts(store.read("changes")) == {"f0-txt": (1, 0, 0), "f1-txt": (0, 1, 1), "f2-txt": (1, 0, 0)}
+    held = store.read(COLLECTION)
+    assert {r.id: r.embedding for r in held.collect()} == {r.id: r.embedding for r in embed_hashed(held.drop("embedding"), "document").collect()}
+
+
+def test_counters_of_a_write_equal_its_rows(spark, tmp_path):
+    from corpusloom.operators import state
+
+    store = state.Store(spark, str(tmp_path / "s"))
+    rows = spark.range(1000).repartition(7)
+    n = F.count(F.lit(1))
+    assert store.write_observed("t", rows, n=n, odd=F.count_if(F.col("id") % 2 == 1)) == {"n": 1000, "odd": 500}
+    assert store.read("t").count() == 1000
+    assert store.write_observed("t", rows.where("id < 0"), n=n) == {"n": 0}
+    assert store.write_observed("t", spark.createDataFrame([], "id long"), n=n) == {"n": 0}
