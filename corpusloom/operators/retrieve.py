@@ -6,18 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import nearest
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cos; null where a vector has no length."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, 1.0 - dot(a, b) / norm)
-
-
 def effective_k(k: int | None, default: int = 5) -> int:
     """R3 of the chain: zero means the default."""
     return k or default
@@ -29,21 +24,20 @@ def top_k(collection: DataFrame, queries: DataFrame, k: int, where: Column | Non
     collection: id_column, embedding; queries: query_id, embedding.  ``where``
     filters the collection before the search (R5).  Ties go to the smaller id.
 
-    Queries are a stated set: they are broadcast in blocks of at most
-    ``max_queries``, and each pass keeps k rows per query and input partition
-    before anything is shuffled, so the exchange holds k rows per query and task.
+    Distances come from blocks of rows against blocks of queries (``nearest``), so the
+    exchange holds k rows per query and task.  Queries are a stated set: their blocks
+    are broadcast, at most ``max_queries`` rows a pass.
     """
     rows = collection if where is None else collection.where(where)
-    held = rows.select(id_column, F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
+    held = nearest.spread(rows.select(id_column, "embedding"), id_column)
     total = queries.count()
-    blocks = max(1, -(-total // max_queries))
+    passes = max(1, -(-total // max_queries))
+    order = Window.partitionBy("query_id").orderBy("distance", id_column)
     found = None
-    for n in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        part = part.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("_q"))
-        pairs = held.crossJoin(F.broadcast(part)).select("query_id", id_column, cosine_distance(F.col("_v"), F.col("_q")).alias("distance")).where("distance is not null")
-        order = Window.partitionBy("query_id").orderBy("distance", id_column)
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for n in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)
+        pairs = nearest.pairs(nearest.blocks(held, id_column), nearest.blocks(part, "query_id", nearest.QUERY_BYTES), k)
+        best = pairs.select("query_id", F.col("key").alias(id_column), "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = best if found is None else found.unionByName(best)
     rest = [c for c in rows.columns if c not in (id_column, "embedding")]
     if not rest:
