@@ -74,12 +74,18 @@ def snippet(text: Column, max_chars: int) -> Column:
     return F.when(F.length(flat) > max_chars, F.concat(cut, F.lit("..."))).otherwise(flat)
 
 
+def four_places(x: Column) -> Column:
+    """'%.4f' as C and Python round it: the binary value, not its shortest decimal, which format_string takes."""
+    smallest = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("0.0001"))  # format_number takes 0.00005 itself for a tie
+    return F.when((F.abs(x) >= 0.00005) & (F.abs(x) < 0.0001), smallest).otherwise(F.call_function("format_number", x, F.lit("0.0000")))
+
+
 def hit_text(rank: Column, text: Column, meta: dict, distance: Column, max_chars: int = 240) -> Column:
     """Header, place, time and snippet of a hit; meta maps names to columns (null means absent)."""
     get = lambda name: meta.get(name, F.lit(None).cast("string"))
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     head = F.concat(F.lit("["), rank.cast("string"), F.lit("] doc_id="), shown(get("doc_id")), F.lit(" chunk_id="), shown(get("chunk_id")), F.lit(" path="), shown(F.coalesce(F.nullif(get("relative_path"), F.lit("")), get("source_path"))))
-    head = F.concat(head, F.when(distance.isNotNull(), F.format_string(" | distance=%.4f", distance)).otherwise(""))
+    head = F.concat(head, F.when(distance.isNotNull(), F.concat(F.lit(" | distance="), four_places(distance))).otherwise(""))
     section = get("section")
     section = F.when(F.length(section) > 40, F.concat(F.substring(section, 1, 37), F.lit("..."))).otherwise(section)
     place = F.concat_ws(
@@ -101,7 +107,7 @@ def source_line(rank: Column, text: Column, relative_path: Column, page: Column,
     """R11."""
     where = F.coalesce(F.concat(F.lit(" (page "), page.cast("string"), F.lit(")")), F.lit(""))
     short = F.concat(F.replace(F.substring(text, 1, 100), F.lit("\n"), F.lit(" ")), F.lit("..."))
-    return F.concat(F.lit("  ["), rank.cast("string"), F.lit("] "), F.coalesce(relative_path, F.lit("unknown")), where, F.format_string(" (dist: %.4f)", distance), F.lit("\n      "), short)
+    return F.concat(F.lit("  ["), rank.cast("string"), F.lit("] "), F.coalesce(relative_path, F.lit("unknown")), where, F.lit(" (dist: "), F.coalesce(four_places(distance), F.lit("null")), F.lit(")"), F.lit("\n      "), short)
 
 
 def sources_json(text: Column, metadata: Column, distance: Column) -> Column:

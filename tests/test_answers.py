@@ -133,3 +133,13 @@ def test_stream(spark, tmp_path):
     assert go() == ["Hello there."]
     (tmp_path / "in" / "b.md").write_text("More.")
     assert go() == ["Hello there.", "More."]
+
+
+def test_distances_round_as_in_python(spark):
+    """Values halfway between two numbers of four places, whose binary value lies above or below."""
+    values = [i / 1e6 + 0.00005 for i in range(0, 2_000_000, 1900)] + [0.00035, 0.12345, 0.99995, 0.0, 0.00005, 0.00004, 0.00007, -0.00007, -0.12345, 2.0, 1234.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    line = R.source_line(F.lit(1), F.lit("t"), F.lit("p"), F.lit(None).cast("int"), F.col("x"))
+    hit = R.hit_text(F.lit(1), F.lit("t"), {}, F.col("x"))
+    for r in df.select("x", line.alias("line"), hit.alias("hit")).collect():
+        assert f"(dist: {r.x:.4f})" in r.line and f" | distance={r.x:.4f}\n" in r.hit
