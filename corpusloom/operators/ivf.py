@@ -7,9 +7,11 @@ probes to them by equality reads only the folders that some query probes (dynami
 partition pruning).  There are about as many lists as the square root of the rows,
 LISTS at most: at a billion vectors a list is then a few hundred MB.
 
-What is broadcast is bounded: centroids by LISTS, probes by blocks of queries.
-A list that holds a third of all rows is split while it is written (rebalance)
-and while it is read (files), as the join keeps its own partitions.
+Rows and queries meet as blocks (``nearest``): a query holds a bit for every list,
+and a block of one list is multiplied with the queries that probe it, so no row is
+made for a pair or a probe.  What is broadcast is bounded: centroids by LISTS,
+queries and their bits by passes.  A list that holds a third of all rows is split
+while it is written (rebalance) and while it is read (ranges of list and id).
 
 Cases: a null vector, one without length, or one of another dimension than the
 centroids matches nothing and is kept in list -1, which no query probes; ties go
@@ -28,9 +30,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.retrieve import dot
+from corpusloom.operators import nearest
 
 LISTS, SAMPLE_ROWS, ITERATIONS, SEED = 4096, 262_144, 12, 42
+STEP = 512  # vectors at once against all centroids
 NOWHERE = -1
 
 
@@ -58,17 +61,42 @@ def train(vectors: DataFrame, lists: int | None = None, id_column: str = "id", s
     return centers / np.linalg.norm(centers, axis=1, keepdims=True)
 
 
+def near(vectors: pd.Series, centroids: np.ndarray, n: int):
+    """(places in the batch, their n nearest lists) in steps of some MB; nearest first, of equal ones the lower number."""
+    good = [i for i, v in enumerate(vectors) if v is not None and len(v) == centroids.shape[1]] if len(centroids) else []
+    for at in range(0, len(good), STEP):
+        some = good[at : at + STEP]
+        away = -np.round(np.stack([vectors.iloc[i] for i in some]) @ centroids.T, 12)
+        yield some, away.argmin(axis=1)[:, None] if n == 1 else np.argsort(away, axis=1, kind="stable")[:, :n]
+
+
 def nearest_lists(centroids: np.ndarray, n: int):
-    """A column function: the n nearest lists of a unit vector, nearest first; of equal ones the lower number."""
+    """A column function: the n nearest lists of a unit vector, nearest first."""
 
     @F.pandas_udf("array<int>")
     def find(vectors: pd.Series) -> pd.Series:
-        found = np.full((len(vectors), min(n, len(centroids))), NOWHERE)
-        good = [i for i, v in enumerate(vectors) if v is not None and len(v) == centroids.shape[1]]
-        if good and len(centroids):
-            near = np.argsort(-np.round(np.stack([vectors.iloc[i] for i in good]) @ centroids.T, 12), axis=1, kind="stable")
-            found[good] = near[:, :n]
-        return pd.Series([[x for x in row if x >= 0] for row in found.tolist()])
+        found = np.empty(len(vectors), dtype=object)
+        found[:] = [np.zeros(0, dtype=np.int32)] * len(vectors)
+        for some, lists in near(vectors, centroids, n):
+            for i, row in zip(some, lists.astype(np.int32)):
+                found[i] = row
+        return pd.Series(found)
+
+    return find
+
+
+def nearest_bits(centroids: np.ndarray, n: int):
+    """A column function: a bit for every list, set for the n nearest ones of a unit vector."""
+
+    @F.pandas_udf("binary")
+    def find(vectors: pd.Series) -> pd.Series:
+        found = [bytes(max(1, -(-len(centroids) // 8)))] * len(vectors)
+        for some, lists in near(vectors, centroids, n):
+            marks = np.zeros((len(some), len(centroids)), dtype=np.uint8)
+            np.put_along_axis(marks, lists, 1, axis=1)
+            for i, row in zip(some, np.packbits(marks, axis=1)):
+                found[i] = row.tobytes()
+        return pd.Series(found)
 
     return find
 
@@ -81,7 +109,7 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, id_column: st
     spark.createDataFrame(table, "list int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
     placed = vectors.withColumn("_unit", unit(F.col("embedding")))
     placed = placed.withColumn("list", F.coalesce(F.try_element_at(nearest_lists(centroids, 1)(F.col("_unit")), F.lit(1)), F.lit(NOWHERE)))
-    placed = placed.withColumn("_unit", F.col("_unit").cast("array<float>"))
+    placed = placed.drop("_unit")
     placed.limit(0).write.mode("overwrite").parquet(f"{path}/schema")  # partition folders of an empty table have none
     placed.hint("rebalance", F.col("list")).write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
 
@@ -99,16 +127,20 @@ def search(index: tuple, queries: DataFrame, k: int, probes: int | None = 8, whe
     """
     held, centroids = index
     rows = held if where is None else held.where(where)
-    rest = [c for c in rows.columns if c not in (id_column, "embedding", "_unit", "list")]
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("_q"))
-    probed = asked.select("query_id", "_q", F.explode(nearest_lists(centroids, probes or max(1, len(centroids)))(F.col("_q"))).alias("list"))
-    blocks = max(1, -(-queries.count() // max_queries))
+    rest = [c for c in rows.columns if c not in (id_column, "embedding", "list")]
+    probes = probes or max(1, len(centroids))
+    asked = queries.select("query_id", "embedding", unit(F.col("embedding")).alias("_q"))
+    lists = asked.select(F.explode(nearest_lists(centroids, probes)(F.col("_q"))).alias("list")).distinct()
+    asked = asked.select("query_id", "embedding", nearest_bits(centroids, probes)(F.col("_q")).alias("_bits"))
+    passes = max(1, -(-queries.count() // max_queries))
     order = Window.partitionBy("query_id").orderBy("distance", id_column)
+    probed = rows.join(F.broadcast(lists), "list", "left_semi")  # other folders are not read
+    probed = probed.select("list", id_column, F.struct(id_column, *rest).alias("_row"), "embedding").repartitionByRange(nearest.tasks(rows), "list", id_column).sortWithinPartitions("list", id_column)
     found = None
-    for n in range(blocks):
-        part = probed if blocks == 1 else probed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        pairs = rows.join(F.broadcast(part), "list").select("query_id", id_column, (1.0 - dot(F.col("_unit"), F.col("_q"))).alias("distance"), *rest)
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for n in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)
+        pairs = nearest.pairs(nearest.blocks(probed, "_row", group="list"), nearest.blocks(part, "query_id", nearest.QUERY_BYTES, bits="_bits"), k)
+        best = pairs.select("query_id", "key.*", "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = best if found is None else found.unionByName(best)
     return found.select("query_id", id_column, "rank", "distance", *rest)
 

@@ -9,10 +9,6 @@ from corpusloom.functions import text as T
 from corpusloom.operators import nearest
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def effective_k(k: int | None, default: int = 5) -> int:
     """R3 of the chain: zero means the default."""
     return k or default

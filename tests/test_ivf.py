@@ -94,3 +94,15 @@ def test_lists_of_a_collection(spark, tmp_path):
     asked = spark.createDataFrame([(1, "thing3 word3"), (2, "nothing of this")], "query_id long, question string")
     exact, through = (P.ask(spark, root, asked, 3, "c", lists=x, probes=None)[1].orderBy("query_id").collect() for x in (None, lists))
     assert exact == through and exact[0].n_chunks == 3
+
+
+def test_queries_are_held_once(index, monkeypatch):
+    """However many lists a query probes, one packed block of queries is broadcast, not a row for each probe."""
+    from corpusloom.operators import nearest
+
+    (held, centroids), rows, asked = index
+    made, pairs = [], nearest.pairs
+    monkeypatch.setattr(nearest, "pairs", lambda a, b, k: made.append(b.count()) or pairs(a, b, k))
+    found = ivf.search((held, centroids), asked, 5, len(centroids))
+    assert made == [1] and len(centroids) > 1
+    assert sorted((r.query_id, r.id) for r in found.collect()) == sorted((r.query_id, r.id) for r in R.top_k(rows.select("id", "embedding"), asked, 5).collect())
