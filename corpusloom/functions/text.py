@@ -11,6 +11,8 @@ from corpusloom.functions import rules
 
 #: What Python's str.isspace and \s accept, inside a Java character class.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+#: The same characters, one by one.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def java(pattern: str) -> str:
@@ -47,7 +49,7 @@ def fence(value: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """str.strip: all Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def line_feeds(text: Column) -> Column:
@@ -92,7 +94,8 @@ def alternation(patterns: list) -> str:
 
 def estimate_tokens(text: Column) -> Column:
     """Words and single signs, at least 1."""
-    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{N}}_]+|[^{SPACE}]")))
+    signs = F.regexp_replace(F.regexp_replace(text, r"[\p{L}\p{N}_]+", "x"), rf"[{SPACE}]+", "")  # one for each; regexp_count keeps every match
+    return F.greatest(F.lit(1), F.length(signs))
 
 
 def paragraphs(text: Column) -> Column:
@@ -115,18 +118,18 @@ def words(text: Column) -> Column:
 
 def page_marker(text: Column) -> Column:
     """Number of the first [PAGE:n] line."""
-    return F.nullif(F.regexp_extract(text, r"(?dm)^\[PAGE:(\p{Nd}+)\]$", 1), F.lit("")).cast("int")
+    return F.when(F.contains(text, F.lit("[PAGE:")), F.nullif(F.regexp_extract(text, r"(?dm)^\[PAGE:(\p{Nd}+)\]$", 1), F.lit("")).cast("int"))
 
 
 def section(text: Column) -> Column:
     """The last Markdown header, stripped; white space after the signs may cross lines."""
     found = F.regexp_extract_all(text, F.lit(rf"(?dm)^(#{{1,6}})[{SPACE}]+(.+)$"), F.lit(2))
-    return strip(F.try_element_at(found, F.lit(-1)))
+    return F.when(F.contains(text, F.lit("#")), strip(F.try_element_at(found, F.lit(-1))))
 
 
 def strip_markers(text: Column) -> Column:
     """Marker lines out, newlines collapsed, strip."""
-    bare = strip(F.regexp_replace(text, r"(?dm)^\[PAGE:\p{Nd}+\]$", ""))
+    bare = strip(F.when(F.contains(text, F.lit("[PAGE:")), F.regexp_replace(text, r"(?dm)^\[PAGE:\p{Nd}+\]$", "")).otherwise(text))
     return strip(F.regexp_replace(bare, "\n{3,}", "\n\n"))
 
 

@@ -101,3 +101,23 @@ def test_other_tokenizer(spark):
 def test_text_without_breaks(spark):
     got = run(spark, "word " * 3000, 50)
     assert sum(len(x[0].split()) for x in got) >= 3000
+
+
+def test_token_counts_and_strip_scan_once(spark):
+    """No list of matches for a count, no pattern for the ends of a text; results as in Python."""
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+
+    spaces = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    rows = ["", " ", "a  b,c", spaces + "x" + spaces + "y_1" + spaces, "\U0001f600\U0001f600 é2 – [PAGE:3]", "a.b\n\n#c", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    made = df.select("t", T.estimate_tokens(F.col("t")).alias("n"), T.strip(F.col("t")).alias("s"))
+    assert "regexp_extract_all" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "regexp_count" not in plan and "\\z" not in plan
+    kind = lambda c: "w" if c == "_" or unicodedata.category(c)[0] in "LN" else " " if c.isspace() else "."
+    for r in made.collect():
+        assert r.s == (None if r.t is None else r.t.strip())
+        assert r.n == max(1, len(re.findall(r"w+|\.", "".join(map(kind, r.t or "")))))
