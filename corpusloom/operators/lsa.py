@@ -8,7 +8,9 @@ orthonormalises the sum on the driver.  What the driver and each task hold is
 FEATURES * (dimensions + OVERSAMPLE) numbers (10 MB at the defaults), whatever the
 number of documents.  There is one task a core, so the sums that travel are as many
 as the cores, not as the partitions.  The documents are read once, their feature
-numbers and counts are written to the shared folder, and each pass reads those.
+numbers and counts are written to the shared folder, and each pass reads those;
+``fit_embed`` takes the embeddings of the same rows from them too.  Tasks multiply
+blocks of rows as dense matrices over the features that the block has.
 
 A text is embedded as its row times V, scaled to length one.  The squared error of
 the projection is what is left of the rows' squares: total - sum of sigma squared.
@@ -57,7 +59,8 @@ def terms(text: Column, features: int = FEATURES) -> Column:
 def _counted(lists: pa.Array, features: int) -> tuple:
     """(row, feature, count) of a batch of term lists, sorted by row and feature."""
     owner, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-    key, count = np.unique(owner.astype(np.int64) * features + flat, return_counts=True)
+    kind = np.int32 if len(lists) * features < 1 << 31 else np.int64  # the shorter sorts faster
+    key, count = np.unique(owner.astype(kind) * kind(features) + flat.astype(kind), return_counts=True)
     return key // features, key % features, count
 
 
@@ -70,36 +73,68 @@ def _weighted(counted: tuple, rows: int, idf: np.ndarray) -> tuple:
     return row[keep], feature[keep], (weight[keep] / length[keep]).astype(np.float32)
 
 
-def _grouped(index: np.ndarray, values: np.ndarray, total: np.ndarray) -> None:
-    """Adds values to the rows of total that index names; index sorted."""
-    if len(index):
-        starts = np.r_[0, np.flatnonzero(index[1:] != index[:-1]) + 1]
-        total[index[starts]] += np.add.reduceat(values, starts, axis=0)
+def _dense(matrix: tuple, rows: int, features: int) -> tuple:
+    """(features that the batch has, its rows as a dense matrix over these)."""
+    row, feature, weight = matrix
+    has = np.zeros(features, bool)
+    has[feature] = True
+    place = np.cumsum(has) - 1
+    out = np.zeros((rows, int(has.sum())), np.float32)
+    out[row, place[feature]] = weight
+    return np.flatnonzero(has), out
 
 
-def _times(matrix: tuple, rows: int, q: np.ndarray) -> np.ndarray:
-    """The batch's rows times q."""
-    row, feature, weight = matrix
-    out = np.zeros((rows, q.shape[1]), q.dtype)
-    _grouped(row, weight[:, None] * q[feature], out)
-    return out
+def _lists(batch: pa.RecordBatch, at: int) -> tuple:
+    """((row, feature, count), rows) of some rows of the table of counts, whose last columns these are."""
+    lists, counts = (batch.column(k)[at : at + ROWS_AT_ONCE] for k in (batch.num_columns - 2, batch.num_columns - 1))
+    return (np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), counts.flatten().to_numpy()), len(lists)
+
+
+def _unit(found: np.ndarray) -> pa.Array:
+    """Rows scaled to length one, or zeros, as lists."""
+    length = np.linalg.norm(found, axis=1, keepdims=True)
+    found = np.divide(found, length, out=np.zeros_like(found), where=length > 1e-12).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.reshape(-1)))
 
 
-def _counts_table(docs: DataFrame, column: str, features: int) -> DataFrame:
-    """Feature numbers and counts of every text, written once: each pass reads them instead of the texts."""
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
+def _counts_table(docs: DataFrame, column: str, features: int, keep: tuple = ()) -> DataFrame:
+    """The columns of ``keep``, and feature numbers and counts of every text, written once: each pass reads them instead of the texts."""
     spark = docs.sparkSession
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                lists = batch.column(0)[at : at + ROWS_AT_ONCE]
+                part = batch.slice(at, ROWS_AT_ONCE)
+                lists = part.column(len(keep))
                 row, feature, count = _counted(lists, features)
                 ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(lists)))].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, count)], names=["features", "counts"])
+                found = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, count)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *found], names=[*keep, "_features", "_counts"])
 
     path = new_folder(spark, "lsa-terms")
-    docs.select(terms(F.col(column), features).alias("terms")).mapInArrow(run, "features array<int>, counts array<int>").write.parquet(path)
-    return spark.read.schema("features array<int>, counts array<int>").parquet(path)
+    schema = _schema(docs.select(*keep), "_features array<int>", "_counts array<int>")
+    docs.select(*keep, terms(F.col(column), features).alias("_terms")).mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _frequencies(held: DataFrame, features: int) -> np.ndarray:
+    """Documents that have each feature."""
+
+    def run(batches):
+        total = np.zeros(features, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=features)
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(total[t])], names=["t", "n"])
+
+    counts = np.zeros(features)
+    for r in held.select("_features").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most ``features`` rows
+        counts[r.t] = r.n
+    return counts
 
 
 def _summed(parts: DataFrame, blocks: int) -> np.ndarray:
@@ -121,7 +156,7 @@ def _summed(parts: DataFrame, blocks: int) -> np.ndarray:
 
 
 def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, blocks: int, make: Callable) -> DataFrame:
-    """(block, body) from each task's sum of make(matrix, rows times q) over its batches."""
+    """(block, body) from each task's sum of make(features of a batch, its dense rows, rows times q) over its batches."""
     kind = np.float32 if blocks > 1 else np.float64
     shared = docs.sparkSession.sparkContext.broadcast((idf, q.astype(np.float32)))
 
@@ -129,10 +164,9 @@ def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, blocks: int, make: Ca
         total, (idf, q) = None, shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                lists, counts = (batch.column(k)[at : at + ROWS_AT_ONCE] for k in (0, 1))
-                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                matrix = _weighted((row, lists.flatten().to_numpy(), counts.flatten().to_numpy()), len(lists), idf)
-                total = make(matrix, _times(matrix, len(lists), q), total)
+                counted, rows = _lists(batch, at)
+                has, dense = _dense(_weighted(counted, rows, idf), rows, len(idf))
+                total = make(has, dense, dense @ q[has], total)
         if total is not None:
             pieces = np.array_split(total.astype(kind), range(TERMS_PER_BLOCK, len(total), TERMS_PER_BLOCK)) if blocks > 1 else [total]
             for n, piece in enumerate(pieces):
@@ -144,30 +178,30 @@ def _pass(docs: DataFrame, idf: np.ndarray, q: np.ndarray, blocks: int, make: Ca
 
 def fit(docs: DataFrame, column: str = "text", dimensions: int = DIMENSIONS, features: int = FEATURES, oversample: int = OVERSAMPLE, passes: int = PASSES, seed: int = SEED) -> Model:
     """The model of all rows of ``docs``."""
-    held = _counts_table(docs, column, features)
+    return _fit(_counts_table(docs, column, features), dimensions, features, oversample, passes, seed)
+
+
+def _fit(held: DataFrame, dimensions: int, features: int, oversample: int, passes: int, seed: int) -> Model:
+    held = held.select("_features", "_counts")
     n = held.count()
-    counts = np.zeros(features)
-    for r in held.select(F.explode("features").alias("t")).groupBy("t").count().collect():  # at most ``features`` rows
-        counts[r.t] = r["count"]
+    counts = _frequencies(held, features)
     idf = np.where(counts >= 2, np.log((n + 1) / (counts + 1)) + 1, 0.0)
     width = min(dimensions + oversample, features)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)))[0]
     blocks = -(-features // TERMS_PER_BLOCK)
 
-    def back(matrix, product, total):
+    def back(has, dense, product, total):
         """Adds A' (A q) of a batch."""
-        row, feature, weight = matrix
         total = np.zeros((features, width)) if total is None else total
-        order = np.argsort(feature, kind="stable")
-        _grouped(feature[order], weight[order, None] * product[row[order]], total)
+        total[has] += dense.T @ product
         return total
 
-    def square(matrix, product, total):
+    def square(has, dense, product, total):
         """Adds (A q)' (A q) of a batch, and the sum of its squares in a row of its own."""
         part = np.zeros((width + 1, width))
         product = product.astype(np.float64)
         part[:width] = product.T @ product
-        part[width, 0] = float((matrix[2].astype(np.float64) ** 2).sum())
+        part[width, 0] = float(np.einsum("ij,ij->", dense, dense, dtype=np.float64))
         return part if total is None else total + part
 
     for _ in range(passes):
@@ -191,16 +225,28 @@ def embed(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                lists = part.column(len(names))
-                found = _times(_weighted(_counted(lists, len(idf)), part.num_rows, idf), part.num_rows, vectors)
-                length = np.linalg.norm(found, axis=1, keepdims=True)
-                found = np.divide(found, length, out=np.zeros_like(found), where=length > 1e-12).astype(np.float32)
-                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * found.shape[1])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))], names=[*names, "embedding"])
+                has, dense = _dense(_weighted(_counted(part.column(len(names)), len(idf)), part.num_rows, idf), part.num_rows, len(idf))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], _unit(dense @ vectors[has])], names=[*names, "embedding"])
 
     given = df.withColumn("_terms", terms(F.col(column), len(model.idf)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "embedding array<float>"])
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, _schema(df, "embedding array<float>"))
+
+
+def fit_embed(docs: DataFrame, keep: tuple, column: str = "text", dimensions: int = DIMENSIONS, features: int = FEATURES, oversample: int = OVERSAMPLE, passes: int = PASSES, seed: int = SEED) -> DataFrame:
+    """The columns of ``keep`` and the embedding of every row by the model of all rows: ``embed(docs, fit(docs))``, with the texts read and cut into words once."""
+    held = _counts_table(docs, column, features, keep)
+    model = _fit(held, dimensions, features, oversample, passes, seed)
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.vectors))
+
+    def run(batches):
+        idf, vectors = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                counted, rows = _lists(batch, at)
+                has, dense = _dense(_weighted(counted, rows, idf), rows, len(idf))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, ROWS_AT_ONCE) for c in batch.columns[: len(keep)]), _unit(dense @ vectors[has])], names=[*keep, "embedding"])
+
+    return held.mapInArrow(run, _schema(docs.select(*keep), "embedding array<float>"))
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:

@@ -572,7 +572,7 @@ def topk_ivf(spark, sf):
 def embed_lsa(spark, sf):
     """Learned embeddings of all documents by a model of all documents; tested against an exact SVD and against hashing, as SQL has no SVD."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lsa.embed(docs, lsa.fit(docs)).select("doc_id", "embedding")
+    return lsa.fit_embed(docs, ("doc_id",))
 
 
 # ------------------------------------------------------------ I: free metadata

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import lsa
 from corpusloom.operators import retrieve as R
 from corpusloom.operators.embed import embed_hashed
+from corpusloom.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,15 @@ def test_edges(spark, docs, tmp_path):
     assert not by[None].any() and not by[""].any() and not by["once"].any() and np.isclose(np.linalg.norm(by["same words here"]), 1)
     nothing = lsa.fit(table.limit(0), dimensions=4, features=64)
     assert nothing.error == 0 and lsa.embed(table.limit(0), nothing).count() == 0 and not any(any(r.embedding) for r in lsa.embed(table, nothing).collect())
+
+
+def test_texts_are_read_once(spark, sf):
+    """The query takes its embeddings from the table of counts, not from the documents again; they equal those of the separate calls."""
+    got = QUERIES["embed_lsa"](spark, sf)
+    assert not any("documents.parquet" in f for f in got.inputFiles())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = lsa.embed(docs, lsa.fit(docs)).orderBy("doc_id").collect()
+    rows = got.orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in want]
+    a, b = (np.array([r.embedding for r in x]) for x in (rows, want))
+    assert np.allclose(np.abs((a * b).sum(axis=1)), (b**2).sum(axis=1), atol=1e-3)
