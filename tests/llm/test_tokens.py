@@ -63,6 +63,57 @@ def test_viterbi_fold(spark):
         assert abs(sum(vocab.pieces.get(r.unit[a:b], (0, -14.4))[1] for a, b in zip([0, *S.viterbi_cuts(r.unit, vocab)], S.viterbi_cuts(r.unit, vocab))) - best(r.unit)) < 1e-9
 
 
+@pytest.mark.parametrize("most", [0, 40])
+def test_texts_stay_where_they_are(spark, texts, most):
+    """With more distinct units than the table takes: no exchange of texts or of their units, and the same ids."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    vocab = S.load(PIECES)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = S.encode(docs, vocab, ["doc_id"], max_units=most)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.round_trip) for r in rows.collect()}
+    assert got == {i + more: (library.encode(t or ""), True) for i, t in enumerate(texts) for more in (0, 1000)}
+
+
+def test_table_takes_the_most_frequent(spark):
+    coded = spark.createDataFrame([(f"u{i}", i, b"") for i in range(2, 300)], "unit string, n long, ids binary")
+    for most in (0, 1, 10, 100, 297):
+        kept = sorted(r.n for r in S.most_frequent(coded, most).collect())
+        assert len(kept) <= most and kept == list(range(300 - len(kept), 300)) and len(kept) >= 0.8 * most - 50
+    assert S.most_frequent(coded, 298).count() == 298
+
+
+def test_other_unit_of_the_same_hash(spark):
+    """A table whose entry for a unit holds the ids of another: found by decoding, and the unit is folded on its own."""
+    import pyarrow as pa
+
+    vocab = S.load(PIECES)
+    packed = S.Packed(S.hashes_of(pa.array(["▁the"])), np.array([0, 1], np.uint32), np.array([vocab.pieces["▁of"][0]], "<u2"))
+    named = spark.createDataFrame([(1, "of the of the")], "doc_id long, _sp_text string")
+    row = S.encode_with(packed, named, vocab, ["doc_id"], 48).first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [vocab.pieces[p][0] for p in ("▁of", "▁the", "▁of", "▁the")] and row.round_trip
+
+
+def test_both_lattices_agree(spark, texts):
+    """The edges that a block of texts makes for its own units are those of Spark's lattice, for both kinds of vocabulary."""
+    import pyarrow as pa
+
+    bpe = S.load(PIECES)
+    unigram = S.Vocabulary({"▁": (3, -2.0), "▁a": (4, -1.5), "a": (5, -2.5), "ab": (7, -2.9), "éa": (8, -3.6), "aba": (10, -4.4)}, 100, 0, 3, False, True, True)
+    for vocab in (bpe, unigram):
+        units = sorted(set(S.units_of(pa.array(texts + ["aba éab a" * 3]), vocab)[0].to_pylist()))
+        frame = spark.createDataFrame([(u,) for u in units], "unit string")
+        edges = S.bpe_lattice(frame, vocab, 20) if vocab.bpe else S.lattice(frame, S.piece_table(spark, vocab), vocab.longest, 1, 20)
+        want = {r.unit: sorted(tuple(e) for e in r.edges) for r in edges.collect()}
+        got = S.block_lattice(pa.array(units), vocab, S.piece_columns(vocab), 20).to_pylist()
+        assert any(got) and {u: sorted(tuple(e.values()) for e in x) for u, x in zip(units, got)} == want
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t], "doc_id long, text string")
+        ids = [{r.doc_id: bytes(r.ids) for r in S.encode(docs, vocab, ["doc_id"], max_units=n).collect()} for n in (0, 1000)]
+        assert ids[0] == ids[1]
+
+
 def test_sentencepiece_edges(edge, none):
     vocab = S.load(PIECES)
     rows = S.encode(edge, vocab, ["doc_id", "body"]).collect()
