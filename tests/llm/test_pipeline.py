@@ -57,6 +57,18 @@ def test_edges(spark, edge, none, sf):
         assert all(r.round_trip and r.n_tokens > 0 for r in out)
 
 
+def test_encode_keeps_texts_in_place(spark, sf, monkeypatch):
+    """The last stage with more distinct units than its table takes: no exchange of texts, the same rows."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, P.encode(spark, docs, sf).collect()))
+    monkeypatch.setattr(P.sentpiece.encode, "__defaults__", (100, P.sentpiece.FOLD_LIMIT))
+    rows = P.encode(spark, docs, sf)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == want
+
+
 def test_languages_of_edges(spark, edge, sf):
     """With languages to learn from, all texts with letters stay."""
     import corpus_pipeline as P
